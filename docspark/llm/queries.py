@@ -1,27 +1,78 @@
-"""The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
+"""The registered queries of this subpackage."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import chat_format, mixing, piece_table, quality, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model() -> str:
+    """Where the public tokenizer's file lies on this machine; executors ask again for themselves."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_table.digests(piece_table.encode_decode(docs, piece_model()))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+#: Fixed value: the text of both turns of conversation -7.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(*chat_format.TURN_ROWS)
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    read = chat_format.parse(chat_format.format_turns(chat_format.canonical_rows(rows.unionByName(more))))
+    turns = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join(F.transform("parsed", lambda t: t["learned"]), "")  # nulls are left out
+    return read.select(
+        "conv_id",
+        F.size("parsed").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(piece_table.lengths(_table(spark, sf_dir, "documents"), piece_model()))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = warc.new_folder(spark)
+    manifest = warc.write(pages, folder)
+    out = warc.read(spark, manifest, folder, pages.schema["page_id"].dataType.simpleString())
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op9_mixing)
+    f.__name__: f
+    for f in (op2_quality_rules, op4_sentencepiece, op6_url_filters, op7_chat_formatting, op8_token_counts, op9_mixing, op10_warc)
 }
