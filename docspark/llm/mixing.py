@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from .common import count_bits, n_words, scratch_table
 
 #: Rows that one range of one source should hold at most, about.
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 2_000
 
 
 def targets(sizes: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFrame:
