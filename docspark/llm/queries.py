@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, mixing, piece_table, quality, token_counts, toxicity, url_filter, warc
+from . import chat_format, fingerprints, mixing, ngram_join, piece_table, quality, token_counts, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.digests(piece_table.encode_decode(docs, piece_model()))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs).documents.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
@@ -82,5 +87,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_quality_rules, op3_toxicity, op4_sentencepiece, op6_url_filters, op7_chat_formatting, op8_token_counts, op9_mixing, op10_warc)
+    for f in (op1_fingerprints, op2_quality_rules, op3_toxicity, op4_sentencepiece, op5_ngram_join, op6_url_filters, op7_chat_formatting, op8_token_counts, op9_mixing, op10_warc)
 }
