@@ -57,3 +57,13 @@ def count_bits(n: int, per_bucket: int, base: int, most: int) -> int:
     while n / buckets > per_bucket and digits < most:
         digits, buckets = digits + 1, buckets * base
     return digits
+
+
+#: Rows of ids up to which a side is broadcast (about 16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """Rows of `rows` that match none of `gone`, which is broadcast if it is counted to be small."""
+    gone = scratch_table(gone, "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, on, "left_anti")

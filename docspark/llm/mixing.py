@@ -39,6 +39,28 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFrame:
     return by.select("source", F.col("source").isNull().alias("no_source"), "source_size", "weight", target.alias("target"), F.floor(target).cast("long").alias("budget"))
 
 
+def _sizes(docs: DataFrame, seed: str, *more) -> DataFrame:
+    """doc_id, source, size, key and `more` columns."""
+    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return docs.select("doc_id", "source", n_words("text").alias("size"), key.alias("key"), *more)
+
+
+def _take(rows: DataFrame, sized: DataFrame, weights, cap: int, rows_per_range: int) -> DataFrame:
+    """Adds source_size, target and taken to rows of _sizes(); `sized` are the same rows for the sums."""
+    digits = count_bits(sized.count(), rows_per_range, 16, 6)
+    keyed = lambda r: r.withColumns({"name": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull(), "range": F.substring("key", 1, digits)})
+    goal = targets(sized, weights, cap).withColumn("name", F.coalesce("source", F.lit(""))).drop("source")
+    ranges = keyed(sized).groupBy("name", "no_source", "range").agg(F.sum("size").alias("words"))
+    earlier = W.partitionBy("name", "no_source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(goal, ["name", "no_source"]).drop("words")
+    within = W.partitionBy("name", "no_source", "range").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    placed = keyed(rows).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ranges, ["name", "no_source", "range"])
+    placed = placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long"))
+    rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("inside")
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
+    return placed.select(*rows.columns, "source_size", "target", taken.cast("long").alias("taken"))
+
+
 def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: str = "mix", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of `docs` (doc_id, text, source).
 
@@ -48,42 +70,26 @@ def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: str = "mix", row
     are equal the result as a whole doesn't depend on it.  An empty table gives an empty result.  Other
     columns of `docs` are ignored.
     """
-    sized = docs.select("doc_id", "source", n_words("text").alias("size"))
-    sized = scratch_table(sized.withColumn("key", F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "sizes")
-    digits = count_bits(sized.count(), rows_per_range, 16, 6)
-    keyed = sized.withColumns({"name": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull(), "range": F.substring("key", 1, digits)})
-    goal = targets(sized, weights, cap).withColumn("name", F.coalesce("source", F.lit(""))).drop("source")
-    ranges = keyed.groupBy("name", "no_source", "range").agg(F.sum("size").alias("words"))
-    earlier = W.partitionBy("name", "no_source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(goal, ["name", "no_source"]).drop("words")
-    within = W.partitionBy("name", "no_source", "range").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ranges, ["name", "no_source", "range"])
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long")
-    placed = placed.withColumn("epochs", epochs)
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("inside")
-    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    sized = scratch_table(_sizes(docs, seed), "sizes")
+    return _take(sized, sized, weights, cap, rows_per_range).drop("key")
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: str = "mix", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """The mixed documents: each row of `docs` as often as the mix takes it whole, and the one at its source's
-    cut once more with the words up to the cut; rows of which nothing is taken go.  Columns stay as they are
-    (n_chars follows a cut text).  Rows with equal doc_id are told apart by their size alone.
+    cut once more with its words up to the cut.  Rows of which nothing is taken go.  Columns stay as they are;
+    n_chars, if there, follows a cut text.
     """
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = taken.groupBy("_id", "_size").agg(F.sort_array(F.collect_list("_taken")).alias("_takes"))
-    rows = docs.withColumn("_words", n_words("text"))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    if "n_chars" not in docs.columns:
-        raise ValueError("documents need n_chars")
-    # equal rows (same id and size) each carry all their takes: keep the k-th for the k-th row
-    rank = F.row_number().over(W.partitionBy("_id", "_size").orderBy(F.xxhash64("text")))
-    rows = rows.withColumn("_taken", F.element_at("_takes", rank))
-    whole = F.when(F.col("_words") > 0, F.floor(F.col("_taken") / F.col("_words"))).otherwise(0).cast("int")
-    rows = rows.withColumns({"_whole": whole, "_cut": F.when(F.col("_words") > 0, F.col("_taken") % F.col("_words")).otherwise(0)})
-    copies = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_cut") > 0, F.array(F.col("_cut").cast("int"))).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_part", F.explode(copies))
-    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_part").cast("string"), F.lit("}"))
-    text = F.when(F.col("_part") > 0, F.regexp_substr("text", pattern)).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    sized = scratch_table(_sizes(docs, seed), "sizes")
+    rows = _take(_sizes(docs, seed, F.struct(*docs.columns).alias("row")), sized, weights, cap, rows_per_range)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(0), whole), F.filter(F.array(part), lambda x: x > 0))
+    rows = rows.select("row", F.explode(copies).alias("part"))
+    # pieces of blanks and a word; the first of them are the text up to the cut
+    pieces = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col("part") > 0, F.array_join(F.slice(pieces, 1, F.greatest("part", F.lit(1))), "")).otherwise(F.col("row.text"))
+    out = rows.withColumn("row", F.col("row").withField("text", text))
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("part") > 0, F.length("row.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        out = out.withColumn("row", F.col("row").withField("n_chars", chars))
+    return out.select("row.*")

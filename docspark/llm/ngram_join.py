@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import let, scratch_table, words_sql
+from .common import BROADCAST_IDS, let, scratch_table, words_sql
 
 #: Executors get this module's code with the job, wherever the package lies.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,9 +41,6 @@ PARTS = ((128, 1.0), (256, 0.45), (512, 0.35), (1024, 0.28), (4096, 0.23), (None
 LONG = 64
 #: A block's nodes differ from its head by this part of their size at most.
 NEAR = 0.05
-#: Up to so many ids are broadcast to the scan that fetches their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _N, _LISTED = "shiftright(size_listed, 31)", "(size_listed & 2147483647)"
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, scratch_table, words_sql
+from .common import let, scratch_table, without, words_sql
 
 #: Rules: SQL over the base columns, cutoffs tried from strict to lax (ratio above cutoff: rejected), part of the risk.
 RULES = {
@@ -115,15 +115,23 @@ def verdict(cutoffs: dict, stratum: str, rules=RULES) -> Column:
 
 
 def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, rules=RULES, most_strata: int = 1000) -> DataFrame:
-    """doc_id, stratum and base columns, base_failed, kept for each row of `docs` (doc_id, text, `stratum`).
+    """doc_id, stratum, text_hash and base columns, base_failed, kept for each row of `docs` (doc_id, text, `stratum`).
 
     labels: doc_id, quality (1 good, 0 bad); rows with null in either, and ids that `docs` lacks, say nothing.
     Good documents of the holdout that the base rules already reject are left out of it.  Null strata form
     one stratum.  Of more than `most_strata` strata the largest in labelled rows get cutoffs; others reject nothing.
     Without labels `kept` is `not base_failed`.  Repeated rows give repeated results.
     """
-    base = scratch_table(base_features(docs, keep=("doc_id", stratum)), "quality")
+    rows = docs.select("doc_id", stratum, "text", F.xxhash64("text").alias("text_hash"))
+    base = scratch_table(base_features(rows, keep=("doc_id", stratum, "text_hash")), "quality")
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     counts = rejected_counts(base.where("not base_failed").join(good, "doc_id", "left_semi"), stratum, rules)
     counts = [r.asDict() for r in counts.orderBy(F.desc("n"), F.col(stratum)).limit(most_strata).collect()]
     return base.withColumn("kept", ~F.col("base_failed") & verdict(choose_cutoffs(counts, stratum, risk, delta, rules), stratum, rules))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """`docs` without the rows that quality() doesn't keep; rows are told apart by doc_id and text."""
+    judged = quality(docs, labels, **options)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return without(docs, gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))

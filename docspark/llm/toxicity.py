@@ -155,10 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tuple
     return {f: float(x) for f, x in zip(features, w) if x}, b
 
 
-def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
-    """`docs` without text, with held_out, score and predicted; null texts are empty, every row is kept."""
-    keep = [c for c in docs.columns if c not in ("text", "held_out", "score", "predicted")]
-    rows = docs.select(*keep, "text", (fold() == 0).alias("held_out"))
+def score(docs: DataFrame, weights: dict[str, float], bias: float, keep_text: bool = False) -> DataFrame:
+    """`docs` with held_out, score and predicted, and without text unless it is kept; null texts are empty, every row stays.
+
+    Columns of these names are replaced.
+    """
+    keep = [c for c in docs.columns if c not in ("held_out", "score", "predicted") and (keep_text or c != "text")]
+    rows = docs.select(*dict.fromkeys([*keep, "text"]), (fold() == 0).alias("held_out"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -176,10 +179,15 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
             s = 1 / (1 + np.exp(-np.clip(np.array(sums), -500, 500)))
             yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), part["held_out"], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
 
-    schema = rows.drop("text").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    schema = rows.select(*keep, "held_out").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return rows.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """fit() and score() over the same documents (doc_id, text, any columns)."""
     return score(docs, *fit(docs, labels, prior))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
+    """`docs` without the rows that are predicted toxic."""
+    return score(docs.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "_row"), *fit(docs, labels, prior)).where("predicted = 0").select("_row.*")
