@@ -1 +1 @@
-
+"""Column functions: text rules, headings and box geometry."""

@@ -1 +1 @@
-
+"""Readers, writers and hooks for recognition engines."""

@@ -1 +1 @@
-
+"""Page analyses as a stream."""
