@@ -132,8 +132,9 @@ _TRIMMED = ", ".join(f"CASE WHEN a = 0 THEN NULL WHEN NOT ja THEN d{s} WHEN got
 _ASSETS = "as1 AS (SELECT conv_id AS book_id, turn AS page_index, unnest([0, 1]) AS pos, unnest(['fig' || turn || '.png', 'all.png']) AS base FROM conversations WHERE turn % 3 = 0), an AS (SELECT *, row_number() OVER (PARTITION BY book_id, base ORDER BY page_index, pos) - 1 AS k FROM as1), nm AS (SELECT *, CASE WHEN k = 0 THEN base ELSE replace(base, '.png', '_' || k || '.png') END AS name FROM an)"
 
 _REPLACED = f"""{_BOXES}, {_TRIM}, dt AS (SELECT d.* FROM d JOIN cut USING (book_id, det_idx) WHERE a > 0 AND (NOT ja OR (got AND cut.x2 > cut.x1 AND cut.y2 > cut.y1))), {_matched(0.5, 'dt')}, {_lined(0.5)},
-shown AS (SELECT book_id, det_idx, contents, latex FROM (SELECT *, row_number() OVER (PARTITION BY book_id, para_idx ORDER BY det_idx) AS o FROM m WHERE type = 'isolated') WHERE o = 1 AND latex <> ''),
-hit AS (SELECT m.book_id, m.para_idx, m.det_idx, m.latex, lw.line FROM m JOIN lw ON m.type <> 'isolated' AND m.book_id = lw.book_id AND m.para_idx = lw.para_idx AND {_area('m')} > 0 AND {_area('lw')} > 0 AND {_part('lw', 'm')} >= 0.5),
+same AS (SELECT book_id, para_idx, min(para_idx) OVER (PARTITION BY book_id, x1, y1, x2, y2, contents) AS one FROM p), mc AS (SELECT m.* REPLACE (one AS para_idx) FROM m JOIN same USING (book_id, para_idx)),
+shown AS (SELECT book_id, det_idx, contents, latex FROM (SELECT *, row_number() OVER (PARTITION BY book_id, para_idx ORDER BY det_idx) AS o FROM mc WHERE type = 'isolated') WHERE o = 1 AND latex <> ''),
+hit AS (SELECT m.book_id, m.para_idx, m.det_idx, m.latex, lw.line FROM mc m JOIN lw ON m.type <> 'isolated' AND m.book_id = lw.book_id AND m.para_idx = lw.para_idx AND {_area('m')} > 0 AND {_area('lw')} > 0 AND {_part('lw', 'm')} >= 0.5),
 run AS (SELECT book_id, para_idx, det_idx, latex, min(line) AS first, max(line) + 1 AS last FROM hit GROUP BY ALL HAVING max(line) - min(line) + 1 = count(*)),
 o AS (SELECT *, row_number() OVER (PARTITION BY book_id, para_idx ORDER BY first, det_idx) AS r, coalesce(lag(last) OVER (PARTITION BY book_id, para_idx ORDER BY first, det_idx), 0) AS since FROM run),
 bits AS (SELECT book_id, para_idx, r, array_to_string(list_slice(['x', '最大化', 'y\\*', 'x', 'z_1'], since + 1, first), '') || '$' || latex || '$' AS bit, last FROM o)"""
