@@ -22,8 +22,8 @@ PIECE_WORDS = 32
 #: The fingerprint: log2 of the cells per table.
 BITS = 3
 #: Retries, larger each time: digests per block when nothing is shared, log2 of the cells per table, lowest bit used.
-RETRIES = ((8, 4, 0), (8, 5, 12), (6, 6, 20), (4, 6, 2))
-ROUNDS = 15
+RETRIES = ((20, 4, 0), (24, 5, 12), (12, 6, 20), (4, 6, 2))
+ROUNDS = 24
 
 
 def digests_sql(text: str) -> str:
@@ -35,28 +35,40 @@ def digests_sql(text: str) -> str:
 def sketch_sql(keys: str, bits: int = BITS, low: int = 0) -> str:
     """SQL: the cells (n, k, c) of three tables: count, XOR of digests, XOR of their checks."""
     mask = 2**bits - 1
-    groups = f"transform(sequence(0, {3 * 2**bits - 1}), i -> filter({keys}, k -> (shiftright(k, {low} + {bits} * shiftright(i, {bits})) & {mask}) = (i & {mask})))"
-    return f"transform({groups}, g -> struct(size(g) as n, aggregate(g, 0L, (a, k) -> a ^ k) as k, aggregate(g, 0L, (a, k) -> a ^ xxhash64(k)) as c))"
-
-
-def peel_sql(left: str, right: str, bits: int = BITS, low: int = 0) -> str:
-    """SQL: struct(ok, found) of two sketches' difference; found has digest k and n, 1 if only `left` has it and -1 if only `right`."""
-    mask, cells = 2**bits - 1, 2**bits
-    minus = f"zip_with({left}, {right}, (x, y) -> struct(x.n - y.n as n, x.k ^ y.k as k, x.c ^ y.c as c))"
-    pure = f"filter(slice(s.cells, (r % 3) * {cells} + 1, {cells}), x -> abs(x.n) = 1 and x.c = xxhash64(x.k))"
-    here = f"filter(p, q -> (shiftright(q.k, {low} + {bits} * shiftright(i, {bits})) & {mask}) = (i & {mask}))"
-    taken = f"transform(s.cells, (x, i) -> aggregate({here}, x, (y, q) -> struct(y.n - q.n as n, y.k ^ q.k as k, y.c ^ xxhash64(q.k) as c)))"
-    step = let(pure, "p", f"if(size(p) = 0, s, struct({taken} as cells, concat(s.found, transform(p, x -> struct(x.k as k, x.n as n))) as found))")
-    start = f"struct({minus} as cells, cast(array() as array<struct<k:bigint,n:int>>) as found)"
+    here = f"(shiftright(k, {low} + {bits} * shiftright(i, {bits})) & {mask}) = (i & {mask})"
+    return f"transform(sequence(0, {3 * 2**bits - 1}), i -> aggregate({keys}, struct(0 as n, 0L as k, 0L as c), (a, k) -> if({here}, struct(a.n + 1 as n, a.k ^ k as k, a.c ^ xxhash64(k) as c), a)))"
+
+
+def minus_sql(left: str, right: str) -> str:
+    """SQL: the cells of `left` minus those of `right`."""
+    return f"zip_with({left}, {right}, (x, y) -> struct(x.n - y.n as n, x.k ^ y.k as k, x.c ^ y.c as c))"
+
+
+def peel_sql(cells: str, bits: int = BITS, low: int = 0) -> str:
+    """SQL: struct(ok, found) of a difference; found has digest k and n, 1 if only the left has it and -1 if only the right."""
+    mask, size = 2**bits - 1, 2**bits
+    pure = f"filter(slice(s.cells, (r % 3) * {size} + 1, {size}), x -> abs(x.n) = 1 and x.c = xxhash64(x.k))"
+    here = f"(shiftright(q.k, {low} + {bits} * shiftright(i, {bits})) & {mask}) = (i & {mask})"
+    taken = f"transform(s.cells, (x, i) -> aggregate(p, x, (y, q) -> if({here}, struct(y.n - q.n as n, y.k ^ q.k as k, y.c ^ q.c as c), y)))"
+    step = let(pure, "p", f"if(size(p) = 0, struct(s.idle + 1 as idle, s.cells as cells, s.found as found), struct(0 as idle, {taken} as cells, concat(s.found, transform(p, x -> struct(x.k as k, x.n as n))) as found))")
+    # three tables in turn without a lone digest: nothing more comes
+    step = f"if(s.idle >= 3, s, {step})"
+    start = f"struct(0 as idle, {cells} as cells, cast(array() as array<struct<k:bigint,n:int>>) as found)"
     end = "s -> struct(forall(s.cells, x -> x.n = 0 and x.k = 0L and x.c = 0L) as ok, s.found as found)"
     return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, {end})"
 
 
 def _blocks_sql(a: str, b: str, share: int, bits: int, low: int) -> str:
-    """SQL: struct(ok, found) by sketches of (|a| + |b|) / share blocks."""
-    part = lambda keys: f"filter({keys}, k -> pmod(shiftrightunsigned(k, 40), m) = j)"
-    one = peel_sql(sketch_sql(part(a), bits, low), sketch_sql(part(b), bits, low), bits, low)
-    each = let(f"cast(greatest(1, ceil((size({a}) + size({b})) / {share})) as int)", "m", f"transform(sequence(0, m - 1), j -> {one})")
+    """SQL: struct(ok, found) by sketches of (|a| + |b|) / share blocks.
+
+    The digests of `b` are taken from a block's cells as those of `a` are put in: the same as subtracting their sketches.
+    """
+    mask = 2**bits - 1
+    signed = f"concat(transform({a}, k -> struct(k as k, xxhash64(k) as c, 1 as n)), transform({b}, k -> struct(k as k, xxhash64(k) as c, -1 as n)))"
+    here = f"(shiftright(x.k, {low} + {bits} * shiftright(i, {bits})) & {mask}) = (i & {mask})"
+    cells = f"transform(sequence(0, {3 * 2**bits - 1}), i -> aggregate(z, struct(0 as n, 0L as k, 0L as c), (t, x) -> if({here}, struct(t.n + x.n as n, t.k ^ x.k as k, t.c ^ x.c as c), t)))"
+    one = let("filter(v, x -> pmod(shiftrightunsigned(x.k, 40), m) = j)", "z", peel_sql(cells, bits, low))
+    each = let(signed, "v", let(f"cast(greatest(1, ceil(size(v) / {share})) as int)", "m", f"transform(sequence(0, m - 1), j -> {one})"))
     return let(each, "e", "struct(forall(e, x -> x.ok) as ok, flatten(transform(e, x -> x.found)) as found)")
 
 
@@ -74,7 +86,7 @@ def with_difference(rows: DataFrame, name: str, a: str, b: str, cells_a: str, ce
     First the fingerprints' own cells are tried, then RETRIES.  After all have failed (a chance in millions even
     for the longest texts) the digests are compared as they are; tries is then 0.
     """
-    rows = rows.withColumn(name, F.expr(_outcome_sql(peel_sql(cells_a, cells_b), a, b, 1)))
+    rows = rows.withColumn(name, F.expr(_outcome_sql(peel_sql(minus_sql(cells_a, cells_b)), a, b, 1)))
     for tries, retry in enumerate(RETRIES, 2):
         rows = rows.withColumn(name, F.expr(f"if({name}.fits, {name}, {_outcome_sql(_blocks_sql(a, b, *retry), a, b, tries)})"))
     plain = f"named_struct('fits', true, 'only_a', array_except({a}, {b}), 'only_b', array_except({b}, {a}), 'tries', 0)"
