@@ -48,12 +48,14 @@ _N, _LISTED = "shiftright(size_listed, 31)", "(size_listed & 2147483647)"
 def shingles_sql(text: str, k: int = SHINGLE_WORDS) -> str:
     """SQL: distinct 64-bit hashes of the k-word shingles of a text, A-Z lower-cased; of fewer words, that of them all."""
     windows = f"transform(slice(w, 1, size(w) - {k - 1}), (x, i) -> xxhash64(slice(w, i + 1, {k})))"
-    return let(words_sql(f"translate({text}, '{_UPPER}', '{_LOWER}')"), "w", f"if(size(w) = 0, cast(array() as array<bigint>), if(size(w) < {k}, array(xxhash64(w)), array_distinct({windows})))")
+    # lower() does the same to texts of ASCII alone, and faster
+    lowered = f"if(octet_length({text}) = char_length({text}), lower({text}), translate({text}, '{_UPPER}', '{_LOWER}'))"
+    return let(words_sql(lowered), "w", f"if(size(w) = 0, cast(array() as array<bigint>), if(size(w) < {k}, array(xxhash64(w)), array_distinct({windows})))")
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """Adds toks and node to rows with text."""
-    return docs.withColumn("toks", F.expr(shingles_sql("text", k))).withColumn("node", F.expr("xxhash64(array_sort(toks))"))
+    return docs.withColumn("toks", F.expr(shingles_sql("text", k))).withColumn("node", F.expr("xxhash64(sort_array(toks))"))
 
 
 def _part(n):
@@ -195,7 +197,11 @@ def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int =
         ids = scratch_table(wanted.join(info, "node").select(F.col("node").alias("want"), F.col("first_id").alias("id")), "wanted")
         side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("id")))
-        return scratch_table(shingle_sets(texts, k).where("node = want").groupBy("node").agg(F.first("toks").alias("toks")), "sets")
+        # written before nodes are compared: else the comparison joins the keys and every text's set is made for it
+        made = scratch_table(shingle_sets(texts, k).select("want", "node", "toks"), "sets").where("node = want").select("node", "toks")
+        if made.groupBy("node").count().where("count > 1").head(1):
+            return made.groupBy("node").agg(F.first("toks").alias("toks"))
+        return made
 
     def verify(some: DataFrame, sets: DataFrame) -> DataFrame:
         """x, y, shared, n_x, n_y, d (how many shingles only one of them has), link for distinct pairs (x, y)."""
@@ -241,7 +247,7 @@ def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int =
         rest = scratch_table(rest.union(met.select("x", "y")).distinct(), "rest")
         more = rest.select(F.col("x").alias("node")).union(rest.select("y")).distinct().join(sets.select("node"), "node", "left_anti")
         if more.head(1):
-            sets = scratch_table(sets.unionByName(fetch(more)), "sets")
+            sets = sets.unionByName(fetch(more))
     second = verify(rest, sets)
     links = links.unionByName(second.where("link").select("x", "y", "shared"))
     if any_hot:
@@ -255,7 +261,7 @@ def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int =
             wide = scratch_table(wide.where("m_x <> x or m_y <> y").select(F.col("m_x").alias("x"), F.col("m_y").alias("y")).distinct(), "wide")
             lacking = wide.select(F.col("x").alias("node")).union(wide.select("y")).distinct().join(sets.select("node"), "node", "left_anti")
             if lacking.head(1):
-                sets = scratch_table(sets.unionByName(fetch(lacking)), "sets")
+                sets = sets.unionByName(fetch(lacking))
             links = links.unionByName(verify(wide, sets).where("link").select("x", "y", "shared"))
     label = components(links)
     names = label.join(info.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("id"))

@@ -32,8 +32,8 @@ def repeat_words_sql(words: str) -> str:
     (hash, place), then the places of repeated ones; each place adds at most the 8 words up to the next.
     """
     hashes = f"transform(slice({words}, 1, greatest(size({words}) - 7, 0)), (x, i) -> xxhash64(slice({words}, i + 1, 8)))"
-    pairs = "array_sort(transform(h, (x, i) -> struct(x as h, i as i)))"
-    places = "array_sort(transform(filter(s, (x, i) -> x.h = try_element_at(s, i + 2).h or (i > 0 and x.h = s[greatest(i - 1, 0)].h)), x -> x.i))"
+    pairs = "sort_array(transform(h, (x, i) -> struct(x as h, i as i)))"
+    places = "sort_array(transform(filter(s, (x, i) -> x.h = try_element_at(s, i + 2).h or (i > 0 and x.h = s[greatest(i - 1, 0)].h)), x -> x.i))"
     covered = "aggregate(p, struct(0 as n, -8 as last), (a, x) -> struct(a.n + least(8, x - a.last) as n, x as last), a -> a.n)"
     counted = let(pairs, "s", let(places, "p", covered))
     return let(hashes, "h", f"if(size(array_distinct(h)) = size(h), 0, {counted})")
