@@ -10,52 +10,92 @@ set's size alone, so two sets compare on the part below the lower limit.  Lists
 * Lists of over LONG nodes are left out for nodes that have more than n/7 shingles in shorter lists; linked
   pairs of such nodes meet there.  Other ("crowded") nodes use all their lists.
 
-Answers are derived from similar sets: of a crowded list, nodes are compared with the list's head, those very
-near to it form its block, and a block's distances to another follow from its head's to within both radii
-(distances are sizes of symmetric differences).  Only block pairs that stay open are compared node by node.
+Answers are derived from similar sets: first every node is compared with the best partner that its lists show, a
+crowded one with the head of the list it shares most.  The components so found stand in the lists for all their
+nodes: a list of one component is skipped, and of two components that meet in a list only those are opened
+whose nodes then share enough.  Of a crowded node, the n/4 + 1 rarest listed shingles are looked up, as a
+linked set has one of them; so a passage that many documents share is looked up for few.
 Nodes known to be in one component need no further comparison, so groups of copies never become all their pairs.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BROADCAST_IDS, let, scratch_table, words_sql
+from .common import BROADCAST_IDS, scratch_table
+from .piece_table import by_chars
 
 #: Executors get this module's code with the job, wherever the package lies.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE_WORDS = 5
+#: Words whose hash a worker keeps.
+KEPT_WORDS = 300_000
 #: Sets of up to so many shingles list this part of the hash space (so that more than 1/7 of the set is listed; checked, else all is).
 PARTS = ((128, 1.0), (256, 0.45), (512, 0.35), (1024, 0.28), (4096, 0.23), (None, 0.19))
 #: Nodes in a list beyond which it counts as crowded.
 LONG = 64
-#: A block's nodes differ from its head by this part of their size at most.
-NEAR = 0.05
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _N, _LISTED = "shiftright(size_listed, 31)", "(size_listed & 2147483647)"
 
 
-def shingles_sql(text: str, k: int = SHINGLE_WORDS) -> str:
-    """SQL: distinct 64-bit hashes of the k-word shingles of a text, A-Z lower-cased; of fewer words, that of them all."""
-    windows = f"transform(slice(w, 1, size(w) - {k - 1}), (x, i) -> xxhash64(slice(w, i + 1, {k})))"
-    # lower() does the same to texts of ASCII alone, and faster
-    lowered = f"if(octet_length({text}) = char_length({text}), lower({text}), translate({text}, '{_UPPER}', '{_LOWER}'))"
-    return let(words_sql(lowered), "w", f"if(size(w) = 0, cast(array() as array<bigint>), if(size(w) < {k}, array(xxhash64(w)), array_distinct({windows})))")
+class _Hashes(dict):
+    """64-bit hash of each word, kept for up to KEPT_WORDS words."""
 
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < KEPT_WORDS:
+            self[word] = value
+        return value
 
-def shingle_sets(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """Adds toks and node to rows with text."""
-    return docs.withColumn("toks", F.expr(shingles_sql("text", k))).withColumn("node", F.expr("xxhash64(sort_array(toks))"))
+
+class ShingleSets:
+    """Makes the sorted distinct 64-bit hashes of the k-word shingles of texts (as bytes), A-Z lower-cased; of fewer words, that of them all."""
+
+    def __init__(self, k: int):
+        self.k, self.word, self.hashes = k, re.compile(rb"[^\x20\x09-\x0D]+"), _Hashes()
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        words = self.word.findall(text.lower())  # of bytes: ASCII letters alone
+        n, k = len(words), self.k
+        if n < k:
+            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)] if n else [], dtype=np.uint64)
+        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
+        a = h[: n - k + 1].copy()
+        for j in range(1, k):
+            a ^= a >> np.uint64(29)
+            a *= np.uint64(0x9E3779B97F4A7C15)
+            a += h[j : n - k + 1 + j]
+        for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB), (32, 1)):
+            a ^= a >> np.uint64(shift)
+            a *= np.uint64(factor)
+        return np.unique(a)
+
+
+def shingle_sets(docs: DataFrame, keep: str, k: int = SHINGLE_WORDS) -> DataFrame:
+    """`keep`, node and toks of rows with `keep` (a long) and text (null: empty)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = ShingleSets(k)
+        for part, texts in by_chars(batches, "text", as_bytes=True):
+            sets = [make(t) for t in texts]
+            offsets = np.zeros(len(sets) + 1, dtype=np.int32)
+            np.cumsum([len(x) for x in sets], out=offsets[1:])
+            toks = pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part[keep].cast(pa.int64()), pa.array(node), toks], names=[keep, "node", "toks"])
+
+    return docs.select(keep, "text").mapInArrow(run, f"{keep} long, node long, toks array<long>")
 
 
 def _part(n):
@@ -72,22 +112,21 @@ def _entries(docs: DataFrame, k: int, whole: bool) -> DataFrame:
     heights = np.array([2**64 - 1 if whole or part == 1 else int(part * 2**64) for _, part in PARTS], dtype=np.uint64)
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = ShingleSets(k)
         seen: set[int] = set()  # of the task's nodes: copies of a set enter the lists once a task
-        for batch in batches:
-            node, lists = batch["node"].to_numpy(), batch["toks"]
-            n = lists.value_lengths().to_numpy().astype(np.int64)
-            toks = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            low = toks.view(np.uint64) <= heights[np.searchsorted(limits, n)][row]
-            listed = np.bincount(row[low], minlength=len(n)).astype(np.int64)
+        for part, texts in by_chars(batches, "text", as_bytes=True):
+            sets = [make(t) for t in texts]
+            ids = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets]
+            node = np.array(ids, dtype=np.uint64).view(np.int64)
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            # sorted sets: what lies below a limit comes first
+            listed = np.array([np.searchsorted(x, h, side="right") for x, h in zip(sets, heights[np.searchsorted(limits, n)])], dtype=np.int64)
             packed = (n << 31) | listed
-            new = np.array([not (x in seen or seen.add(x)) for x in node.tolist()], dtype=bool)
-            keep = low & new[row]
-            r = row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), batch["doc_id"].cast(pa.int64()), batch["node"], pa.array(packed)], names=names)
-            for i in range(0, len(r), 500_000):
-                q = r[i : i + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(q), bool)), pa.array(toks[keep][i : i + 500_000]), pa.array(node[q]), pa.array(packed[q])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), part["doc_id"].cast(pa.int64()), pa.array(node), pa.array(packed)], names=names)
+            new = np.array([not (x in seen or seen.add(x)) for x in ids], dtype=bool)
+            each = np.where(new, listed, 0)
+            toks = np.concatenate([x[:m] for x, m in zip(sets, each)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(toks), bool)), pa.array(toks), pa.array(np.repeat(node, each)), pa.array(np.repeat(packed, each))], names=names)
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3  # the last entry so far, whose next isn't known
@@ -112,7 +151,7 @@ def _entries(docs: DataFrame, k: int, whole: bool) -> DataFrame:
 
     names = ["own", "tok", "node", "size_listed"]
     schema = "own boolean, tok long, node long, size_listed long"
-    exploded = shingle_sets(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), k).select("doc_id", "node", "toks").mapInArrow(explode, schema)
+    exploded = docs.select("doc_id", "text").mapInArrow(explode, schema)
     return exploded.repartition("tok").sortWithinPartitions("own", "tok", "node").mapInArrow(shared, schema)
 
 
@@ -196,9 +235,8 @@ def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int =
         """node, toks for nodes, from their texts."""
         ids = scratch_table(wanted.join(info, "node").select(F.col("node").alias("want"), F.col("first_id").alias("id")), "wanted")
         side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("id")))
-        # written before nodes are compared: else the comparison joins the keys and every text's set is made for it
-        made = scratch_table(shingle_sets(texts, k).select("want", "node", "toks"), "sets").where("node = want").select("node", "toks")
+        texts = docs.select("doc_id", "text").join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("id")))
+        made = scratch_table(shingle_sets(texts, "want", k).where("node = want"), "sets").select("node", "toks")
         if made.groupBy("node").count().where("count > 1").head(1):
             return made.groupBy("node").agg(F.first("toks").alias("toks"))
         return made
@@ -228,41 +266,35 @@ def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int =
 
     rest = labelled(plain.select("x", "y"), label)
     if any_hot:
-        # blocks: nodes very near to a head that is in no other block
-        near = checked.join(nearest, ["x", "y"], "left_semi").where(F.col("d") <= F.least("n_x", "n_y") * NEAR).select("x", "y", "d")
-        member = near.join(near.select(F.col("y").alias("x")), "x", "left_anti")
-        block = scratch_table(nodes.join(member.select(F.col("y").alias("node"), F.col("x").alias("head"), "d"), "node", "left").select("node", "n", "listed", "hot", F.coalesce("head", "node").alias("block"), F.coalesce("d", F.lit(0)).alias("d")), "blocks")
-        span = block.groupBy("block").agg(F.max("d").alias("r"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("listed").alias("listed"), F.max("hot").alias("hot"))
-        in_lists = entries.select("tok", "node").join(block.select("node", "block"), "node").select("tok", "block").distinct().join(span, "block")
-        side = lambda s: in_lists.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in span.columns))
-        met = side("x").where("hot_x").join(side("y"), "tok").where("(not hot_y and block_x <> block_y) or block_x < block_y")
+        in_component = nodes.join(label, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
+        in_component = scratch_table(in_component, "components")
+        span = in_component.groupBy("component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        sizes = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("size"))
+        # the rarest shingles of each crowded node, if all sets that it may link with list the same part
+        looked = entries.join(sizes, "tok").join(in_component.where("hot").select("node", "component", "listed"), "node")
+        mine = W.partitionBy("node")
+        looked = looked.withColumns({"rank": F.row_number().over(mine.orderBy("size", "tok")), "present": F.count(F.lit(1)).over(mine)})
+        alike = _part(F.col("n")) == _part(F.ceil(F.col("n") * 4 / 3))
+        looked = looked.where(~alike | (F.col("rank") <= F.floor(F.col("n") / 4) + 1 - (F.col("listed") - F.col("present"))))
+        looked = looked.select("tok", "component").distinct().join(span, "component")
+        in_lists = entries.select("tok", "node").join(in_component.select("node", "component"), "node")
+        several = in_lists.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("tok")
+        others = in_lists.join(several, "tok", "left_semi").select("tok", "component").distinct().join(span, "component")
+        side = lambda rows, s: rows.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in span.columns))
+        met = side(looked, "x").join(side(others, "y"), "tok").where("component_x <> component_y")
         met = met.where((F.col("most_x") * 100 >= F.col("least_y") * percent) & (F.col("most_y") * 100 >= F.col("least_x") * percent))
-        stay = [f"{c}_{s}" for s in "xy" for c in ("r", "least", "most", "listed")]
-        met = met.groupBy(F.col("block_x").alias("x"), F.col("block_y").alias("y")).agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in stay))
-        # the larger set's side decides, as above; of a block, its bounds do
-        few = lambda s, t: F.col("c") * 7 >= F.col(f"listed_{s}") * 7 - 4 * F.col(f"most_{s}") + 3 * F.col(f"least_{t}")
-        one_part = (_part(F.col("least_x")) == _part(F.col("most_x"))) & (_part(F.col("least_x")) == _part(F.col("least_y"))) & (_part(F.col("least_x")) == _part(F.col("most_y")))
-        met = labelled(met.where(~one_part | (few("x", "y") & few("y", "x"))), label)
-        met = scratch_table(met, "block_pairs")
-        rest = scratch_table(rest.union(met.select("x", "y")).distinct(), "rest")
+        met = scratch_table(met.select(F.least("component_x", "component_y").alias("p"), F.greatest("component_x", "component_y").alias("q")).distinct(), "met")
+        # the nodes of components that met, by what they share
+        listed = entries.select("tok", "node").join(in_component, "node")
+        opened = lambda s, by: listed.select("tok", F.col("component").alias(by), F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "listed", "hot")))
+        shared = met.join(opened("x", "p"), "p").join(opened("y", "q"), ["tok", "q"]).where((F.col("hot_x") | F.col("hot_y")) & compatible(F.col("n_x"), F.col("n_y")))
+        shared = shared.groupBy("x", "y", "n_x", "n_y", "listed_x", "listed_y").agg(F.count(F.lit(1)).alias("c"))
+        shared = shared.withColumns({"l_x": F.col("listed_x"), "l_y": F.col("listed_y")}).where(enough)
+        rest = scratch_table(rest.union(shared.select("x", "y")).distinct(), "rest")
         more = rest.select(F.col("x").alias("node")).union(rest.select("y")).distinct().join(sets.select("node"), "node", "left_anti")
         if more.head(1):
             sets = sets.unionByName(fetch(more))
-    second = verify(rest, sets)
-    links = links.unionByName(second.where("link").select("x", "y", "shared"))
-    if any_hot:
-        open_pairs = met.where("r_x + r_y > 0").join(second.where("not link").select("x", "y", "d"), ["x", "y"])
-        open_pairs = open_pairs.where(F.col("d") - F.col("r_x") - F.col("r_y") <= (F.col("most_x") + F.col("most_y")) / 7.0)
-        if open_pairs.head(1):
-            label = components(links)
-            a, b = (block.select(F.col("block").alias(f"b_{s}"), F.col("node").alias(f"m_{s}"), F.col("n").alias(f"n_{s}"), F.col("d").alias(f"d_{s}")) for s in "xy")
-            wide = labelled(open_pairs.select("x", "y", "d"), label).join(a, F.col("x") == F.col("b_x")).join(b, F.col("y") == F.col("b_y"))
-            wide = wide.where((F.col("d") - F.col("d_x") - F.col("d_y") <= (F.col("n_x") + F.col("n_y")) / 7.0) & compatible(F.col("n_x"), F.col("n_y")))
-            wide = scratch_table(wide.where("m_x <> x or m_y <> y").select(F.col("m_x").alias("x"), F.col("m_y").alias("y")).distinct(), "wide")
-            lacking = wide.select(F.col("x").alias("node")).union(wide.select("y")).distinct().join(sets.select("node"), "node", "left_anti")
-            if lacking.head(1):
-                sets = sets.unionByName(fetch(lacking))
-            links = links.unionByName(verify(wide, sets).where("link").select("x", "y", "shared"))
+    links = links.unionByName(verify(rest, sets).where("link").select("x", "y", "shared"))
     label = components(links)
     names = label.join(info.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("id"))
     roots = names.join(info.select(F.col("node").alias("label"), F.col("first_id").alias("root_id")), "label").select("label", F.least("id", "root_id").alias("id"))

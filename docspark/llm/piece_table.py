@@ -77,8 +77,9 @@ class ChunkTable:
         return [np.concatenate([table[c] for c in words]) if words else none for words in chunks]
 
 
-def by_chars(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches of about `most` bytes of text (one row at least), with their texts; null is empty."""
+def by_chars(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_CHARS, as_bytes: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches of about `most` bytes of text (one row at least), with their texts (or UTF-8 bytes); null is empty."""
+    none = b"" if as_bytes else ""
     for batch in batches:
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)))
         start = 0
@@ -86,7 +87,8 @@ def by_chars(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_C
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             part = batch.slice(start, stop - start)
-            yield part, [t or "" for t in part[column].to_pylist()]
+            texts = part[column].cast(pa.binary()) if as_bytes else part[column]
+            yield part, [t or none for t in texts.to_pylist()]
             start = stop
 
 
