@@ -221,14 +221,17 @@ def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int =
     enough = (~(same | swap) | (F.col("c") * 7 >= need("x", "y"))) & (~(same | ~swap) | (F.col("c") * 7 >= need("y", "x")))
     plain = scratch_table(pairs.join(x, "x").join(y, "y").where(enough).select("x", "y", (F.col("c") / (F.col("n_x") + F.col("n_y"))).alias("c")), "pairs")
 
-    # each crowded node and the head of the list that it shares most with
+    # each crowded node and, of the heads and neighbours in its lists, the one that it shares most with
     hot = nodes.where("hot")
     any_hot = bool(hot.head(1))
     nearest = None
     if any_hot:
         listed = entries.join(hot.select("node"), "node", "left_semi").withColumn("size", F.floor(F.log(F.col("n")) / np.log(1.1)))
         heads = listed.groupBy("tok", "size").agg(F.min("node").alias("head"))
-        chosen = listed.join(heads, ["tok", "size"]).where("head <> node").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
+        # beside the head, the two before a node in the order of size: of near copies, some partner is near enough to link
+        order = W.partitionBy("tok").orderBy("n", "node")
+        before = listed.withColumns({f"b{i}": F.lag("node", i).over(order) for i in (1, 2)}).select("node", F.explode(F.array("b1", "b2")).alias("head"))
+        chosen = listed.join(heads, ["tok", "size"]).select("node", "head").unionByName(before).where("head <> node").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
         nearest = scratch_table(chosen.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("head")).select(F.col("head").alias("x"), F.col("node").alias("y")), "heads")
 
     def fetch(wanted: DataFrame) -> DataFrame:
