@@ -15,7 +15,11 @@ crowded one with the head of the list it shares most.  The components so found s
 nodes: a list of one component is skipped, and of two components that meet in a list only those are opened
 whose nodes then share enough.  Of a crowded node, the n/4 + 1 rarest listed shingles are looked up, as a
 linked set has one of them; so a passage that many documents share is looked up for few.
-Nodes known to be in one component need no further comparison, so groups of copies never become all their pairs.
+Nodes known to be in one component need no further comparison for that.
+
+The links are then all linked pairs of distinct nodes of a component: its nodes are dealt into blocks by size, pairs of
+blocks whose sizes can't link are skipped, and every other pair of blocks is one small product of matrices, which gives
+what each two of its sets share.  Numbers of links are added up per block, so they need no row per link.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ KEPT_WORDS = 300_000
 PARTS = ((128, 1.0), (256, 0.45), (512, 0.35), (1024, 0.28), (4096, 0.23), (None, 0.19))
 #: Nodes in a list beyond which it counts as crowded.
 LONG = 64
+#: Nodes and shingles of a block, about; a component of no more is one block.
+BLOCK, BLOCK_SHINGLES = 256, 2**18
 _N, _LISTED = "shiftright(size_listed, 31)", "(size_listed & 2147483647)"
 
 
@@ -180,21 +186,106 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sets x has in common with each of y."""
+    tx, ty = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(tx, ty)
+    sides = []
+    for sets, toks in ((x, tx), (y, ty)):
+        row = np.repeat(np.arange(len(sets)), [len(a) for a in sets])
+        at = np.minimum(np.searchsorted(common, toks), max(len(common) - 1, 0))
+        has = common[at] == toks if len(common) else np.zeros(len(toks), bool)
+        sides.append((row[has], at[has]))
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    for start in range(0, len(common), 4096):
+        some = []
+        for sets, (row, at) in zip((x, y), sides):
+            here = (at >= start) & (at < start + 4096)
+            m = np.zeros((len(sets), min(4096, len(common) - start)), dtype=np.float32)
+            m[row[here], at[here] - start] = 1
+            some.append(m)
+        out += (some[0] @ some[1].T).astype(np.int64)  # whole numbers up to 4096: exact
+    return out
+
+
+def _linked(units: DataFrame, percent: int, count: bool) -> DataFrame:
+    """Links (x, y, shared) inside the units of `units`, or (count) node and n, parts of its number of linked documents in other nodes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by([("label", "ascending"), ("a", "ascending"), ("b", "ascending"), ("second", "ascending")])
+        keys = [rows[c].to_numpy() for c in ("label", "a", "b")]
+        second, node, copies = (rows[c].to_numpy() for c in ("second", "node", "copies"))
+        lists = rows["toks"].combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
+        cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        found = []
+        for i, j in zip([0, *cuts], [*cuts, len(node)]):
+            one = keys[1][i] == keys[2][i]
+            middle = j if one else i + int(np.searchsorted(second[i:j], 1))
+            x, y = slice(i, middle), slice(i, j) if one else slice(middle, j)
+            if x.start == x.stop or y.start == y.stop:
+                continue
+            shared = _shared(sets[x], sets[y])
+            n_x, n_y = (np.array([len(t) for t in sets[s]], dtype=np.int64) for s in (x, y))
+            link = shared * 100 >= (n_x[:, None] + n_y[None, :] - shared) * percent
+            if one:
+                np.fill_diagonal(link, False)
+            if count:
+                found.append((node[x], link @ copies[y]))
+                if not one:
+                    found.append((node[y], copies[x] @ link))
+                continue
+            p, q = np.nonzero(np.triu(link) if one else link)
+            u, v = node[x][p], node[y][q]
+            found.append((np.minimum(u, v), np.maximum(u, v), shared[p, q]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * len(names)
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    names = ["node", "n"] if count else ["x", "y", "shared"]
+    return units.groupBy("pool").applyInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _units(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of pairs (a, b) of blocks of members (node, label, n, copies): those of b are `second`; a pool holds whole units."""
+    of_label = members.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("all"))
+    members = members.join(of_label.withColumn("large", (F.col("nodes") > BLOCK) | (F.col("all") > BLOCK_SHINGLES)).drop("nodes", "all"), "label")
+    members = scratch_table(members, "members")
+    small, large = members.where("not large").drop("large"), members.where("large").drop("large")
+    pools = int((small.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES) + 1
+    no = F.lit(0).cast("long")
+    out = small.select("node", "copies", "label", no.alias("a"), no.alias("b"), F.lit(0).alias("second"), F.pmod(F.xxhash64("label"), F.lit(pools)).alias("pool"))
+    if large.head(1):
+        large = large.withColumn("size", F.floor(F.log(F.col("n")) / np.log(1.1)))
+        parts = large.groupBy("label", "size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+        large = large.join(parts, ["label", "size"]).withColumn("block", F.shiftleft("size", 32) + F.pmod(F.xxhash64("node", F.lit(1)), "parts"))
+        large = scratch_table(large.select("node", "label", "n", "copies", "block"), "blocks")
+        blocks = large.groupBy("label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        side = lambda s: blocks.select("label", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most")))
+        near = (F.col("most_a") * 100 >= F.col("least_b") * percent) & (F.col("most_b") * 100 >= F.col("least_a") * percent)
+        pairs = side("a").join(side("b"), "label").where((F.col("block_a") <= F.col("block_b")) & near).select("label", F.col("block_a").alias("a"), F.col("block_b").alias("b"))
+        pairs = scratch_table(pairs, "block_pairs")
+        dealt = lambda s, second: large.withColumnRenamed("block", s).join(pairs.where("a < b") if second else pairs, ["label", s]).select("node", "copies", "label", "a", "b", F.lit(second).alias("second"), F.xxhash64("label", "a", "b").alias("pool"))
+        out = out.unionByName(dealt("a", 0)).unionByName(dealt("b", 1))
+    return out.join(sets, "node")
+
+
 @dataclass
 class Join:
-    """documents: doc_id, n_shingles, node (null for empty sets), component_id; links: x, y, shared of verified node pairs."""
+    """documents: doc_id, n_shingles, node (null for empty sets), component_id and, of a whole join, n_links; links: x, y, shared of linked node pairs."""
 
     documents: DataFrame
     links: DataFrame
 
 
-def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int = LONG) -> Join:
+def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int = LONG, whole: bool = True) -> Join:
     """Link documents of `docs` (doc_id, text) if 100 * shared >= percent * all of their shingles.
 
     Null, empty and blank texts have empty sets and link with nothing.  Equal sets always link.  component_id is
     the smallest doc_id reachable by links (null only if all of them are null).  Repeated rows and equal doc_ids
-    are documents of their own.  The links are enough to connect each component; between sets that its other
-    links already connect, no more are looked for.  Works for a percent of 75 or more.
+    are documents of their own.  The links are all pairs x < y of distinct nodes that link; n_links is the number
+    of other documents that a document links with, copies included.  If not `whole`, the links are only enough
+    to connect each component, and there is no n_links.  Works for a percent of 75 or more.
     """
     if percent < 75:
         raise ValueError("lists are made for 75 percent or more")
@@ -203,7 +294,7 @@ def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int =
     if table.where(f"own and {_LISTED} * 7 <= {_N} and {_N} > 0").head(1):
         table = scratch_table(_entries(docs, k, True), "entries")
     own = table.where("own").select(F.col("tok").alias("doc_id"), "node", F.expr(_N).alias("n"))
-    info = scratch_table(table.where(f"own and {_N} > 0").groupBy("node").agg(F.min("tok").alias("first_id"), F.max(F.expr(_N)).alias("n"), F.max(F.expr(_LISTED)).alias("listed")), "nodes")
+    info = scratch_table(table.where(f"own and {_N} > 0").groupBy("node").agg(F.min("tok").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max(F.expr(_N)).alias("n"), F.max(F.expr(_LISTED)).alias("listed")), "nodes")
     entries = table.where("not own").select("tok", "node", F.expr(_N).alias("n"))
     compatible = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
@@ -299,13 +390,23 @@ def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int =
             sets = sets.unionByName(fetch(more))
     links = links.unionByName(verify(rest, sets).where("link").select("x", "y", "shared"))
     label = components(links)
+    if whole:
+        # the small end of each star isn't a row of label
+        members = label.select("node", "label").union(label.select("label", "label")).distinct().join(info.select("node", "n", "copies"), "node")
+        units = _units(members, sets, percent)
+        links = _linked(units, percent, count=False)
+        others = scratch_table(_linked(units, percent, count=True).groupBy("node").agg(F.sum("n").alias("others")), "n_links")
     names = label.join(info.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("id"))
     roots = names.join(info.select(F.col("node").alias("label"), F.col("first_id").alias("root_id")), "label").select("label", F.least("id", "root_id").alias("id"))
     of_label = label.join(roots, "label").select("node", "id").union(roots.select(F.col("label").alias("node"), "id"))
     place = info.select("node", "first_id").join(of_label, "node", "left").select("node", F.coalesce("id", "first_id").alias("id"))
+    n_links, none = [], []
+    if whole:
+        place = place.join(others, "node", "left").join(info.select("node", "copies"), "node").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        n_links, none = ["n_links"], [F.lit(0).cast("long").alias("n_links")]
     full, empty = own.where("n > 0"), own.where("n = 0")
-    out = full.join(place, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("id").alias("component_id"))
-    out = out.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id")))
+    out = full.join(place, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("id").alias("component_id"), *n_links)
+    out = out.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id"), *none))
     return Join(out, links)
 
 
@@ -315,7 +416,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows of one doc_id stay or go together, except that of rows equal in doc_id and text one stays.
     Rows without doc_id are one document in this.
     """
-    found = join(docs, **options).documents
+    found = join(docs, whole=False, **options).documents
     known = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
     odd = scratch_table(known.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), "stays"), "gone")
     gone, again = odd.where("not stays").select("_id"), odd.where("stays").select("_id")

@@ -70,6 +70,48 @@ def test_components_against_all_pairs(spark, seed, long):
     assert j.links.where("x = y").count() == 0
 
 
+def brute_links(rows):
+    """Per row its number of links, and the linked pairs of rows with different sets, as pairs of row numbers."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    number, pairs = [0] * len(rows), []
+    for i, s in enumerate(sets):
+        for j in range(i):
+            c = len(s & sets[j])
+            if s and 100 * c >= 75 * (len(s) + len(sets[j]) - c):
+                number[i] += 1
+                number[j] += 1
+                if s != sets[j]:
+                    pairs.append((j, i))
+    return number, pairs
+
+
+@pytest.mark.parametrize("seed, long, block", [(1, 64, 256), (2, 5, 256), (3, 5, 8)])
+def test_links_against_all_pairs(spark, monkeypatch, seed, long, block):
+    monkeypatch.setattr(X, "BLOCK", block)
+    some = texts(seed)
+    rows = list(enumerate(some + random.Random(seed).sample(some, 60)))
+    number, pairs = brute_links(rows)
+    j = X.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), long=long)
+    got = {r.doc_id: r for r in j.documents.collect()}
+    assert [got[i].n_links for i, _ in rows] == number
+    links = [(r.x, r.y) for r in j.links.collect()]
+    assert len(links) == len(set(links)) and all(x < y for x, y in links)
+    assert set(links) == {tuple(sorted((got[i].node, got[k].node))) for i, k in pairs}
+
+
+def test_three_texts_that_all_link_have_three_links(spark):
+    base = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(3)] + [(3, " ".join([*base, "end0"])), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    j = X.join(df)
+    assert j.links.count() == 3
+    assert sorted((r.doc_id, r.n_links) for r in j.documents.collect()) == [(0, 3), (1, 3), (2, 3), (3, 3), (4, 0)]
+    assert X.join(df, whole=False).documents.columns == ["doc_id", "n_shingles", "node", "component_id"]
+
+
 def test_query_equals_sql(spark):
     assert same(spark, Q.op5_ngram_join, oracles.ORACLES["op5_ngram_join"], "/root/testdata/sf0.001") == 200
 
