@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprint.
 
-A record's nested field paths (keys sorted, scalar types left out) make its shape; the shape's hash is the
-fingerprint that selects a declarative mapping to canonical turns, an array of (role, text).  Tables of one
-row per turn are such a layout too.  The template then writes
+The field paths that a mapping uses (sorted, scalar types left out) make the shape of a record or a table; the
+shape's hash is the fingerprint that selects a declarative mapping to canonical turns, an array of (role, text).
+Further keys and columns don't count.  Tables of one row per turn are such a layout too.  The template then writes
 
     <s>[INST]role[/INST]text</s>[INST]role[/INST]text</s>...
 
@@ -14,7 +14,7 @@ character itself is doubled, so unescaping restores every text.
 from __future__ import annotations
 
 import hashlib
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +25,6 @@ BOS, EOS, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 ESC = "␛"
 _CONTROL = r"([<\[])(?=/?s>|/?INST\]|</?SYS>>)"
 
-_SCALARS = r"\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(_NTZ)?|BINARY|DECIMAL\(\d+,\s*\d+\))(?=[,>]|$)"
-
-
 #: Other names of roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -41,35 +38,69 @@ def _turns(*fields: tuple[str, str]) -> str:
     return "array(" + ", ".join(f"struct('{role}' as role, variant_get(v, '$.{name}', 'string') as text)" for role, name in fields) + ")"
 
 
-#: Mappings: example records that give the shape, SQL over the variant `v` that gives the turns.
-LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
-    "messages": (('{"messages":[{"role":"","content":""}]}', '{"messages":[]}'), _pairs("messages", "role", "content")),
-    "from_value": (('{"conversations":[{"from":"","value":""}]}', '{"conversations":[]}'), _pairs("conversations", "from", "value")),
-    "role_text": (('{"turns":[{"role":"","text":""}]}', '{"turns":[]}'), _pairs("turns", "role", "text")),
-    "instruction": (('{"instruction":"","output":""}',), _turns(("user", "instruction"), ("assistant", "output"))),
+def _grouped(rows: DataFrame) -> DataFrame:
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return grouped.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+
+
+#: Mappings, the first that fits counts: the scalar paths used, and what gives the turns: SQL over the variant `v` of a record, or a function of a table.
+LAYOUTS: dict[str, tuple[tuple[str, ...], str | Callable[[DataFrame], DataFrame]]] = {
+    "turn_rows": (("conv_id", "turn", "role", "text"), _grouped),
+    "messages": (("messages[].role", "messages[].content"), _pairs("messages", "role", "content")),
+    "from_value": (("conversations[].from", "conversations[].value"), _pairs("conversations", "from", "value")),
+    "role_text": (("turns[].role", "turns[].text"), _pairs("turns", "role", "text")),
     "instruction_input": (
-        ('{"instruction":"","input":"","output":""}',),
+        ("instruction", "input", "output"),
         "array(struct('user' as role, concat_ws('\\n', variant_get(v, '$.instruction', 'string'), nullif(variant_get(v, '$.input', 'string'), '')) as text), struct('assistant' as role, variant_get(v, '$.output', 'string') as text))",
     ),
-    "prompt_completion": (('{"prompt":"","completion":""}',), _turns(("user", "prompt"), ("assistant", "completion"))),
-    "prompt_response": (('{"prompt":"","response":""}',), _turns(("user", "prompt"), ("assistant", "response"))),
-    "system_prompt_response": (('{"system":"","prompt":"","response":""}',), _turns(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    "question_answer": (('{"question":"","answer":""}',), _turns(("user", "question"), ("assistant", "answer"))),
+    "instruction": (("instruction", "output"), _turns(("user", "instruction"), ("assistant", "output"))),
+    "system_prompt_response": (("system", "prompt", "response"), _turns(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    "prompt_response": (("prompt", "response"), _turns(("user", "prompt"), ("assistant", "response"))),
+    "prompt_completion": (("prompt", "completion"), _turns(("user", "prompt"), ("assistant", "completion"))),
+    "question_answer": (("question", "answer"), _turns(("user", "question"), ("assistant", "answer"))),
 }
-#: The layout of a table with a row per turn.
-TURN_ROWS = ("conv_id", "turn", "role", "text")
+#: The columns of a table with a row per turn.
+TURN_ROWS = LAYOUTS["turn_rows"][0]
+
+
+def _hash(kinds: dict[str, str | None]) -> str:
+    return hashlib.sha256(", ".join(f"{p}: {kinds[p]}" for p in sorted(kinds) if kinds[p]).encode()).hexdigest()
 
 
-def shape(kind: T.DataType) -> str:
-    """The shape of a Spark type, written as fingerprint() writes that of a variant."""
-    if isinstance(kind, T.StructType):
-        return "OBJECT<" + ", ".join(f"{f.name}: {shape(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
-    return f"ARRAY<{shape(kind.elementType)}>" if isinstance(kind, T.ArrayType) else "_"
+#: What is looked up: fingerprint to layout.
+FINGERPRINTS = {_hash(dict.fromkeys(paths, "_")): name for name, (paths, _) in LAYOUTS.items()}
 
 
-def fingerprint(v: str) -> str:
-    """SQL: hash of the nested field paths of variant `v`; scalars of any type, null too, are alike."""
-    return f"sha2(regexp_replace(schema_of_variant({v}), r'{_SCALARS}', '_'), 256)"
+def table_fingerprint(schema: T.StructType, paths: tuple[str, ...]) -> str:
+    """Fingerprint of a table's columns as far as a mapping uses them."""
+    nested = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
+    kinds = {f.name: "nested" if isinstance(f.dataType, nested) else "_" for f in schema.fields}
+    return _hash({p: kinds.get(p) for p in paths})
+
+
+def _kind(v: str) -> str:
+    """SQL: _ for scalars, JSON null too; null if `v` is null (the path lacks)."""
+    return f"case when schema_of_variant({v}) rlike '^(OBJECT|ARRAY)<|^VARIANT$' then 'nested' when {v} is not null then '_' end"
+
+
+def fingerprint(v: str, paths: tuple[str, ...]) -> str:
+    """SQL: fingerprint of variant `v` as far as a mapping uses its paths.
+
+    A path in a list counts if some element has it and each that has it has a scalar there; all elements are objects or
+    null.  Lists without an object count as having it.
+    """
+    parts = []
+    for path in sorted(paths):
+        top, _, field = path.partition("[].")
+        if not field:
+            kind = _kind(f"variant_get({v}, '$.{top}', 'variant')")
+        else:
+            inside = _kind(f"variant_get(e, '$.{field}', 'variant')")
+            each = f"transform(try_variant_get({v}, '$.{top}', 'array<variant>'), e -> case when schema_of_variant(e) rlike '^OBJECT<' then struct(true as o, {inside} as k) when schema_of_variant(e) = 'VOID' then struct(false as o, cast(null as string) as k) else struct(true as o, 'scalar' as k) end)"
+            kind = f"element_at(transform(array({each}), m -> case when m is null then null when not exists(m, x -> x.o) then '_' else nullif(array_join(array_sort(array_distinct(array_compact(transform(m, x -> x.k)))), '|'), '') end), 1)"
+        parts.append(f"'{path}: ' || ({kind})")
+    return f"sha2(concat_ws(', ', {', '.join(parts)}), 256)"
 
 
 def canonical_records(records: DataFrame, record: str = "record") -> DataFrame:
@@ -78,32 +109,28 @@ def canonical_records(records: DataFrame, record: str = "record") -> DataFrame:
     Unknown layouts, invalid JSON and null records give null layout and null turns; they are kept so that the
     caller sees them.  A record with an empty list of turns gives an empty array.
     """
-    known = records.withColumn("_v", F.expr(f"try_parse_json({record})")).withColumn("_print", F.expr(fingerprint("_v")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for name, (examples, sql) in LAYOUTS.items():
-        prints = ", ".join(fingerprint(f"parse_json('{e}')") for e in examples)
-        fits = F.expr(f"_print in ({prints})")
-        layout = F.when(fits, F.lit(name)).otherwise(layout)
-        turns = F.when(fits, F.expr(re.sub(r"\bv\b(?=,)", "_v", sql))).otherwise(turns)
-    return known.select(*records.columns, layout.alias("layout"), turns.alias("turns"))
+    known = records.withColumn("_v", F.expr(f"try_parse_json({record})"))
+    of_records = {name: mapping for name, mapping in LAYOUTS.items() if isinstance(mapping[1], str)}
+    named = F.create_map(*(F.lit(x) for item in FINGERPRINTS.items() if item[1] in of_records for x in item))
+    # a layout's own paths may look like another's, so each is looked up for itself
+    found = F.coalesce(*(F.when(named[F.expr(fingerprint("_v", paths))] == name, name) for name, (paths, _) in of_records.items()))
+    known = known.withColumn("_layout", found)
+    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
+    for name, (_, sql) in of_records.items():
+        turns = F.when(F.col("_layout") == name, F.expr(sql.replace("variant_get(v,", "variant_get(_v,"))).otherwise(turns)
+    return known.select(*records.columns, F.col("_layout").alias("layout"), turns.alias("turns"))
 
 
 def canonical_rows(rows: DataFrame) -> DataFrame:
     """conv_id, turns from a table with a row per turn, in order of turn (null first), then role, then text.
 
-    The table's own shape is fingerprinted; further columns beside TURN_ROWS are let go first.  Null roles and
-    texts are empty.  A conversation's turns make one value, as its formatted text does.
+    The mapping is looked up by the fingerprint of the table's columns; columns that it doesn't use are let go.  Null
+    roles and texts are empty.  A conversation's turns make one value, as its formatted text does.
     """
-    missing = set(TURN_ROWS) - set(rows.columns)
-    if missing:
-        raise ValueError(f"no layout has the columns {rows.columns}")
-    rows = rows.select(*TURN_ROWS)
-    want = shape(T.StructType([T.StructField(n, T.StringType()) for n in TURN_ROWS]))
-    if hashlib.sha256(shape(rows.schema).encode()).digest() != hashlib.sha256(want.encode()).digest():
-        raise ValueError("conv_id, turn, role and text must be scalars")
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    return grouped.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    for name, (paths, mapping) in LAYOUTS.items():
+        if callable(mapping) and FINGERPRINTS.get(table_fingerprint(rows.schema, paths)) == name:
+            return mapping(rows.select(*paths))
+    raise ValueError(f"no layout has the columns {rows.schema.simpleString()}")
 
 
 def escape(text: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +67,36 @@ def test_layouts_by_fingerprint(spark):
     assert done[9].formatted is None and done[8].formatted == "<s>" and done[0].parsed[1].learned == ""
 
 
+def test_further_keys_do_not_void_a_conversation(spark):
+    given_ = {
+        '{"id":7,"conversations":[{"from":"human","value":"v"},{"from":"gpt","value":"w"}]}': ("from_value", [("user", "v"), ("assistant", "w")]),
+        '{"messages":[{"role":"user","content":"a","name":"Z","role_of":{"role":[]}},{"role":"assistant","content":"b"}]}': ("messages", [("user", "a"), ("assistant", "b")]),
+        '{"prompt":"p","prompt_id":"q","messages":[{"role":"user","content":"a"}]}': ("messages", [("user", "a")]),
+        '{"prompt":"p","response":null,"meta":{"prompt":{"x":1}},"tags":["a",1]}': ("prompt_response", [("user", "p"), ("assistant", None)]),
+        '{"instruction":"i","input":"x","output":"o","source":"s"}': ("instruction_input", [("user", "i\nx"), ("assistant", "o")]),
+        '{"turns":[],"id":1}': ("role_text", []),
+        '{"messages":["a"]}': (None, None),
+        '{"messages":[{"role":"user","content":["a"]}]}': (None, None),
+        '{"prompt":{"x":1},"response":"r"}': (None, None),
+        '{"conv_id":1,"turn":0,"role":"user","text":"t"}': (None, None),
+    }
+    df = spark.createDataFrame(list(enumerate(given_)), "layout_id int, record string")
+    got = [(r.layout, r.turns if r.turns is None else [tuple(t) for t in r.turns]) for r in X.canonical_records(df).orderBy("layout_id").collect()]
+    assert got == list(given_.values())
+
+
+def test_tables_are_looked_up(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, "user", "x", [1])], "conv_id long, turn long, role string, text string, more array<int>")
+    assert X.FINGERPRINTS[X.table_fingerprint(rows.schema, X.TURN_ROWS)] == "turn_rows"
+    assert X.canonical_rows(rows).columns == ["conv_id", "turns"]
+    for wrong in (rows.drop("text"), rows.drop("text").withColumnRenamed("more", "text")):
+        with pytest.raises(ValueError):
+            X.canonical_rows(wrong)
+    # another mapping in the table is what the rows get
+    monkeypatch.setitem(X.LAYOUTS, "turn_rows", (X.TURN_ROWS, lambda r: r.limit(0)))
+    assert X.canonical_rows(rows).count() == 0
+
+
 def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None, None, "f"), (1, 0, "user", "x", "f"), (1, 0, "user", "x", "f"), (None, 3, "assistant", "y", "f")], "conv_id long, turn long, role string, text string, formatted string")
     got = {r.conv_id: r for r in X.parse(X.format_turns(X.canonical_rows(rows))).collect()}
