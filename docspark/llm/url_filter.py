@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_table
+from .common import BROADCAST_IDS, scratch_table
 
 #: Verdict, host, path.
 RULES = (
@@ -22,7 +22,7 @@ RULES = (
     ("allow", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: The trees are fitted on about this many labelled URLs at most, by hash; suffix statistics come from them too.
+#: The trees are fitted on about this many labelled rows at most; suffix statistics count all of them.
 MOST_LABELLED = 50_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,10 +58,16 @@ def _share(col: Column, of: Column) -> Column:
     return col / F.greatest(of, F.lit(1))
 
 
+def suffixes(split: DataFrame) -> DataFrame:
+    """Adds the suffixes last and pair; pair starts with last."""
+    last = F.substring_index("host", ".", -1)
+    return split.withColumns({"last": last, "pair": F.concat_ws("/", last, F.regexp_extract("path", "^/([^/]*)", 1))})
+
+
 def lexical(split: DataFrame, url: str = "url") -> DataFrame:
-    """Adds the lexical features but for the suffix statistics, and the suffixes last and pair."""
+    """Adds the lexical features but for the suffix statistics, and the suffixes."""
     u = F.coalesce(F.col(url), F.lit(""))
-    out = split.withColumn("_u", u)
+    out = suffixes(split).withColumn("_u", u)
     query = F.regexp_extract("_u", r"^[^?#]*\?([^#]*)", 1)
     chars = F.split("_u", "")
     seen = F.transform(F.array_distinct(chars), lambda c: F.length("_u") - F.length(F.replace("_u", c, F.lit(""))))
@@ -80,24 +86,33 @@ def lexical(split: DataFrame, url: str = "url") -> DataFrame:
             "param_chars": F.length(query),
             "fragment": F.instr("_u", "#").cast("boolean").cast("int"),
             "marks": F.regexp_count("_u", F.lit("[-_%=]")),
-            "last": F.substring_index("host", ".", -1),
-            "pair": F.concat_ws("/", F.substring_index("host", ".", -1), F.regexp_extract("path", "^/([^/]*)", 1)),
         }
     ).drop("_u")
 
 
-def _suffix_stats(labelled: DataFrame, suffix: str) -> DataFrame:
-    """Per suffix: smoothed share of label 1 and count; as many rows at most as the bounded sample has."""
-    return labelled.groupBy(suffix).agg(((F.sum("label") + 0.5) / (F.count(F.lit(1)) + 1)).alias(f"{suffix}_rate"), F.count(F.lit(1)).cast("double").alias(f"{suffix}_seen"))
+def _suffix_stats(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Per suffix, over all of `labelled`: smoothed share of label 1 and count."""
+    counted = suffixes(split_url(labelled)).groupBy("last", "pair").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("seen"))
+    counted = scratch_table(counted, "suffixes")
+    stats = {}
+    for s in ("last", "pair"):
+        of_suffix = counted.groupBy(s).agg(F.sum("ones").alias("ones"), F.sum("seen").cast("double").alias(f"{s}_seen"))
+        stats[s] = scratch_table(of_suffix.select(s, ((F.col("ones") + 0.5) / (F.col(f"{s}_seen") + 1)).alias(f"{s}_rate"), f"{s}_seen"), s)
+    return {s: F.broadcast(table) if table.count() <= BROADCAST_IDS // 10 else table for s, table in stats.items()}
 
 
 def _with_stats(rows: DataFrame, stats: dict[str, DataFrame]) -> DataFrame:
     for suffix, table in stats.items():
-        rows = rows.join(F.broadcast(table), suffix, "left")  # bounded by MOST_LABELLED rows
+        rows = rows.join(table, suffix, "left")
         rows = rows.fillna({f"{suffix}_rate": 0.5, f"{suffix}_seen": 0.0})
     return rows
 
 
+def _sample(labelled: DataFrame, n: int, most: int, seed: int) -> DataFrame:
+    """About `most` of the n rows, each by its own chance, so that rows of one URL come in part."""
+    return labelled.where(F.rand(seed) < most / n) if n > most else labelled
+
+
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, most: int = MOST_LABELLED, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """`pages` (url and any columns) with host, path, rule, score, verdict.
 
@@ -112,15 +127,12 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, most
         labelled = known.where("rule is not null").select("url", (F.col("rule_verdict") == "block").cast("double").alias("label"))
     else:
         labelled = labelled.where("label is not null").select("url", F.col("label").cast("double").alias("label"))
-    n = labelled.count()
-    if n > most:
-        labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    learned = scratch_table(lexical(split_url(labelled)).coalesce(4), "labelled_urls")
-    kinds = [r["label"] for r in learned.select("label").distinct().collect()]
-    if len(kinds) < 2:
-        scored = known.withColumn("score", F.lit(kinds[0] if kinds else 0.0))
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        scored = known.withColumn("score", F.lit([*counts, 0.0][0]))
     else:
-        stats = {s: scratch_table(_suffix_stats(learned, s).coalesce(1), s) for s in ("last", "pair")}
+        stats = _suffix_stats(labelled)
+        learned = scratch_table(lexical(split_url(_sample(labelled, sum(counts.values()), most, seed))).coalesce(4), "labelled_urls")
         vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
         model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)
         model = model.fit(vector.transform(_with_stats(learned, stats)).select("_features", "label"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from docspark.llm import queries as Q
 from docspark.llm import url_filter as X
 
@@ -48,6 +50,24 @@ def test_odd_urls(spark):
     assert {r.verdict for r in X.judge(df.where("url = 'no scheme'")).collect()} == {"allow"}
 
 
+def test_suffix_statistics_cover_all_labelled_rows(spark):
+    rnd = random.Random(9)
+    ends = [f"{a}{b}x" for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
+    bad = {e: rnd.randrange(2) for e in ends}
+    url = lambda e: f"http://site{rnd.randrange(1000, 10000)}.{e}/p/{rnd.randrange(1000, 10000)}"
+    labelled = spark.createDataFrame([(url(e), bad[e]) for e in ends for _ in range(20)], "url string, label int")
+    new = spark.createDataFrame([(url(e), bad[e]) for e in ends for _ in range(2)], "url string, truth int")
+    got = X.judge(new, labelled, rules=(), most=300, trees=5)
+    assert got.where("(verdict = 'block') <> (truth = 1)").count() == 0
+
+
+def test_a_frequent_url_is_sampled_in_part(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 'http://one.com/', concat('http://', id, '.org/')) as url", "cast(id % 2 as double) as label")
+    some = X._sample(rows, 30_000, 3_000, 7).groupBy(F.expr("url = 'http://one.com/'").alias("one")).count().collect()
+    assert all(abs(r["count"] - (1000 if r["one"] else 2000)) < 300 for r in some) and len(some) == 2
+    assert X._sample(rows, 30_000, 30_000, 7).count() == 30_000
+
+
 def test_trees_learn_lexical_labels(spark):
     rnd = random.Random(6)
     bad = lambda i: f"http://x{rnd.randrange(10**9)}.spam{i % 5}.biz/{rnd.randrange(10**9)}?a={i}&b=2&c=3"
