@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, scratch_table, without, words_sql
+from .common import BROADCAST_IDS, let, scratch_table, without, words_sql
 
 #: Rules: SQL over the base columns, cutoffs tried from strict to lax (ratio above cutoff: rejected), part of the risk.
 RULES = {
@@ -80,54 +80,66 @@ def certified(bad: int, n: int, rate: float, alpha: float) -> bool:
     return n > 0 and binomial_cdf(bad, n, rate) <= alpha
 
 
+def _lgamma_sql(x: str) -> str:
+    """SQL: log of gamma(x) for x >= 1, by Stirling's series at x + 8."""
+    z = f"({x} + 8D)"
+    series = f"1D / (12D * {z}) - 1D / (360D * pow({z}, 3D)) + 1D / (1260D * pow({z}, 5D)) - 1D / (1680D * pow({z}, 7D))"
+    steps = " - ".join(f"ln({x} + {i}D)" for i in range(8))
+    return f"(({z} - 0.5D) * ln({z}) - {z} + {0.5 * math.log(2 * math.pi)!r}D + {series} - {steps})"
+
+
+def chance_sql(bad: str, n: str, rate: float) -> str:
+    """SQL: binomial_cdf of the bigints `bad` and `n`.  Terms farther below the mean than summed add less than 1e-17 of the whole."""
+    log = f"{_lgamma_sql('(n + 1D)')} - {_lgamma_sql('(k + 1D)')} - {_lgamma_sql('(n - k + 1D)')} + k * {math.log(rate)!r}D + (n - k) * {math.log1p(-rate)!r}D"
+    step = f"(a, i) -> struct(a.term * ((k - i) / (n - k + i + 1D)) * {(1 - rate) / rate!r}D as term, a.total + a.term as total)"
+    summed = f"aggregate(sequence(0, cast(least(k, 9D * sqrt(n * {rate!r}D) + 40D) as int)), struct(exp({log}) as term, 0D as total), {step}, a -> a.total)"
+    return let(f"cast({bad} as double)", "k", let(f"cast({n} as double)", "n", f"if(k >= n * {rate!r}D, 1D, {summed})"))
+
+
 def rejected_counts(labelled: DataFrame, stratum: str, rules=RULES) -> DataFrame:
     """Per stratum: n good documents and, per rule and cutoff, how many of them lie above it."""
     counts = [F.sum((F.expr(sql) > c).cast("long")).alias(f"{name}|{i}") for name, (sql, cuts, _) in rules.items() for i, c in enumerate(cuts)]
     return labelled.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *counts)
 
 
-def choose_cutoffs(counts: list[dict], stratum: str, risk: float, delta: float, rules=RULES) -> dict:
-    """{stratum value: {rule: cutoff}} with the strictest cutoffs that the bounds allow.
+def choose_cutoffs(counts: DataFrame, stratum: str, strata: int, risk: float, delta: float, rules=RULES) -> DataFrame:
+    """_stratum and, per rule, _cut_ and its name: the strictest cutoff that the bounds allow, null if none does.
 
     risk: the most good documents, as a share, that a stratum may lose to all rules together; the rules split
-    it by their part.  delta: the chance that any promise is broken.
+    it by their part.  delta: the chance that any promise is broken, over all `strata` rows of `counts`.
     """
-    tests = max(1, len(counts)) * sum(len(cuts) for _, cuts, _ in rules.values())
-    out: dict = {}
-    for row in counts:
-        chosen = {}
-        for name, (_, cuts, part) in rules.items():
-            for i, c in enumerate(cuts):
-                if certified(row[f"{name}|{i}"], row["n"], risk * part, delta / tests):
-                    chosen[name] = c
-                    break
-        out[row[stratum]] = chosen
-    return out
-
-
-def verdict(cutoffs: dict, stratum: str, rules=RULES) -> Column:
-    """Column: does a document of base_features pass the cutoffs of its stratum?"""
+    tests = max(1, strata) * sum(len(cuts) for _, cuts, _ in rules.values())
+    chosen = []
+    for name, (_, cuts, part) in rules.items():
+        fits = [F.when(F.expr(chance_sql(f"`{name}|{i}`", "`n`", risk * part)) <= delta / tests, F.lit(float(c))) for i, c in enumerate(cuts)]
+        chosen.append(F.coalesce(*fits).alias(f"_cut_{name}"))
+    return counts.select(F.col(stratum).alias("_stratum"), *chosen)
+
+
+def verdict(rules=RULES) -> Column:
+    """Column: does a document of base_features pass the cutoffs beside it?"""
     passes = F.lit(True)
-    for value, chosen in cutoffs.items():
-        for name, c in chosen.items():
-            passes = passes & ~(F.col(stratum).eqNullSafe(F.lit(value)) & (F.expr(rules[name][0]) > c))
+    for name, (sql, _, _) in rules.items():
+        passes = passes & ~F.coalesce(F.expr(sql) > F.col(f"_cut_{name}"), F.lit(False))
     return passes
 
 
-def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, rules=RULES, most_strata: int = 1000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, rules=RULES) -> DataFrame:
     """doc_id, stratum, text_hash and base columns, base_failed, kept for each row of `docs` (doc_id, text, `stratum`).
 
     labels: doc_id, quality (1 good, 0 bad); rows with null in either, and ids that `docs` lacks, say nothing.
     Good documents of the holdout that the base rules already reject are left out of it.  Null strata form
-    one stratum.  Of more than `most_strata` strata the largest in labelled rows get cutoffs; others reject nothing.
+    one stratum; every stratum with labelled rows gets its cutoffs.
     Without labels `kept` is `not base_failed`.  Repeated rows give repeated results.
     """
     rows = docs.select("doc_id", stratum, "text", F.xxhash64("text").alias("text_hash"))
     base = scratch_table(base_features(rows, keep=("doc_id", stratum, "text_hash")), "quality")
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    counts = rejected_counts(base.where("not base_failed").join(good, "doc_id", "left_semi"), stratum, rules)
-    counts = [r.asDict() for r in counts.orderBy(F.desc("n"), F.col(stratum)).limit(most_strata).collect()]
-    return base.withColumn("kept", ~F.col("base_failed") & verdict(choose_cutoffs(counts, stratum, risk, delta, rules), stratum, rules))
+    counts = scratch_table(rejected_counts(base.where("not base_failed").join(good, "doc_id", "left_semi"), stratum, rules), "strata")
+    strata = counts.count()
+    cutoffs = scratch_table(choose_cutoffs(counts, stratum, strata, risk, delta, rules), "cutoffs")
+    beside = base.join(F.broadcast(cutoffs) if strata <= BROADCAST_IDS else cutoffs, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    return beside.select(*base.columns, (~F.col("base_failed") & verdict(rules)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

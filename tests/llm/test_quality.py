@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.llm import oracles
 from docspark.llm import quality as X
@@ -36,6 +37,24 @@ def test_binomial_against_plain_sums():
     assert not X.certified(12, 1000, 0.012, 0.9)
 
 
+def test_binomial_in_sql_is_that_in_python(spark):
+    cases = [(k, n, p) for n in (1, 12, 50, 3000, 10**7) for p in (0.002, 0.012, 0.4) for k in {0, int(n * p * 0.5), int(n * p * 0.97), max(0, int(n * p) - 1), n}]
+    for p in {p for _, _, p in cases}:
+        some = [(k, n) for k, n, q in cases if q == p]
+        got = spark.createDataFrame(some, "k long, m long").select("k", "m", F.expr(X.chance_sql("k", "m", p)).alias("p")).collect()
+        for r in got:
+            assert r.p == pytest.approx(X.binomial_cdf(r.k, r.m, p), rel=1e-6, abs=1e-300)
+
+
+def test_every_stratum_gets_cutoffs(spark):
+    # 1,100 strata of 14 good documents and one of junk
+    rows = spark.range(1100 * 15).selectExpr("id as doc_id", "concat('l', id % 1100) as lang", "id >= 1100 * 14 as junk")
+    docs = rows.selectExpr("doc_id", "lang", "array_join(transform(sequence(1, 25), x -> concat('w', x, 'x', doc_id, if(junk, '####', ''))), ' ') as text")
+    labels = rows.selectExpr("doc_id", "if(junk, 0, 1) as quality")
+    got = X.quality(docs, labels, risk=0.99, delta=0.9).groupBy(F.expr("doc_id >= 1100 * 14").alias("junk")).agg(F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+    assert {r.junk: r.kept for r in got} == {True: 0, False: 1100 * 14}
+
+
 def test_thresholds_hold_the_promise_and_catch_junk(spark):
     good = [(i, "good", "word " * 5 + " ".join(f"w{i}x{j}" for j in range(30)), "en") for i in range(900)]
     junk = [(1000 + i, "bad", " ".join(f"v{i}x{j}###" for j in range(30)), "en") for i in range(50)]
