@@ -6,7 +6,7 @@ unlabelled texts (U), minimising the class-prior-corrected risk
     prior * mean_P loss(g) + max(0, mean_U loss(-g) - prior * mean_P loss(-g))
 
 with the logistic loss; while the part in max() is negative, its gradient is undone instead (Kiryo et al., 2017).
-Fitting takes a bounded sample; scoring takes every text as a whole.
+Words are chosen by their rates in all training texts; fitting takes a bounded sample, scoring every text as a whole.
 """
 
 from __future__ import annotations
@@ -71,32 +71,49 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | Non
     return scratch_table(both.where("p or u"), "pu_sample"), seen["p"] / seen["n"]
 
 
-def _choose(sample: DataFrame, prior: float) -> list[str]:
+def _choose(docs: DataFrame, sample: DataFrame, prior: float) -> list[str]:
     """The features that favour P over U most clearly, and that U has hardly beyond its toxic texts' part.
 
-    A feature of toxic texts alone has a rate in U of prior times that in P.
+    A feature of toxic texts alone has a rate in U of prior times that in P.  U is every training text of `docs`
+    here; counted are the features of two texts of P or more.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in by_chars([batch], "text"):
-                p, u = Counter(), Counter()
-                for t, is_p, is_u in zip(texts, part["p"].to_pylist(), part["u"].to_pylist()):
-                    found = text_features(t).keys()
-                    if is_p:
-                        p.update(found)
-                    if is_u:
-                        u.update(found)
-                names = [*(p.keys() | u.keys())]
-                yield pa.RecordBatch.from_pydict({"feature": names, "p": pa.array([p[x] for x in names], pa.int64()), "u": pa.array([u[x] for x in names], pa.int64())})
-
-    n_p, n_u = sample.agg(F.sum(F.col("p").cast("long")), F.sum(F.col("u").cast("long"))).first()
-    found = sample.mapInArrow(run, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    rate_p, rate_u = F.col("p") / n_p, F.col("u") / max(n_u, 1)
-    both = (F.col("p") + F.col("u")) / (n_p + n_u)
-    z = (rate_p - rate_u) / F.sqrt(both * (1 / n_p + 1 / max(n_u, 1)))
-    best = found.where("p >= 2").withColumn("z", z).where((F.col("z") >= CLEAR) & (rate_u <= SPARE * prior * rate_p + 2 / max(n_u, 1))).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES)
-    return [r["feature"] for r in best.select("feature").collect()]
+    def of_toxic(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in by_chars(batches, "text"):
+            p = Counter(f for t in texts for f in text_features(t))
+            yield pa.RecordBatch.from_pydict({"feature": pa.array([*p], pa.string()), "p": pa.array([*p.values()], pa.int64())})
+
+    toxic = sample.where("p")
+    found = toxic.select("text").mapInArrow(of_toxic, "feature string, p long").groupBy("feature").agg(F.sum("p").alias("p")).where("p >= 2").toArrow()
+    names = found["feature"].to_pylist()
+    p, n_p = found["p"].to_numpy().astype(np.float64), toxic.count()
+    place = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def of_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = place.value, {}
+        u, n = np.zeros(len(at), np.int64), 0
+        for _, texts in by_chars(batches, "text"):
+            for t in texts:
+                has: set[int] = set()
+                for w in set(_LETTERS.findall(t.lower())):
+                    if w not in known:
+                        if len(known) >= KEPT_WORDS:
+                            known.clear()
+                        known[w] = tuple(at[f] for f in word_features(w) if f in at)
+                    has.update(known[w])
+                u[list(has)] += 1
+                n += 1
+        some = np.flatnonzero(u)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(u[some], n), pa.int64())], names=["i", "u"])
+
+    counted = docs.where(fold() != 0).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(of_all, "i long, u long").groupBy("i").agg(F.sum("u").alias("u")).toArrow()
+    seen = dict(zip(counted["i"].to_pylist(), counted["u"].to_pylist()))
+    n_u = max(seen.get(-1, 0), 1)
+    u = np.array([seen.get(i, 0) for i in range(len(names))], dtype=np.float64)
+    rate_p, rate_u = p / n_p, u / n_u
+    z = (rate_p - rate_u) / np.sqrt((p + u) / (n_p + n_u) * (1 / n_p + 1 / n_u))
+    fits = np.flatnonzero((z >= CLEAR) & (rate_u <= SPARE * prior * rate_p + 2 / n_u))
+    return [names[i] for i in sorted(fits, key=lambda i: (-z[i], names[i]))[:MOST_FEATURES]]
 
 
 def _matrix(sample: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tuple
     prior = min(max(prior if prior is not None else share, 1e-4), 0.999)
     if not sample.where("p").head(1):
         return {}, -50.0
-    features = _choose(sample, prior)
+    features = _choose(docs, sample, prior)
     w, b = fit_nnpu(*_matrix(sample, features), len(features), prior)
     return {f: float(x) for f, x in zip(features, w) if x}, b
 

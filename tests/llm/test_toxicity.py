@@ -38,6 +38,17 @@ def test_held_out_documents(spark):
     assert flagged[~y].mean() < 0.01 and flagged[y].mean() > 0.9
 
 
+def test_rates_in_unlabelled_texts_are_of_all_of_them(spark, monkeypatch):
+    # `lotus` is as common in toxic texts as `vile`, and in a few clean ones too, of which the sample sees next to none
+    text = lambda i: f"words {i} " + ("vile lotus" if i % 100 == 0 else "lotus" if i % 20 == 1 else "calm")
+    docs = spark.createDataFrame([(i, text(i)) for i in range(6000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(6000)], "doc_id long, toxic int")
+    monkeypatch.setattr(X, "MOST_UNLABELLED", 20)
+    assert X._sample(docs, labels)[0].where("u").count() < 50
+    weights, _ = X.fit(docs, labels)
+    assert "vile" in weights and "lotus" not in weights and "lotu-" not in weights
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, f"nice words here {i}" + (" vile" if i % 4 == 0 else ""), "s", 9.0) for i in range(200)] + [(None, None, None, None), (500, "", "s", 1.0), (501, "vile " * 30000, "s", 1.0)], "doc_id long, text string, source string, score double")
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)] + [(None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
