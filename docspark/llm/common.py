@@ -63,7 +63,20 @@ def count_bits(n: int, per_bucket: int, base: int, most: int) -> int:
 BROADCAST_IDS = 1_000_000
 
 
+def narrow(rows: DataFrame, wanted: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """`rows` joined with the ids in `wanted`, which are broadcast if they are counted to be few."""
+    wanted = scratch_table(wanted, "wanted")
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, on, how)
+
+
 def without(rows: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
     """Rows of `rows` that match none of `gone`, which is broadcast if it is counted to be small."""
-    gone = scratch_table(gone, "gone")
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, on, "left_anti")
+    return narrow(rows, gone, on, "left_anti")
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name that `rows` doesn't have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,25 +1,24 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by a threshold, and their components.
 
-Exact copies of a set are one node, a 64-bit hash of the sorted set.  Index lists hold, per shingle, the nodes
-that have it; a node enters with its shingles below a hash limit, whose position in hash space depends on the
-set's size alone, so two sets compare on the part below the lower limit.  Lists are skipped by that position:
-
-* n - 3/7 (n + m) shingles of a set of n may miss in a set of m that links with it, so a pair that shares fewer
-  listed shingles than the rest is skipped unverified; as more than n/7 shingles of each set are listed,
-  a linked pair shares one at least.
-* Lists of over LONG nodes are left out for nodes that have more than n/7 shingles in shorter lists; linked
-  pairs of such nodes meet there.  Other ("crowded") nodes use all their lists.
-
-Answers are derived from similar sets: first every node is compared with the best partner that its lists show, a
-crowded one with the head of the list it shares most.  The components so found stand in the lists for all their
-nodes: a list of one component is skipped, and of two components that meet in a list only those are opened
-whose nodes then share enough.  Of a crowded node, the n/4 + 1 rarest listed shingles are looked up, as a
-linked set has one of them; so a passage that many documents share is looked up for few.
-Nodes known to be in one component need no further comparison for that.
-
-The links are then all linked pairs of distinct nodes of a component: its nodes are dealt into blocks by size, pairs of
-blocks whose sizes can't link are skipped, and every other pair of blocks is one small product of matrices, which gives
-what each two of its sets share.  Numbers of links are added up per block, so they need no row per link.
+Exact copies of a set are one node, a 64-bit hash of the sorted set.  Two sets of n <= m shingles link only if they
+share 3/7 (n + m) of them, so a set lacks at most n/4 of its shingles in a partner, and m <= 4/3 n.
+
+1. Lists of each set's prefix_size(n) smallest hashes tell how many of these another set lists as well.  A set with
+   too few (lone()) has no partner; what is left are whole sets of a small part of the documents.
+2. Among these, shingles are ordered by how many sets have them, rare ones first.  Linked sets share one of their
+   first n/4 + 1 shingles (the prefix) in that order: each looks for partners in the lists of its prefix alone.
+3. Set relations: every set takes a leader, the most central set (by the mean length of its lists) of most lists
+   of a sketch, if they are alike by half.  Its difference to the leader is computed once; from then on
+   it stands for the set: two sets of a leader differ by |a| + |b| - 2 |a and b| shingles, a and b their differences.
+4. Index lists hold one block per leader, with its sizes and its first position in the sets' order.  Pairs of blocks
+   whose sizes or positions leave too little to share are skipped; what is left are pairs of leaders.  The distance
+   of two leaders, computed once, bounds that of all their sets: d(s, t) >= d(l, m) - d(s, l) - d(t, m).
+   Sets and whole pairs of leaders that this keeps apart are answered without being compared.
+5. The rest is compared in units: the sets of one leader, or those of two leaders that may link.  Large units are dealt
+   into blocks of bounded size; a pair of blocks is one small product of matrices.  It gives the number of links of
+   each set and a spanning forest of the links, so neither is a row per link.
+
+All links are found: every step leaves out only what can't link.  (Hashes of 64 bits are taken to be free of collisions.)
 """
 
 from __future__ import annotations
@@ -33,11 +32,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import BROADCAST_IDS, scratch_table
+from .common import free_name, narrow, scratch_table
 from .piece_table import by_chars
 
 #: Executors get this module's code with the job, wherever the package lies.
@@ -46,13 +44,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE_WORDS = 5
 #: Words whose hash a worker keeps.
 KEPT_WORDS = 300_000
-#: Sets of up to so many shingles list this part of the hash space (so that more than 1/7 of the set is listed; checked, else all is).
-PARTS = ((128, 1.0), (256, 0.45), (512, 0.35), (1024, 0.28), (4096, 0.23), (None, 0.19))
-#: Nodes in a list beyond which it counts as crowded.
-LONG = 64
-#: Nodes and shingles of a block, about; a component of no more is one block.
+#: Shingles of the sketch by which a set finds its leader.
+SKETCH = 24
+#: Nodes and shingles of a block, about; a unit of no more is compared as a whole.
 BLOCK, BLOCK_SHINGLES = 256, 2**18
-_N, _LISTED = "shiftright(size_listed, 31)", "(size_listed & 2147483647)"
 
 
 class _Hashes(dict):
@@ -104,18 +99,25 @@ def shingle_sets(docs: DataFrame, keep: str, k: int = SHINGLE_WORDS) -> DataFram
     return docs.select(keep, "text").mapInArrow(run, f"{keep} long, node long, toks array<long>")
 
 
-def _part(n):
-    """SQL or numpy free: index into PARTS by size, as a Column."""
-    out = F.lit(len(PARTS) - 1)
-    for i, (most, _) in reversed([*enumerate(PARTS[:-1])]):
-        out = F.when(n <= most, i).otherwise(out)
-    return out
+def prefix_size(n):
+    """How many of its smallest hashes a set of n shingles lists; an int or an array of them."""
+    return np.minimum(n, n * 3 // 10 + 2)
+
+
+def lone(n: Column, others: Column) -> Column:
+    """Of the hashes that a set of n lists, `others` are listed by another set too: are these too few for a partner?
+
+    Of a linked pair let the set of m be the one whose list ends at the lower hash, and o = ceil(3/7 (n + m)) what they
+    share at least.  It misses m - o at most in the other, so prefix_size(m) - (m - o) of its listed hashes are
+    in the other set, and listed there as that one's list goes on to a higher hash.  For sizes that can link, this
+    is at least prefix_size - size/4 - 1 of either set (tests go through the sizes).
+    """
+    listed = F.least(n, F.floor(n * 3 / 10) + 2)
+    return (others < 1) | (others < listed - F.floor(n / 4) - 1)
 
 
-def _entries(docs: DataFrame, k: int, whole: bool) -> DataFrame:
-    """own rows (tok: doc_id) per document, and list entries (tok, node, size_listed) of lists with two nodes or more."""
-    limits = np.array([most or 2**62 for most, _ in PARTS])
-    heights = np.array([2**64 - 1 if whole or part == 1 else int(part * 2**64) for _, part in PARTS], dtype=np.uint64)
+def _entries(docs: DataFrame, k: int) -> DataFrame:
+    """Two kinds of rows: own (doc_id, n, h: hash of the text) and node per document; and node, c, parts of the number of its listed shingles that another node lists too."""
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = ShingleSets(k)
@@ -123,42 +125,45 @@ def _entries(docs: DataFrame, k: int, whole: bool) -> DataFrame:
         for part, texts in by_chars(batches, "text", as_bytes=True):
             sets = [make(t) for t in texts]
             ids = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets]
-            node = np.array(ids, dtype=np.uint64).view(np.int64)
-            n = np.array([len(x) for x in sets], dtype=np.int64)
-            # sorted sets: what lies below a limit comes first
-            listed = np.array([np.searchsorted(x, h, side="right") for x, h in zip(sets, heights[np.searchsorted(limits, n)])], dtype=np.int64)
-            packed = (n << 31) | listed
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), part["doc_id"].cast(pa.int64()), pa.array(node), pa.array(packed)], names=names)
+            node, n = np.array(ids, dtype=np.uint64).view(np.int64), np.array([len(x) for x in sets], dtype=np.int64)
+            own = pa.StructArray.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(n), part["h"]], names=["doc_id", "n", "h"])
+            spread = pa.array(node ^ (np.arange(len(node)) << 40))  # copies aren't one key
+            yield pa.RecordBatch.from_arrays([spread, pa.array(node), own], names=names)
             new = np.array([not (x in seen or seen.add(x)) for x in ids], dtype=bool)
-            each = np.where(new, listed, 0)
+            each = np.where(new, prefix_size(n), 0)
             toks = np.concatenate([x[:m] for x, m in zip(sets, each)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(toks), bool)), pa.array(toks), pa.array(np.repeat(node, each)), pa.array(np.repeat(packed, each))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(toks), pa.array(np.repeat(node, each)), pa.nulls(len(toks), own.type)], names=names)
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3  # the last entry so far, whose next isn't known
-        before = False  # has the one before it the same tok?
+        none = np.empty(0, np.int64)
+        held, before = [none, none], False  # the last entry so far, whose next isn't known; has the one before it the same tok?
+
+        def counted(nodes: np.ndarray) -> pa.RecordBatch:
+            node, c = np.unique(nodes, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(c.astype(np.int64)), pa.nulls(len(node), kind)], names=["node", "c", "own"])
+
         for batch in batches:
-            own = batch["own"].to_numpy(zero_copy_only=False)
-            if own.any():
-                yield batch.filter(pa.array(own))
-            tok, node, packed = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, (batch.filter(pa.array(~own))[x] for x in names[1:])))
+            kind, is_own = batch["own"].type, batch["own"].is_valid()
+            mine = batch.filter(is_own)
+            if mine.num_rows:
+                yield pa.RecordBatch.from_arrays([mine["node"], pa.array(np.zeros(mine.num_rows, np.int64)), mine["own"]], names=["node", "c", "own"])
+            some = batch.filter(pa.compute.invert(is_own)) if mine.num_rows else batch
+            tok, node = (np.concatenate([x, some[c].to_numpy()]) for x, c in zip(held, ("tok", "node")))
             if not len(tok):
                 continue
             fresh = np.append(True, (tok[1:] != tok[:-1]) | (node[1:] != node[:-1]))
-            tok, node, packed = tok[fresh], node[fresh], packed[fresh]
+            tok, node = tok[fresh], node[fresh]
             same = tok[1:] == tok[:-1]
             keep = np.append(before, same) | np.append(same, False)
-            out = np.flatnonzero(keep[:-1])
-            held, before = [tok[-1:], node[-1:], packed[-1:]], bool(keep[-1])
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(out), bool)), pa.array(tok[out]), pa.array(node[out]), pa.array(packed[out])], names=names)
+            held, before = [tok[-1:], node[-1:]], bool(keep[-1])
+            yield counted(node[:-1][keep[:-1]])
         if before:
-            yield pa.RecordBatch.from_arrays([pa.array([False]), *map(pa.array, held)], names=names)
+            yield counted(held[1])
 
-    names = ["own", "tok", "node", "size_listed"]
-    schema = "own boolean, tok long, node long, size_listed long"
-    exploded = docs.select("doc_id", "text").mapInArrow(explode, schema)
-    return exploded.repartition("tok").sortWithinPartitions("own", "tok", "node").mapInArrow(shared, schema)
+    names = ["tok", "node", "own"]
+    own = "own struct<doc_id: bigint, n: bigint, h: bigint>"
+    exploded = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(explode, f"tok long, node long, {own}")
+    return exploded.repartition("tok").sortWithinPartitions("tok", "node").mapInArrow(shared, f"node long, c long, {own}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,16 +213,33 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(units: DataFrame, percent: int, count: bool) -> DataFrame:
-    """Links (x, y, shared) inside the units of `units`, or (count) node and n, parts of its number of linked documents in other nodes."""
+def _forest(link: np.ndarray) -> np.ndarray:
+    """For a symmetric matrix of links, the smallest index that each row reaches."""
+    label = np.arange(len(link))
+    while True:
+        new = np.minimum(label, np.where(link, label[None, :], len(link)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compare(units: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Compare the sets of each unit (unit, a, b), of its first side with the second or (a = b) with one another.
+
+    rel stands for the set, by what it differs from a set that all of the unit share; c is the set's number of shingles
+    that others have, n that of all.  Gives (pairs) the links x < y with shared, or node, others (documents of
+    other nodes that it links with, within the unit) and root, a node that its links within the unit lead to.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks().sort_by([("label", "ascending"), ("a", "ascending"), ("b", "ascending"), ("second", "ascending")])
-        keys = [rows[c].to_numpy() for c in ("label", "a", "b")]
-        second, node, copies = (rows[c].to_numpy() for c in ("second", "node", "copies"))
-        lists = rows["toks"].combine_chunks()
+        rows = rows.combine_chunks().sort_by([("unit", "ascending"), ("a", "ascending"), ("b", "ascending"), ("second", "ascending"), ("node", "ascending")])
+        keys = [rows[c].to_numpy() for c in ("unit", "a", "b")]
+        second, node, n, c, copies = (rows[x].to_numpy() for x in ("second", "node", "n", "c", "copies"))
+        lists = rows["rel"].combine_chunks()
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         sets = [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
+        size = np.diff(ends).astype(np.int64)
         cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
         found = []
         for i, j in zip([0, *cuts], [*cuts, len(node)]):
@@ -226,206 +248,191 @@ def _linked(units: DataFrame, percent: int, count: bool) -> DataFrame:
             x, y = slice(i, middle), slice(i, j) if one else slice(middle, j)
             if x.start == x.stop or y.start == y.stop:
                 continue
-            shared = _shared(sets[x], sets[y])
-            n_x, n_y = (np.array([len(t) for t in sets[s]], dtype=np.int64) for s in (x, y))
-            link = shared * 100 >= (n_x[:, None] + n_y[None, :] - shared) * percent
+            # |a| + |b| - 2 |a and b| is how far the shared parts differ
+            shared = (c[x][:, None] + c[y][None, :] - size[x][:, None] - size[y][None, :]) // 2 + _shared(sets[x], sets[y])
+            link = shared * 100 >= (n[x][:, None] + n[y][None, :] - shared) * percent
             if one:
                 np.fill_diagonal(link, False)
-            if count:
-                found.append((node[x], link @ copies[y]))
-                if not one:
-                    found.append((node[y], copies[x] @ link))
-                continue
-            p, q = np.nonzero(np.triu(link) if one else link)
-            u, v = node[x][p], node[y][q]
-            found.append((np.minimum(u, v), np.maximum(u, v), shared[p, q]))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * len(names)
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    names = ["node", "n"] if count else ["x", "y", "shared"]
+            if pairs:
+                p, q = np.nonzero(np.triu(link) if one else link)
+                u, v = node[x][p], node[y][q]
+                found.append((np.minimum(u, v), np.maximum(u, v), shared[p, q]))
+            elif one:
+                found.append((node[x], link @ copies[y], node[x][_forest(link)]))
+            else:
+                k = middle - i
+                both = np.zeros((j - i, j - i), dtype=bool)
+                both[:k, k:], both[k:, :k] = link, link.T
+                found.append((node[i:j], both @ copies[i:j], node[i:j][_forest(both)]))
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names=names)
+
+    names = ["x", "y", "shared"] if pairs else ["node", "others", "root"]
     return units.groupBy("pool").applyInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _units(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows of pairs (a, b) of blocks of members (node, label, n, copies): those of b are `second`; a pool holds whole units."""
-    of_label = members.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("all"))
-    members = members.join(of_label.withColumn("large", (F.col("nodes") > BLOCK) | (F.col("all") > BLOCK_SHINGLES)).drop("nodes", "all"), "label")
-    members = scratch_table(members, "members")
-    small, large = members.where("not large").drop("large"), members.where("large").drop("large")
-    pools = int((small.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES) + 1
-    no = F.lit(0).cast("long")
-    out = small.select("node", "copies", "label", no.alias("a"), no.alias("b"), F.lit(0).alias("second"), F.pmod(F.xxhash64("label"), F.lit(pools)).alias("pool"))
-    if large.head(1):
-        large = large.withColumn("size", F.floor(F.log(F.col("n")) / np.log(1.1)))
-        parts = large.groupBy("label", "size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-        large = large.join(parts, ["label", "size"]).withColumn("block", F.shiftleft("size", 32) + F.pmod(F.xxhash64("node", F.lit(1)), "parts"))
-        large = scratch_table(large.select("node", "label", "n", "copies", "block"), "blocks")
-        blocks = large.groupBy("label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        side = lambda s: blocks.select("label", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most")))
-        near = (F.col("most_a") * 100 >= F.col("least_b") * percent) & (F.col("most_b") * 100 >= F.col("least_a") * percent)
-        pairs = side("a").join(side("b"), "label").where((F.col("block_a") <= F.col("block_b")) & near).select("label", F.col("block_a").alias("a"), F.col("block_b").alias("b"))
-        pairs = scratch_table(pairs, "block_pairs")
-        dealt = lambda s, second: large.withColumnRenamed("block", s).join(pairs.where("a < b") if second else pairs, ["label", s]).select("node", "copies", "label", "a", "b", F.lit(second).alias("second"), F.xxhash64("label", "a", "b").alias("pool"))
-        out = out.unionByName(dealt("a", 0)).unionByName(dealt("b", 1))
-    return out.join(sets, "node")
+def _dealt(sides: DataFrame, percent: int) -> DataFrame:
+    """Rows of units (unit, sides, side, node, n, c, copies, d, rel), dealt into blocks where a unit is large: with a, b, second, pool.
+
+    A unit has one side (sides 0), all of whose sets are compared, or two (sides 1), compared with each other.  Within one side d
+    is the distance to a set that all share, so sets whose d differ by more than a link allows aren't compared; nor are sets of unlike sizes.
+    """
+    width = F.size("rel") + 1
+    per_unit = sides.groupBy("unit").agg(F.count(F.lit(1)).alias("nodes"), F.sum(width).alias("all"))
+    per_unit = scratch_table(per_unit.withColumn("large", (F.col("nodes") > BLOCK) | (F.col("all") > BLOCK_SHINGLES)), "units")
+    total = per_unit.where("not large").agg(F.sum("all")).first()[0] or 0
+    pools, zero = int(total // BLOCK_SHINGLES) + 1, F.lit(0).cast("long")
+    small = narrow(sides, per_unit.where("not large").select("unit"), "unit")
+    columns = ["unit", "node", "n", "c", "copies", "rel"]
+    out = small.select(*columns, zero.alias("a"), F.col("sides").cast("long").alias("b"), F.col("side").cast("int").alias("second"), F.pmod(F.xxhash64("unit"), F.lit(pools)).alias("pool"))
+    large = per_unit.where("large").select("unit")
+    if not large.head(1):
+        return out
+    rows = narrow(sides, large, "unit").withColumn("class", F.floor(F.log1p("d") / np.log(1.5)) * 4096 + F.floor(F.log("n") / np.log(1.25)))
+    parts = rows.groupBy("unit", "side", "class").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(width) / BLOCK_SHINGLES)).alias("parts"))
+    rows = rows.join(parts, ["unit", "side", "class"]).withColumn("block", F.col("class") * 2**32 + F.pmod(F.xxhash64("node", F.lit(1)), "parts") * 2 + F.col("side"))
+    rows = scratch_table(rows.select(*columns, "d", "side", "sides", "block"), "blocks")
+    blocks = rows.groupBy("unit", "sides", "side", "block").agg(*(f(c).alias(f"{name}_{c}") for c in ("n", "d") for name, f in (("least", F.min), ("most", F.max))))
+    bounds = [f"{name}_{c}" for c in ("n", "d") for name in ("least", "most")]
+    end = lambda s, where: blocks.where(where).select("unit", "sides", F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in bounds))
+    near = "most_n_a * 4 >= least_n_b * 3 and most_n_b * 4 >= least_n_a * 3"
+    # of one reference only: of two sides, d refers to each side's own
+    alike = "sides = 1 or 7 * greatest(least_d_a - most_d_b, least_d_b - most_d_a) <= most_n_a + most_n_b"
+    pairs = end("a", "side = 0").join(end("b", "side = sides").drop("sides"), "unit").where(f"(sides = 1 or a <= b) and {near} and ({alike})")
+    pairs = scratch_table(pairs.select("unit", "a", "b"), "block_pairs")
+    dealt = lambda s, second, some: rows.withColumnRenamed("block", s).join(some, ["unit", s]).select(*columns, "a", "b", F.lit(second).alias("second"), F.xxhash64("unit", "a", "b").alias("pool"))
+    return out.unionByName(dealt("a", 0, pairs)).unionByName(dealt("b", 1, pairs.where("a <> b")))
 
 
 @dataclass
 class Join:
-    """documents: doc_id, n_shingles, node (null for empty sets), component_id and, of a whole join, n_links; links: x, y, shared of linked node pairs."""
+    """documents: doc_id, h (hash of the text), n_shingles, node (null for empty sets), component_id, n_links and first (is it
+    the component's first by doc_id, null last, then h?); links: x, y, shared of all linked pairs x < y of nodes, computed if read."""
 
     documents: DataFrame
     links: DataFrame
 
 
-def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS, long: int = LONG, whole: bool = True) -> Join:
+def _candidates(docs: DataFrame, info: DataFrame, k: int) -> DataFrame:
+    """node, n, copies, u, c, score, toks of the sets that may have a partner: c shingles that others of them have, rare ones first, and u that none has.
+
+    info: node, n, copies, rep (doc_id, h of a document with that set).
+    """
+    # each set is made again from the text of one document; one that repeats, id and all, gives it as often as it repeats
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    wanted = info.select(F.col("node").alias("want"), F.col("rep.doc_id").alias("want_id"), F.col("rep.h").alias("want_h"))
+    found = narrow(texts, wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("want_id")) & (F.col("h") == F.col("want_h")))
+    made = scratch_table(shingle_sets(found.select("want", "text"), "want", k).select("node", "toks"), "sets")
+    if made.groupBy("node").count().where("count > 1").head(1):
+        made = made.groupBy("node").agg(F.first("toks").alias("toks"))
+    flat = made.select("node", F.explode("toks").alias("tok"))
+    several = flat.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    kept = flat.join(several, "tok").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("in_order"))
+    kept = kept.join(info.select("node", "n", "copies"), "node").withColumns({"c": F.size("in_order").cast("long"), "u": F.col("n") - F.size("in_order")})
+    score = F.aggregate("in_order", F.lit(0).cast("long"), lambda a, x: a + x["df"]) / F.col("n")
+    return scratch_table(kept.where("u * 4 <= n").select("node", "n", "copies", "u", "c", score.alias("score"), F.transform("in_order", lambda x: x["tok"]).alias("toks")), "candidates")
+
+
+def _with_leaders(sets: DataFrame) -> DataFrame:
+    """Adds leader, d (the distance to it) and rel (the shared shingles in which they differ)."""
+    sketch = sets.select("node", "score", F.explode(F.slice(F.sort_array("toks"), 1, SKETCH)).alias("tok"))
+    heads = sketch.groupBy("tok").agg(F.max_by("node", F.struct("score", "node")).alias("head"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    chosen = sketch.join(heads, "tok").groupBy("node", "head").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max_by("head", F.struct("times", "head")).alias("head")).where("node <> head")
+    chosen = scratch_table(chosen, "heads")
+    leaders = narrow(sets.select(F.col("node").alias("head"), F.col("n").alias("n_head"), F.col("u").alias("u_head"), F.col("toks").alias("head_toks")), chosen.select("head").distinct(), "head")
+    led = sets.join(chosen, "node").join(leaders, "head").withColumn("rel", F.concat(F.array_except("toks", "head_toks"), F.array_except("head_toks", "toks")))
+    led = led.withColumn("d", F.col("u") + F.col("u_head") + F.size("rel"))
+    # half of all shingles shared: 3 shared >= n + m, where 2 shared = n + m - d
+    led = scratch_table(led.where("3 * d <= n + n_head").select("node", F.col("head").alias("leader"), "d", "rel"), "led")
+    led = led.join(led.select(F.col("leader").alias("node")).distinct(), "node", "left_anti")  # who leads has no leader
+    none = F.array().cast("array<bigint>")
+    out = sets.join(led, "node", "left").withColumns({"leader": F.coalesce("leader", "node"), "d": F.coalesce("d", F.lit(0).cast("long")), "rel": F.coalesce("rel", none)})
+    return scratch_table(out, "led_sets")
+
+
+def _near_leaders(sets: DataFrame) -> DataFrame:
+    """unit, l, m, apart, reach_l, reach_m for pairs of leaders l < m with sets that may link: reach is how far a linked set may be from the other leader."""
+    first = F.slice("toks", 1, F.greatest((F.floor(F.col("n") / 4) + 1 - F.col("u")).cast("int"), F.lit(0)))
+    entries = sets.select("leader", "n", "u", F.posexplode(first).alias("pos", "tok"))
+    # a block of a list: the sets of one leader, with what they have from this position on
+    blocks = entries.groupBy("tok", "leader").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("u") - F.col("pos")).alias("rest"))
+    blocks = scratch_table(blocks, "list_blocks")
+    several = blocks.groupBy("tok").agg(F.min("leader").alias("p"), F.max("leader").alias("q")).where("p <> q").select("tok")
+    blocks = blocks.join(several, "tok", "left_semi")
+    x, y = (blocks.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in ("leader", "least", "most", "rest"))) for s in "xy")
+    fits = "leader_x < leader_y and most_x * 4 >= least_y * 3 and most_y * 4 >= least_x * 3 and 7 * least(rest_x, rest_y) >= 3 * (least_x + least_y)"
+    met = scratch_table(x.join(y, "tok").where(fits).select(F.col("leader_x").alias("l"), F.col("leader_y").alias("m")).distinct(), "met")
+    span = sets.groupBy("leader").agg(F.max("d").alias("radius"), F.max("n").alias("most"))
+    of = sets.where("node = leader").join(span, "leader")
+    a, b = (of.select(F.col("leader").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("u", "c", "toks", "radius", "most"))) for s in "lm")
+    both = met.join(a, "l").join(b, "m").withColumn("apart", F.col("u_l") + F.col("u_m") + F.col("c_l") + F.col("c_m") - 2 * F.size(F.array_intersect("toks_l", "toks_m")))
+    # linked sets of n and m shingles are (n + m) / 7 apart at most
+    reach = lambda s: F.col(f"radius_{s}") + (F.col("most_l") + F.col("most_m")) / 7
+    both = both.where("7 * (apart - radius_l - radius_m) <= most_l + most_m")
+    return scratch_table(both.select(F.xxhash64("l", "m").alias("unit"), "l", "m", "apart", reach("m").alias("reach_l"), reach("l").alias("reach_m")), "near_leaders")
+
+
+def _sides(sets: DataFrame) -> DataFrame:
+    """The units: the sets of each leader, by their differences to it, and those of two leaders that may link, whole."""
+    columns = ["node", "n", "c", "copies"]
+    several = sets.groupBy("leader").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("leader")
+    zero, one = F.lit(0), F.lit(1)
+    inside = sets.join(several, "leader", "left_semi").select(F.col("leader").alias("unit"), zero.alias("sides"), zero.alias("side"), *columns, "d", "rel")
+    near = _near_leaders(sets)
+    # by the triangle, no set of the other leader is near one that lies too far off
+    ends = [near.select("unit", F.col(s).alias("leader"), "apart", F.col(f"reach_{s}").alias("reach"), F.lit(i).alias("side")) for i, s in enumerate("lm")]
+    across = sets.join(ends[0].unionByName(ends[1]), "leader").where("apart - d <= reach").select("unit", one.alias("sides"), "side", *columns, "d", F.col("toks").alias("rel"))
+    return scratch_table(inside.unionByName(across), "sides")
+
+
+def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS) -> Join:
     """Link documents of `docs` (doc_id, text) if 100 * shared >= percent * all of their shingles.
 
     Null, empty and blank texts have empty sets and link with nothing.  Equal sets always link.  component_id is
     the smallest doc_id reachable by links (null only if all of them are null).  Repeated rows and equal doc_ids
     are documents of their own.  The links are all pairs x < y of distinct nodes that link; n_links is the number
-    of other documents that a document links with, copies included.  If not `whole`, the links are only enough
-    to connect each component, and there is no n_links.  Works for a percent of 75 or more.
+    of other documents that a document links with, copies included.  Other columns are ignored; an empty table
+    gives an empty result.  Works for a percent of 75 or more.
     """
     if percent < 75:
         raise ValueError("lists are made for 75 percent or more")
-    spark = docs.sparkSession
-    table = scratch_table(_entries(docs, k, False), "entries")
-    if table.where(f"own and {_LISTED} * 7 <= {_N} and {_N} > 0").head(1):
-        table = scratch_table(_entries(docs, k, True), "entries")
-    own = table.where("own").select(F.col("tok").alias("doc_id"), "node", F.expr(_N).alias("n"))
-    info = scratch_table(table.where(f"own and {_N} > 0").groupBy("node").agg(F.min("tok").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max(F.expr(_N)).alias("n"), F.max(F.expr(_LISTED)).alias("listed")), "nodes")
-    entries = table.where("not own").select("tok", "node", F.expr(_N).alias("n"))
-    compatible = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-
-    crowded = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > long).select("tok")
-    crowded_count = entries.join(crowded, "tok", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("lost"))
-    nodes = scratch_table(entries.select("node").distinct().join(info, "node").join(crowded_count, "node", "left").select("node", "first_id", "n", "listed", F.coalesce("lost", F.lit(0)).alias("lost")).withColumn("hot", (F.col("listed") - F.col("lost")) * 7 <= F.col("n")), "listed_nodes")
-
-    # pairs of other nodes, from short lists
-    short = entries.join(crowded, "tok", "left_anti").join(nodes.where("not hot").select("node"), "node", "left_semi")
-    left, right = (short.select("tok", F.col("node").alias(s), F.col("n").alias(f"n_{s}")) for s in "xy")
-    pairs = left.join(right, "tok").where((F.col("x") < F.col("y")) & compatible(F.col("n_x"), F.col("n_y"))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    x, y = (nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), (F.col("listed") - F.col("lost")).alias(f"l_{s}")) for s in "xy")
-    same, swap = _part(F.col("n_x")) == _part(F.col("n_y")), F.col("n_x") > F.col("n_y")
-    need = lambda s, t: F.col(f"l_{s}") * 7 - 4 * F.col(f"n_{s}") + 3 * F.col(f"n_{t}")
-    enough = (~(same | swap) | (F.col("c") * 7 >= need("x", "y"))) & (~(same | ~swap) | (F.col("c") * 7 >= need("y", "x")))
-    plain = scratch_table(pairs.join(x, "x").join(y, "y").where(enough).select("x", "y", (F.col("c") / (F.col("n_x") + F.col("n_y"))).alias("c")), "pairs")
-
-    # each crowded node and, of the heads and neighbours in its lists, the one that it shares most with
-    hot = nodes.where("hot")
-    any_hot = bool(hot.head(1))
-    nearest = None
-    if any_hot:
-        listed = entries.join(hot.select("node"), "node", "left_semi").withColumn("size", F.floor(F.log(F.col("n")) / np.log(1.1)))
-        heads = listed.groupBy("tok", "size").agg(F.min("node").alias("head"))
-        # beside the head, the two before a node in the order of size: of near copies, some partner is near enough to link
-        order = W.partitionBy("tok").orderBy("n", "node")
-        before = listed.withColumns({f"b{i}": F.lag("node", i).over(order) for i in (1, 2)}).select("node", F.explode(F.array("b1", "b2")).alias("head"))
-        chosen = listed.join(heads, ["tok", "size"]).select("node", "head").unionByName(before).where("head <> node").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
-        nearest = scratch_table(chosen.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("head")).select(F.col("head").alias("x"), F.col("node").alias("y")), "heads")
-
-    def fetch(wanted: DataFrame) -> DataFrame:
-        """node, toks for nodes, from their texts."""
-        ids = scratch_table(wanted.join(info, "node").select(F.col("node").alias("want"), F.col("first_id").alias("id")), "wanted")
-        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = docs.select("doc_id", "text").join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("id")))
-        made = scratch_table(shingle_sets(texts, "want", k).where("node = want"), "sets").select("node", "toks")
-        if made.groupBy("node").count().where("count > 1").head(1):
-            return made.groupBy("node").agg(F.first("toks").alias("toks"))
-        return made
-
-    def verify(some: DataFrame, sets: DataFrame) -> DataFrame:
-        """x, y, shared, n_x, n_y, d (how many shingles only one of them has), link for distinct pairs (x, y)."""
-        a, b = (sets.select(F.col("node").alias(s), F.col("toks").alias(f"t_{s}")) for s in "xy")
-        out = some.join(a, "x").join(b, "y").select("x", "y", F.size(F.array_intersect("t_x", "t_y")).cast("long").alias("shared"), F.size("t_x").cast("long").alias("n_x"), F.size("t_y").cast("long").alias("n_y"))
-        out = out.withColumn("d", F.col("n_x") + F.col("n_y") - 2 * F.col("shared"))
-        return scratch_table(out.withColumn("link", F.col("shared") * 100 >= (F.col("n_x") + F.col("n_y") - F.col("shared")) * percent), "verified")
-
-    # first the best partner of each node, then what these links leave apart
-    best = plain.groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x")).select("x", "y")
-    wanted = plain.select(F.col("x").alias("node")).union(plain.select("y"))
-    if any_hot:
-        best, wanted = best.union(nearest), wanted.union(hot.select("node"))
-    sets = fetch(wanted.distinct())
-    checked = verify(best, sets)
-    links = checked.where("link").select("x", "y", "shared")
-    label = components(links)
-
-    def labelled(some: DataFrame, by: DataFrame) -> DataFrame:
-        """Those of the pairs that lie in two components; nodes without a label are one of their own."""
-        for s in "xy":
-            some = some.join(by.select(F.col("node").alias(s), F.col("label").alias(f"in_{s}")), s, "left").withColumn(f"in_{s}", F.coalesce(f"in_{s}", s))
-        return some.where("in_x <> in_y").drop("in_x", "in_y")
-
-    rest = labelled(plain.select("x", "y"), label)
-    if any_hot:
-        in_component = nodes.join(label, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
-        in_component = scratch_table(in_component, "components")
-        span = in_component.groupBy("component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        sizes = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("size"))
-        # the rarest shingles of each crowded node, if all sets that it may link with list the same part
-        looked = entries.join(sizes, "tok").join(in_component.where("hot").select("node", "component", "listed"), "node")
-        mine = W.partitionBy("node")
-        looked = looked.withColumns({"rank": F.row_number().over(mine.orderBy("size", "tok")), "present": F.count(F.lit(1)).over(mine)})
-        alike = _part(F.col("n")) == _part(F.ceil(F.col("n") * 4 / 3))
-        looked = looked.where(~alike | (F.col("rank") <= F.floor(F.col("n") / 4) + 1 - (F.col("listed") - F.col("present"))))
-        looked = looked.select("tok", "component").distinct().join(span, "component")
-        in_lists = entries.select("tok", "node").join(in_component.select("node", "component"), "node")
-        several = in_lists.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("tok")
-        others = in_lists.join(several, "tok", "left_semi").select("tok", "component").distinct().join(span, "component")
-        side = lambda rows, s: rows.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in span.columns))
-        met = side(looked, "x").join(side(others, "y"), "tok").where("component_x <> component_y")
-        met = met.where((F.col("most_x") * 100 >= F.col("least_y") * percent) & (F.col("most_y") * 100 >= F.col("least_x") * percent))
-        met = scratch_table(met.select(F.least("component_x", "component_y").alias("p"), F.greatest("component_x", "component_y").alias("q")).distinct(), "met")
-        # the nodes of components that met, by what they share
-        listed = entries.select("tok", "node").join(in_component, "node")
-        opened = lambda s, by: listed.select("tok", F.col("component").alias(by), F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "listed", "hot")))
-        shared = met.join(opened("x", "p"), "p").join(opened("y", "q"), ["tok", "q"]).where((F.col("hot_x") | F.col("hot_y")) & compatible(F.col("n_x"), F.col("n_y")))
-        shared = shared.groupBy("x", "y", "n_x", "n_y", "listed_x", "listed_y").agg(F.count(F.lit(1)).alias("c"))
-        shared = shared.withColumns({"l_x": F.col("listed_x"), "l_y": F.col("listed_y")}).where(enough)
-        rest = scratch_table(rest.union(shared.select("x", "y")).distinct(), "rest")
-        more = rest.select(F.col("x").alias("node")).union(rest.select("y")).distinct().join(sets.select("node"), "node", "left_anti")
-        if more.head(1):
-            sets = sets.unionByName(fetch(more))
-    links = links.unionByName(verify(rest, sets).where("link").select("x", "y", "shared"))
-    label = components(links)
-    if whole:
-        # the small end of each star isn't a row of label
-        members = label.select("node", "label").union(label.select("label", "label")).distinct().join(info.select("node", "n", "copies"), "node")
-        units = _units(members, sets, percent)
-        links = _linked(units, percent, count=False)
-        others = scratch_table(_linked(units, percent, count=True).groupBy("node").agg(F.sum("n").alias("others")), "n_links")
-    names = label.join(info.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("id"))
-    roots = names.join(info.select(F.col("node").alias("label"), F.col("first_id").alias("root_id")), "label").select("label", F.least("id", "root_id").alias("id"))
-    of_label = label.join(roots, "label").select("node", "id").union(roots.select(F.col("label").alias("node"), "id"))
-    place = info.select("node", "first_id").join(of_label, "node", "left").select("node", F.coalesce("id", "first_id").alias("id"))
-    n_links, none = [], []
-    if whole:
-        place = place.join(others, "node", "left").join(info.select("node", "copies"), "node").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
-        n_links, none = ["n_links"], [F.lit(0).cast("long").alias("n_links")]
-    full, empty = own.where("n > 0"), own.where("n = 0")
-    out = full.join(place, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("id").alias("component_id"), *n_links)
-    out = out.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id"), *none))
-    return Join(out, links)
+    docs = docs.select("doc_id", "text")
+    table = scratch_table(_entries(docs, k), "entries")
+    own = table.where("own is not null").select("own.*", "node")
+    others = table.where("own is null").groupBy("node").agg(F.sum("c").alias("others"))
+    info = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("rep"))
+    info = scratch_table(info.join(others, "node", "left").withColumn("others", F.coalesce("others", F.lit(0))), "nodes")
+    sets = _with_leaders(_candidates(docs, info.where(~lone(F.col("n"), F.col("others"))), k))
+    units = _dealt(_sides(sets), percent)
+    compared = scratch_table(_compare(units, percent, pairs=False), "compared")
+    label = components(compared.select(F.col("node").alias("x"), F.col("root").alias("y")))
+    # the small end of each star isn't a row of label
+    label = label.select("node", "label").union(label.select("label", "label").distinct())
+    of_label = label.join(info.select("node", "first_id", "rep"), "node").groupBy("label").agg(F.min("first_id").alias("id"), F.min("rep").alias("leads"))
+    linked = compared.groupBy("node").agg(F.sum("others").alias("linked"))
+    found = linked.join(label.join(of_label, "label").select("node", "id", "leads"), "node", "left")
+    place = info.select("node", "first_id", "copies", "rep").join(found, "node", "left")
+    place = place.select("node", F.coalesce("id", "first_id").alias("component_id"), F.coalesce("leads", "rep").alias("leads"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    out = own.where("n > 0").join(place, "node").select("doc_id", "h", F.col("n").alias("n_shingles"), "node", "component_id", "n_links", (F.col("doc_id").eqNullSafe(F.col("leads.doc_id")) & (F.col("h") == F.col("leads.h"))).alias("first"))
+    empty = own.where("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return Join(out.unionByName(empty), _compare(units, percent, pairs=True))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with the first document by doc_id of each component; documents without words all stay.
+    """`docs` with one row of each component, the first by doc_id (null last), then by its text's hash; rows without words all stay.
 
-    Rows of one doc_id stay or go together, except that of rows equal in doc_id and text one stays.
-    Rows without doc_id are one document in this.
+    Rows that repeat, id and text, are in one component, so one of them stays (any, if they differ in other columns).
+    Columns stay as they are, whatever their names.
     """
-    found = join(docs, whole=False, **options).documents
-    known = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    odd = scratch_table(known.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), "stays"), "gone")
-    gone, again = odd.where("not stays").select("_id"), odd.where("stays").select("_id")
-    small = odd.count() <= BROADCAST_IDS
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    kept = docs.join(F.broadcast(gone) if small else gone, match, "left_anti")
+    found = join(docs, **options).documents.where("n_shingles > 0")
+    id_, h = free_name(docs, "id"), free_name(docs, "h")
+    odd = found.groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h)).agg(F.count(F.lit(1)).alias("rows"), F.max("first").alias("first")).where("not first or rows > 1")
+    odd = scratch_table(odd, "odd")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(h))
+    kept = narrow(docs, odd.where("not first").select(id_, h), same, "left_anti")
+    again = odd.where("first").select(id_, h)
     if not again.head(1):
         return kept
-    side = F.broadcast(again) if small else again
-    first = F.row_number().over(W.partitionBy("doc_id", "_text").orderBy(F.lit(0)))
-    twice = kept.join(side, match, "left_semi").withColumn("_text", F.xxhash64("text")).withColumn("_rank", first).where("_rank = 1")
-    return kept.join(side, match, "left_anti").unionByName(twice.select(*docs.columns))
+    row = free_name(docs, "row")
+    twice = narrow(kept.select(F.struct(*docs.columns).alias(row), "doc_id", "text"), again, same).groupBy(id_, h).agg(F.first(row).alias(row))
+    return narrow(kept, again, same, "left_anti").unionByName(twice.select(f"{row}.*"))

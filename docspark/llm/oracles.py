@@ -37,7 +37,7 @@ common AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM sh a JOIN sh b ON a
 link AS (SELECT x, y FROM common JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
 edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
 reach AS (SELECT rid AS x, rid AS y FROM t UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x)
-SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM t LEFT JOIN n USING (rid) JOIN (SELECT x AS rid, min(doc_id) AS component_id FROM reach JOIN t ON t.rid = y GROUP BY x) c USING (rid)"""
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links FROM t LEFT JOIN n USING (rid) LEFT JOIN (SELECT x AS rid, count(*) AS n_links FROM edge GROUP BY x) k USING (rid) JOIN (SELECT x AS rid, min(doc_id) AS component_id FROM reach JOIN t ON t.rid = y GROUP BY x) c USING (rid)"""
 
 _CONTROL = r"[<\[]/?s>|[<\[]/?INST\]|[<\[]</?SYS>>"
 _ESCAPED = "length({0}) + len(regexp_extract_all({0}, '␛')) + len(regexp_extract_all({0}, '" + _CONTROL + "'))"

@@ -41,7 +41,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_join.join(docs).documents.select("doc_id", "n_shingles", "component_id")
+    return ngram_join.join(docs).documents.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

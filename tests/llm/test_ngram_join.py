@@ -2,7 +2,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.llm import ngram_join as X
 from docspark.llm import oracles
@@ -60,14 +62,35 @@ def texts(seed):
     return out + ["", None, " \n", "A b", "a B", "a b c d e", "É x", "é x"]
 
 
-@pytest.mark.parametrize("seed, long", [(1, 64), (2, 5)])
-def test_components_against_all_pairs(spark, seed, long):
+@pytest.mark.parametrize("seed, block", [(1, 256), (2, 8)])
+def test_components_against_all_pairs(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(X, "BLOCK", block)
     rows = list(enumerate(texts(seed)))
     random.Random(seed).shuffle(rows)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int").repartition(3)
-    j = X.join(df, long=long)
+    j = X.join(df)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.documents.collect()), key=str) == brute(rows)
-    assert j.links.where("x = y").count() == 0
+
+
+def test_lists_leave_no_linked_set_alone(spark):
+    """lone() for all sizes that can link, with the least that the lists of a linked pair must share."""
+    worst = []
+    for n in range(1, 3000):
+        m = np.arange((3 * n + 3) // 4, 4 * n // 3 + 1)
+        o = -(-3 * (n + m) // 7)
+        m, o = m[o <= np.minimum(n, m)], o[o <= np.minimum(n, m)]
+        if not len(m):
+            continue
+        if n == 1:
+            assert list(m) == [1] and list(o) == [1]  # then the sets are equal
+        # the list of m ends first; what is shared of it is listed by both
+        shared = X.prefix_size(m) - (m - o)
+        worst += [(int(n), int(shared.min())), *((int(a), int(b)) for a, b in zip(m, shared))]
+    least = {}
+    for n, c in worst:
+        least[n] = min(c, least.get(n, c))
+    rows = spark.createDataFrame(list(least.items()), "n long, others long")
+    assert rows.where(X.lone(F.col("n"), F.col("others"))).where("n > 1").count() == 0
 
 
 def brute_links(rows):
@@ -88,13 +111,13 @@ def brute_links(rows):
     return number, pairs
 
 
-@pytest.mark.parametrize("seed, long, block", [(1, 64, 256), (2, 5, 256), (3, 5, 8)])
-def test_links_against_all_pairs(spark, monkeypatch, seed, long, block):
+@pytest.mark.parametrize("seed, block", [(1, 256), (3, 8)])
+def test_links_against_all_pairs(spark, monkeypatch, seed, block):
     monkeypatch.setattr(X, "BLOCK", block)
     some = texts(seed)
     rows = list(enumerate(some + random.Random(seed).sample(some, 60)))
     number, pairs = brute_links(rows)
-    j = X.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), long=long)
+    j = X.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     got = {r.doc_id: r for r in j.documents.collect()}
     assert [got[i].n_links for i, _ in rows] == number
     links = [(r.x, r.y) for r in j.links.collect()]
@@ -109,7 +132,6 @@ def test_three_texts_that_all_link_have_three_links(spark):
     j = X.join(df)
     assert j.links.count() == 3
     assert sorted((r.doc_id, r.n_links) for r in j.documents.collect()) == [(0, 3), (1, 3), (2, 3), (3, 3), (4, 0)]
-    assert X.join(df, whole=False).documents.columns == ["doc_id", "n_shingles", "node", "component_id"]
 
 
 def test_query_equals_sql(spark):
@@ -124,4 +146,16 @@ def test_odd_ids_and_one_per_component(spark):
     kept = X.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) + (r.text or "-")[:4] for r in kept.collect()) == ["3K0 K", "7solo", "8-", "9-", "9othe"]
+    clash = df.withColumnsRenamed({"component_id": "h"}).withColumns({"id": F.lit(1), "node": F.lit(2), "want": F.lit(3), "row": F.lit(4), "first": F.lit(5)})
+    assert X.keep_one(clash).columns == clash.columns and X.keep_one(clash).count() == 5
     assert X.join(df.limit(0)).documents.count() == 0 and X.keep_one(df.limit(0)).count() == 0
+
+
+def test_many_rows_without_id_and_with_one_id(spark):
+    """Each text is read for its node alone, however many rows have its id."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, f"{passage} e{i}") for i in range(150)] + [(4, f"{passage} f{i} g{i} h{i}") for i in range(150)] + [(None, f"{passage} e0")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in X.join(df).documents.collect()), key=str) == brute(rows)
+    hashes = dict(df.select("text", F.xxhash64("text")).collect())
+    assert X.keep_one(df).collect() == [(4, min((t for i, t in rows if i == 4), key=lambda t: hashes[t]))]
