@@ -1,3 +1,6 @@
+import importlib
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -19,3 +22,15 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["book_id", "ord", "name", "content_md5"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("lacking", ["docspark.llm", "corpus_pipeline"])
+def test_core_queries_come_without_the_others(monkeypatch, lacking):
+    """Whatever of the training-data operators can't be imported, the queries of this registry stay."""
+    monkeypatch.setitem(sys.modules, lacking, None)
+    try:
+        alone = importlib.reload(entry)
+        assert set(alone.queries()) == set(registry.QUERIES) and set(alone.oracle_sql()) == set(registry.ORACLES)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
