@@ -21,7 +21,23 @@ JAPANESE = "[぀-ゟ゠-ヿ一-鿿]"
 MARKDOWN_SPECIAL = r"([`*{}\[\]()#+!~|-])"
 # Fixed value: characters that file names may not have.
 NOT_IN_NAMES = r'[/\\:*?"<>|\x00-\x1f\x7f]'
+# Images in Markdown (text, path) and as tags (before, path, after).
+IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
+IMG_TAG = r'<img ([^>]*)src="([^"]+)"([^>]*)>'
+# Fixed values, in this order: what plain text leaves out of Markdown, and what it puts in its place.
+PLAIN_RULES = (
+    (r"(?mdU)^#{1,6}\s+", ""),
+    (r"(?d)\*\*(.+?)\*\*|__(.+?)__", "$1$2"),
+    (r"(?d)\*(.+?)\*|_(.+?)_", "$1$2"),
+    (r"(?d)`(.+?)`", "$1"),
+    (r"!\[([^\]]*)\]\([^)]+\)", "[図: $1]"),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"(?mdU)^[-*_]{3,}\s*$", ""),
+)
+# What becomes _ in file names beside NOT_IN_NAMES, and their most characters.
+NAME_BLANKS, NAME_CHARS = "　 ", 80
 
+# Headings of chapters and of other parts.
 CHAPTER = rf"(?dU)^第\s*([{NUMERALS}]+)\s*章\s*(.*)$"
 NUMBERED = rf"(?dU)^([1-9][0-9]?)({NOT_TITLE}.*)$"
 PREFACE = rf"(?dU)^({'|'.join(PREFACE_WORDS)})[\d\s]*$"
@@ -29,6 +45,7 @@ AFTERWORD = rf"(?dU)^({'|'.join(AFTERWORD_WORDS)})[\d\s]*$"
 INDEX = rf"(?dU)^({'|'.join(INDEX_WORDS)})[\d\s]*$"
 ANY_HEADING = rf"(?mdU)^#\s+(?:第\s*[{NUMERALS}]+\s*章|[1-9][0-9]?{NOT_TITLE}|{'|'.join(PREFACE_WORDS + AFTERWORD_WORDS + INDEX_WORDS)})"
 
+# Tables of contents and a syllabus's chapters.
 TOC_PAGE = r"(?mdU)^#\s*目次\b"
 TOC_ENTRY = rf"(?mdU)第\s*([{NUMERALS}]+)\s*章\s+(.+?)\s+[・\.\s]*(\d+)\s*$"
 TOC_PREFACE = rf"(?dU)^#\s+({'|'.join(PREFACE_WORDS)})\s*(\d+)\s*$"
@@ -37,5 +54,5 @@ TOC_SECTION = r"(?dU)^\d+\.\s+.+?(\d+)\s*$"
 HEADING_LINE = r"(?dU)^#\s+"
 SYLLABUS = rf"(?dU)^第\s*([{NUMERALS}]+)\s*章\s*(.+)"
 
-#: Rows of a book that are searched for its table of contents.
+#: Fixed value: rows of a book that are searched for its table of contents.
 TOC_WINDOW = 15

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,24 +28,15 @@ def escape_markdown(text: Column) -> Column:
 
 def plaintext(markdown: Column) -> Column:
     """Without Markdown marks.  The order of the rules matters: emphasis goes before horizontal rules."""
-    rules = (
-        (r"(?mdU)^#{1,6}\s+", ""),
-        (r"(?d)\*\*(.+?)\*\*|__(.+?)__", "$1$2"),
-        (r"(?d)\*(.+?)\*|_(.+?)_", "$1$2"),
-        (r"(?d)`(.+?)`", "$1"),
-        (r"!\[([^\]]*)\]\([^)]+\)", "[図: $1]"),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"(?mdU)^[-*_]{3,}\s*$", ""),
-    )
-    for pattern, by in rules:
+    for pattern, by in P.PLAIN_RULES:
         markdown = F.regexp_replace(markdown, pattern, by)
     return markdown
 
 
 def slug(title: Column) -> Column:
-    """A title as part of a file name, 80 characters at most (the cut may leave a last _)."""
-    out = F.regexp_replace(F.translate(title, "　 ", "__"), P.NOT_IN_NAMES, "_")
-    return F.substring(F.regexp_replace(F.regexp_replace(out, "_+", "_"), "^_|_$", ""), 1, 80)
+    """A title as part of a file name, NAME_CHARS characters at most (the cut may leave a last _)."""
+    out = F.regexp_replace(F.translate(title, P.NAME_BLANKS, "_" * len(P.NAME_BLANKS)), P.NOT_IN_NAMES, "_")
+    return F.substring(F.regexp_replace(F.regexp_replace(out, "_+", "_"), "^_|_$", ""), 1, P.NAME_CHARS)
 
 
 def chapter_filename(order: Column, kind: Column, title: Column) -> Column:
@@ -69,6 +62,14 @@ def image_basenames(markdown: Column, has_assets: Column) -> Column:
     return F.when(has_assets, cut).otherwise(markdown)
 
 
+def replace_found(text: Column, pattern: str, groups: int, by: Callable[[list[Column]], Column]) -> Column:
+    """Every finding of a pattern replaced by what `by` makes of its groups; each is looked at once."""
+    found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(f"g{i}") for i in range(groups)))
+    new = F.transform(found, lambda f: by([f[f"g{i}"] for i in range(groups)]))
+    between = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(between, new, lambda t, n: F.concat(t, F.coalesce(n, F.lit("")))), "")
+
+
 def replace_first(text: Column, needle: Column, by: Column) -> Column:
     """The first finding of a literal replaced; an empty needle is found at the start."""
     at = F.position(needle, text)

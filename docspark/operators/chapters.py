@@ -103,18 +103,24 @@ def _placed(entries: DataFrame, body: DataFrame) -> DataFrame:
     return placed.where("start_page < total_pages")
 
 
-def printed_contents(pages: DataFrame) -> DataFrame:
-    """From a page headed 目次, or else pages near the start that list chapter headings."""
+def _contents_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per book, its first page headed 目次 (page_index, text, total_pages); of other books, the pages near the start that list chapter headings (rn, text)."""
     near = _numbered(pages)
     headed = near.where(F.regexp_like("text", F.lit(P.TOC_PAGE)))
     headed = headed.groupBy("book_id").agg(F.min_by(F.struct("page_index", "text", "total_pages"), "rn").alias("p")).select("book_id", "p.*")
+    listed = near.join(headed.select("book_id"), "book_id", "left_anti").where(H.heading_count(F.col("text")) > 1)
+    return headed, listed
+
+
+def printed_entries(pages: DataFrame) -> DataFrame:
+    """book_id, kind, chapter_number, title, printed, pos, toc_index, total_pages: what the contents pages list."""
+    headed, listed = _contents_pages(pages)
     group = lambda i: F.regexp_extract_all("text", F.lit(P.TOC_ENTRY), F.lit(i))
     zipped = F.arrays_zip(group(1).alias("num"), group(2).alias("title"), group(3).alias("printed"))
     entries = headed.select("book_id", F.col("page_index").alias("toc_index"), "total_pages", F.posexplode(zipped).alias("at", "e"))
     entries = entries.select("book_id", F.lit("chapter").alias("kind"), H.number(F.col("e.num")).alias("chapter_number"), strip(F.col("e.title")).alias("title"), F.translate("e.printed", P.FULL_WIDTH, P.ASCII).try_cast("long").alias("printed"), "at", "toc_index", "total_pages")
     entries = entries.where("chapter_number is not null and printed is not null")
     entries = entries.withColumn("pos", F.row_number().over(W.partitionBy("book_id").orderBy("chapter_number", "at"))).drop("at")
-    listed = near.join(headed.select("book_id"), "book_id", "left_anti").where(H.heading_count(F.col("text")) > 1)
     listed = listed.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("texts"), F.min("page_index").alias("toc_index"), F.first("total_pages").alias("total_pages"))
     joined = F.array_join(F.transform("texts", lambda t: t["text"]), "\n")
     each = listed.select("book_id", "toc_index", "total_pages", F.posexplode(lines(joined)).alias("pos", "line"))
@@ -131,8 +137,12 @@ def printed_contents(pages: DataFrame) -> DataFrame:
     # the last group is empty, not null, where the line has no page
     found = each.where(front | body).select("book_id", kind.alias("kind"), F.when(~front, H.number(F.regexp_extract("line", P.TOC_NUMBERED, 1))).alias("chapter_number"), title.alias("title"), printed.alias("printed"), "pos", "toc_index", "total_pages")
     found = found.where("printed is not null")
-    every = entries.select(*found.columns).unionByName(found)
-    return build(_placed(every, body_headings(pages)), "ocr_toc")
+    return entries.select(*found.columns).unionByName(found)
+
+
+def printed_contents(pages: DataFrame) -> DataFrame:
+    """From a page headed 目次, or else pages near the start that list chapter headings."""
+    return build(_placed(printed_entries(pages), body_headings(pages)), "ocr_toc")
 
 
 DETECTORS = ("syllabus", "pdf_toc", "ocr_toc", "body_headings")
@@ -150,6 +160,29 @@ def detect(pages: DataFrame, toc: DataFrame | None = None, cells: DataFrame | No
     return found.withColumn("best", best).where("rank = best").drop("rank", "best")
 
 
-def detection_errors(pages: DataFrame, detected: DataFrame, tried: tuple[str, ...] = DETECTORS) -> DataFrame:
-    """book_id, error for books without chapters."""
-    return pages.select("book_id").distinct().join(detected.select("book_id"), "book_id", "left_anti").withColumn("error", F.lit("no chapters by " + ", ".join(tried)))
+def detection_errors(pages: DataFrame, detected: DataFrame, toc: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """book_id, error for books without chapters: on a line each, in order of DETECTORS, why each of them found none.
+
+    Without `cells` the syllabus wasn't asked; without `toc` there are no bookmarks.
+    """
+    left = pages.select("book_id").distinct().join(detected.select("book_id"), "book_id", "left_anti")
+    text = source_text()
+
+    def marked(rows: DataFrame, name: str) -> None:
+        nonlocal left
+        left = left.join(rows.select("book_id").distinct().withColumn(name, F.lit(True)), "book_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+    if cells is not None:
+        marked(syllabus_titles(cells), "titles")
+    if toc is not None:
+        marked(toc, "marks")
+    headed, listed = _contents_pages(pages)
+    marked(headed.select("book_id").unionByName(listed.select("book_id")), "contents")
+    marked(printed_entries(pages), "entries")
+    marked(pages.where(H.classify(H.first_h1(text))["kind"].isNotNull()), "headings")
+    no_heading = F.when(F.col("headings"), "chapter headings only beside others").otherwise("no chapter heading")
+    reasons = [F.concat(F.lit("syllabus: "), F.when(F.col("titles"), no_heading).otherwise("no chapter titles"))] if cells is not None else []
+    reasons.append(F.concat(F.lit("pdf_toc: "), F.when(F.col("marks"), "no chapter among the bookmarks").otherwise("no bookmarks") if toc is not None else F.lit("no bookmarks")))
+    reasons.append(F.concat(F.lit("ocr_toc: "), F.when(~F.col("contents"), "no contents page").when(~F.col("entries"), "no entries on it").otherwise("no entry within the book")))
+    reasons.append(F.concat(F.lit("body_headings: "), no_heading))
+    return left.select("book_id", F.array_join(F.array(*reasons), "\n").alias("error"))

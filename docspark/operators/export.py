@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from ..functions import epub as E
+from ..functions import patterns as P
 from ..functions import text as T
 
+#: Executors get this module's code with the job, wherever the package lies.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Points per inch, smallest font.
 POINTS, LEAST_FONT = 72.0, 4.0
 BETWEEN = "\n\n"
+#: The last component of a path.
+BASE = r"([^/]+)/*$"
 
 
 def _ordered(rows: DataFrame, by: list[str], text: str = "text") -> DataFrame:
@@ -52,35 +65,75 @@ def by_chapter(pages: DataFrame, chapters: DataFrame) -> DataFrame:
 def asset_names(pages: DataFrame) -> DataFrame:
     """book_id, page_index, pos, path, name: a file name of its own for each asset of a book.
 
-    The k-th asset of a name (k from 0) gets _k before its ending if k > 0.  A name made so that another asset
-    already has is counted on among the names that are free in the book.
+    Assets take their names in order of page and place.  A name that is taken by then, as it is or as one made so, gets the
+    lowest number from 1 before its ending that makes a free one.  So a book's assets, only their paths, meet in one task.
     """
-    each = pages.select("book_id", "page_index", F.posexplode("assets").alias("pos", "path"))
-    each = each.withColumn("base", F.regexp_extract("path", r"([^/]+)/*$", 1))
-    rank = F.row_number().over(W.partitionBy("book_id", "base").orderBy("page_index", "pos")) - 1
-    each = each.withColumn("k", rank)
-    stem = F.regexp_extract("base", r"^(.+?)(\.[^.]*)?$", 1)
-    ending = F.regexp_extract("base", r"^.+?(\.[^.]*)?$", 1)
-    # a literal stem_1 in the book moves the made names past it
-    taken = each.where("k = 0").select("book_id", F.col("base").alias("made"), F.lit(True).alias("clash"))
-    made = F.when(F.col("k") == 0, F.col("base")).otherwise(F.concat(stem, F.lit("_"), F.col("k").cast("string"), ending))
-    each = each.withColumn("made", made).join(taken, ["book_id", "made"], "left")
-    clashes = F.sum(F.when((F.col("k") > 0) & F.col("clash"), 1).otherwise(0)).over(W.partitionBy("book_id", "base"))
-    name = F.when((F.col("k") > 0) & (clashes > 0), F.concat(stem, F.lit("_"), F.xxhash64("page_index", "pos").cast("string"), ending)).otherwise(F.col("made"))
-    return each.select("book_id", "page_index", "pos", "path", name.alias("name"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["page_index", "pos"], kind="stable")
+        used: set[str] = set()
+        least: dict[str, int] = {}  # by name: numbers below are taken
+        names = []
+        for base in rows.pop("base"):
+            name = base
+            if name in used:
+                cut = base.rfind(".")
+                stem, ending = (base[:cut], base[cut:]) if 0 < cut < len(base) - 1 else (base, "")
+                i = least.get(base, 1)
+                while (name := f"{stem}_{i}{ending}") in used:
+                    i += 1
+                least[base] = i
+            used.add(name)
+            names.append(name)
+        return rows.assign(name=names)
+
+    each = pages.select("book_id", "page_index", F.posexplode("assets").alias("pos", "path")).withColumn("base", F.regexp_extract("path", BASE, 1))
+    schema = StructType([*each.schema.fields[:4], StructField("name", StringType())])
+    return each.groupBy("book_id").applyInPandas(run, schema)
 
 
 def rewrite_images(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """Pages with markdown whose image references, in Markdown or as <img src>, are the assets' new names.
+    """Pages with markdown whose images, in Markdown or as <img src>, have the assets' new names; links stay.
+
+    An image means an asset by its path or as figures/<base name>: one of its own page, else the last such of the book.  Each image is looked up
+    once, so a new name that is another's old one isn't changed again; images that mean no asset stay.
+    """
+    both = names.select("book_id", "page_index", "pos", "name", F.explode(F.array("path", F.concat(F.lit("figures/"), F.regexp_extract("path", BASE, 1)))).alias("was"))
+    pick = F.max_by("name", F.struct("page_index", "pos")).alias("name")
+    table = F.map_from_entries(F.collect_list(F.struct("was", "name")))
+    of_page = both.groupBy("book_id", "page_index", "was").agg(pick).groupBy("book_id", "page_index").agg(table.alias("of_page"))
+    of_book = both.groupBy("book_id", "was").agg(pick).groupBy("book_id").agg(table.alias("of_book"))
+    rows = pages.join(of_page, ["book_id", "page_index"], "left").join(of_book, "book_id", "left")
+    new = lambda was: F.coalesce(F.col("of_page")[was], F.col("of_book")[was], was)
+    text = T.replace_found(F.col("markdown"), P.IMAGE, 2, lambda g: F.concat(F.lit("!["), g[0], F.lit("]("), new(g[1]), F.lit(")")))
+    text = T.replace_found(text, P.IMG_TAG, 3, lambda g: F.concat(F.lit("<img "), g[0], F.lit('src="'), new(g[1]), F.lit('"'), g[2], F.lit(">")))
+    return rows.withColumn("markdown", text).select(*pages.columns)
+
+
+def assets_by_name(pages: DataFrame) -> DataFrame:
+    """book_id, name, path for writers.copy_files(): assets under their own names, the last of a name in the book."""
+    each = pages.select("book_id", "page_index", F.posexplode("assets").alias("pos", "path")).withColumn("name", F.regexp_extract("path", BASE, 1))
+    return each.groupBy("book_id", "name").agg(F.max_by("path", F.struct("page_index", "pos")).alias("path"))
+
+
+def epub(pages: DataFrame, stem: str = "book", title: str = "Document") -> DataFrame:
+    """book_id, name, content (bytes): an EPUB of each book, with its images, which executors read from their paths.
 
-    A page's own assets are meant, by path or as figures/<base name>; other references stay.
+    A book is one file, so one task makes it.  Without pages there is no book.
     """
-    both = names.select("book_id", "page_index", F.explode(F.array(F.struct(F.col("path").alias("was"), "name"), F.struct(F.concat(F.lit("figures/"), F.regexp_extract("path", r"([^/]+)/*$", 1)).alias("was"), "name"))).alias("m"))
-    maps = both.groupBy("book_id", "page_index").agg(F.array_sort(F.collect_set("m")).alias("maps"))
-    rows = pages.join(maps, ["book_id", "page_index"], "left")
-    swap = lambda t, m: F.replace(F.replace(t, F.concat(F.lit("]("), m["was"], F.lit(")")), F.concat(F.lit("]("), m["name"], F.lit(")"))), F.concat(F.lit('src="'), m["was"], F.lit('"')), F.concat(F.lit('src="'), m["name"], F.lit('"')))
-    done = F.aggregate("maps", F.col("markdown"), swap)
-    return rows.withColumn("markdown", F.coalesce(done, "markdown")).drop("maps")
+    names = asset_names(pages)
+    texts = _ordered(rewrite_images(pages, names).withColumn("text", F.coalesce("markdown", F.lit(""))), ["book_id"])
+    images = names.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("name", "path"))).alias("images"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # books may be large
+                book, text, held = (batch[c][i].as_py() for c in ("book_id", "content", "images"))
+                data = E.book(title, str(book), text, [(x["name"], x["path"]) for x in held or []])
+                yield pa.RecordBatch.from_arrays([batch["book_id"].slice(i, 1), pa.array([f"{stem}.epub"]), pa.array([data], pa.binary())], names=["book_id", "name", "content"])
+
+    rows = texts.join(images, "book_id", "left")
+    return rows.mapInArrow(run, StructType([rows.schema["book_id"], StructField("name", StringType()), StructField("content", BinaryType())]))
 
 
 def word_layer(words: DataFrame, page_height: float, dpi: int) -> DataFrame:

@@ -9,29 +9,37 @@ NL = "chr(10)"
 
 #: A page of a book from a turn of a conversation: headings of all kinds, two forms of contents, plain pages.
 PAGE_MD = f"""CASE
- WHEN turn = 0 AND conv_id % 5 = 0 THEN '# 目次' || {NL} || '第 1 章 データとは何か ...... 2' || {NL} || '第２章 応用 ・・・ 4' || {NL} || '第二十章 なし 9' || {NL} || '第 3 章 先 900' || {NL}
- WHEN turn = 0 AND conv_id % 5 = 1 THEN '# まえがき1' || {NL} || '# 1Rの基本操作' || {NL} || '本文' || {NL} || '1. R と RStudio2' || {NL} || '2. 次 3' || {NL} || '# 2応用 4' || {NL} || '# 3なし' || {NL}
+ WHEN turn = 0 AND conv_id % 5 = 0 THEN '# 目次' || {NL} || '第 1 章 星の見かた ...... 2' || {NL} || '第２章 応用 ・・・ 4' || {NL} || '第二十章 なし 9' || {NL} || '第 3 章 先 900' || {NL}
+ WHEN turn = 0 AND conv_id % 5 = 1 THEN '# まえがき1' || {NL} || '# 1Kの使いかた' || {NL} || '本文' || {NL} || '1. K と道具2' || {NL} || '2. 次 3' || {NL} || '# 2応用 4' || {NL} || '# 3なし' || {NL}
  WHEN turn = 0 AND conv_id % 5 = 2 THEN {NL} || '  # はじめに 12' || {NL}
  WHEN turn = 0 THEN '# 前書き' || {NL}
- WHEN turn = 1 THEN '# 第' || CASE conv_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '１' ELSE '一' END || '章 ' || substr(text, 1, 12) || {NL}
+ WHEN turn = 1 THEN '# 第' || CASE conv_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '１' ELSE '一' END || '章 ' || text || {NL}
  WHEN turn = 2 THEN ''
- WHEN turn = 3 AND conv_id % 4 = 0 THEN '# 2データ/分類' || {NL}
+ WHEN turn = 3 AND conv_id % 4 = 0 THEN '# 2鳥/分けかた' || {NL}
  WHEN turn = 3 THEN '# 第 二 章' || {NL}
  WHEN turn = 4 THEN '# 3. 節' || {NL}
  WHEN turn = 5 THEN '# 第二十章 まとめ' || {NL}
  WHEN turn = 6 THEN '# あとがき 3' || {NL}
  ELSE '# 索引' || {NL} END || text"""
-#: Every third page has assets; images with and without folders.
-PAGE_IMAGES = f"' ![a](/x/y/fig' || turn || '.png)' || {NL} || '![b](c.png) <img src=\"figures/fig' || turn || '.png\"> [l](/u/v)'"
+#: Every third page has assets; images with and without folders, and links to what images show.
+PAGE_IMAGES = f"' ![a](/x/y/fig' || turn || '.png)' || {NL} || '![b](c.png) <img src=\"figures/fig' || turn || '.png\"> [l](/u/v) [see](/x/y/fig' || turn || '.png) ![d](/x/z/all.png) ![e](/x/y/fig0.png)<img alt=\"f\" src=\"figures/all.png\" />'"
+#: Of these, names clash: with one another, and with names made where others clash.
+PAGE_ASSETS = ("'/x/y/fig' || turn || '.png'", "'/x/z/all.png'", "'/x/z/all_' || CASE turn WHEN 0 THEN '1' WHEN 3 THEN '2' ELSE '1_1' END || '.png'", "'/x/w/all'")
 NUMBER_TEXT = "CASE (conv_id + turn) % 7 WHEN 0 THEN '３' WHEN 1 THEN '十二' WHEN 2 THEN '7' WHEN 3 THEN '二十' WHEN 4 THEN ' 1２ ' WHEN 5 THEN 'x1' ELSE '' END"
 SPEC = "CASE conv_id % 6 WHEN 0 THEN '1,3-4' WHEN 1 THEN NULL WHEN 2 THEN ' 2 - 2 ,1' WHEN 3 THEN '3-2' WHEN 4 THEN '0' ELSE 'a-1' END"
-SYLLABUS_HTML = "'<table><tr><td>その他</td><td class=\"t\"> 第 ' || (conv_id % 9 + 1) || ' 章 <b>題名</b>' || conv_id || '</td><td>第二章 応用' || turn || '</td></tr></table>'"
+
+
+def syllabus_row(named: str) -> str:
+    """A row of a syllabus table from a turn: the second and fourth turn of a book that is `named` name a chapter each."""
+    cell = "CASE turn WHEN 1 THEN '<td class=\"t\"> 第 ' || (conv_id % 9 + 1) || ' 章 <b>題名</b>' || conv_id || '</td>' WHEN 3 THEN '<td>第二章 応用' || turn || '</td>' ELSE '<td>第x章</td>' END"
+    return f"'<tr><td>その他</td>' || CASE WHEN {named} THEN {cell} ELSE '<td>別</td>' END || '</tr>'"
+
 
 #: Boxes from line items: page is the order; even lines are paragraphs, odd ones detections, all are words too.
 BOX = ("CAST(l_partkey % 120 AS INT)", "CAST(l_suppkey % 40 AS INT)", "CAST(l_partkey % 120 + l_quantity * 4 AS INT)", "CAST(l_suppkey % 40 + 10 + l_linenumber * 12 AS INT)")
 WORD_BOX = ("CAST(l_suppkey % 150 AS INT)", "CAST(l_partkey % 30 AS INT)", "CAST(l_suppkey % 150 + l_quantity AS INT)", "CAST(l_partkey % 30 + 5 + l_linenumber AS INT)")
-WORD_TEXT = "CASE l_partkey % 5 WHEN 0 THEN '最大化' WHEN 1 THEN 'x' WHEN 2 THEN 'y*' WHEN 3 THEN '' ELSE 'z_1' END"
-PARA_TEXT = f"CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'x' || {NL} || '最大化' || {NL} || 'y*' || {NL} || {NL} || 'x' || {NL} || 'z_1' END"
+WORD_TEXT = "CASE l_partkey % 5 WHEN 0 THEN '漢字語' WHEN 1 THEN 'x' WHEN 2 THEN 'y*' WHEN 3 THEN '' ELSE 'z_1' END"
+PARA_TEXT = f"CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'x' || {NL} || '漢字語' || {NL} || 'y*' || {NL} || {NL} || 'x' || {NL} || 'z_1' END"
 #: Line numbers repeat within an order: a number that doesn't.
 IDX = "l_linenumber + 8 * (l_partkey + 40000 * l_suppkey)"
 KIND = "CASE WHEN l_suppkey % 2 = 0 THEN 'isolated' ELSE 'embedding' END"

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import headings as H
 from ..functions import text as T
-from ..operators import chapters, export, matching, overlay, pages
+from ..operators import chapters, convert, export, matching, overlay, pages
 from ..sources import readers
 from . import adapters as A
-from . import oracles
+from . import fakes, oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES = oracles.ORACLES
@@ -97,7 +97,7 @@ def plaintext(spark, sf_dir):
 
 @query
 def slug_filename(spark, sf_dir):
-    docs = A.table(spark, sf_dir, "documents").withColumn("title", F.expr("'　a/b: ' || substr(text, 1, 100)"))
+    docs = A.table(spark, sf_dir, "documents").withColumn("title", F.expr("'　a/b: ' || text"))
     return docs.select("doc_id", T.chapter_filename((F.col("doc_id") % 130).cast("int"), F.lit("chapter"), F.col("title")).alias("name"))
 
 
@@ -155,9 +155,11 @@ def ocr_toc(spark, sf_dir):
     return chapters.printed_contents(A.book_pages(spark, sf_dir))
 
 
-def _toc(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    rows = A.book_pages(spark, sf_dir).where(where)
-    return rows.select("book_id", F.col("page_index").alias("pos"), H.first_h1(F.col("markdown")).alias("title"), F.expr("CASE WHEN page_index % 4 = 0 THEN NULL WHEN page_index = 5 THEN 0 ELSE page_index + 1 END").cast("int").alias("page_no"))
+def _toc(spark: SparkSession, sf_dir: str, titled: str = "true") -> DataFrame:
+    """Bookmarks of all pages; those of books that aren't `titled` have no title."""
+    rows = A.book_pages(spark, sf_dir)
+    title = F.when(F.expr(titled), H.first_h1(F.col("markdown")))
+    return rows.select("book_id", F.col("page_index").alias("pos"), title.alias("title"), F.expr("CASE WHEN page_index % 4 = 0 THEN NULL WHEN page_index = 5 THEN 0 ELSE page_index + 1 END").cast("int").alias("page_no"))
 
 
 @query
@@ -165,30 +167,38 @@ def pdf_toc(spark, sf_dir):
     return chapters.bookmarks(_toc(spark, sf_dir), A.book_pages(spark, sf_dir))
 
 
-def _cells(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    rows = A.table(spark, sf_dir, "conversations").where(where).select(F.col("conv_id").alias("book_id"), F.expr(A.SYLLABUS_HTML).alias("html"))
-    return chapters.cells_of(rows)
+def _cells(spark: SparkSession, sf_dir: str, named: str = "true") -> DataFrame:
+    """The cells of a syllabus page made of all turns; those of books that aren't `named` name no chapter."""
+    rows = A.table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.expr(A.syllabus_row(named)).alias("html")).alias("row"))
+    html = rows.groupBy(F.col("conv_id").alias("book_id")).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return chapters.cells_of(html.select("book_id", F.concat(F.lit("<table>"), F.array_join(F.col("rows.html"), "\n"), F.lit("</table>")).alias("html")))
 
 
 @query
 def syllabus_titles(spark, sf_dir):
-    return chapters.syllabus_titles(_cells(spark, sf_dir, "turn = 0")).select("book_id", F.col("k").cast("int").alias("k"), "title")
+    return chapters.syllabus_titles(_cells(spark, sf_dir)).select("book_id", F.col("k").cast("int").alias("k"), "title")
 
 
 @query
 def syllabus(spark, sf_dir):
-    return chapters.syllabus(_cells(spark, sf_dir, "turn = 0 and conv_id % 2 = 0"), A.book_pages(spark, sf_dir))
+    return chapters.syllabus(_cells(spark, sf_dir), A.book_pages(spark, sf_dir))
 
 
 @query
 def chapter_fallback(spark, sf_dir):
-    return chapters.detect(A.book_pages(spark, sf_dir), _toc(spark, sf_dir, "book_id % 3 = 0"), _cells(spark, sf_dir, "turn = 0 and conv_id % 7 = 0"))
+    return chapters.detect(A.book_pages(spark, sf_dir), _toc(spark, sf_dir, "book_id % 3 = 0"), _cells(spark, sf_dir, "conv_id % 7 = 0"))
+
+
+def _bare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of every tenth book without what most of its headings and contents are on."""
+    return A.book_pages(spark, sf_dir).withColumn("markdown", F.expr("CASE WHEN book_id % 10 = 0 AND page_index NOT IN (2, 4) THEN '' ELSE markdown END"))
 
 
 @query
 def undetected_books(spark, sf_dir):
-    rows = A.book_pages(spark, sf_dir).where("book_id % 10 > 0 or page_index in (2, 4)")
-    return chapters.detection_errors(rows, chapters.body_headings(rows)).select("book_id")
+    rows = _bare(spark, sf_dir)
+    toc, cells = _toc(spark, sf_dir, "book_id % 20 = 5"), _cells(spark, sf_dir, "conv_id % 4 = 0")
+    return chapters.detection_errors(rows, chapters.detect(rows, toc, cells), toc, cells)
 
 
 # geometry and matching --------------------------------------------------------------------------------------
@@ -265,7 +275,7 @@ def span_collect(spark, sf_dir):
 @query
 def inline_rebuild(spark, sf_dir):
     runs = overlay.inline_spans(_spans(spark, sf_dir))
-    parts = F.array(*map(F.lit, ("x", "最大化", "y\\*", "x", "z_1")))
+    parts = F.array(*map(F.lit, ("x", "漢字語", "y\\*", "x", "z_1")))
     return runs.select("book_id", "para_idx", overlay.rebuild(parts, F.col("runs")).alias("text"))
 
 
@@ -277,11 +287,11 @@ def display_first(spark, sf_dir):
 
 @query
 def overlay_fold(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("book_id"), F.lit(0).alias("page_index"), F.col("text").alias("raw_markdown"))
+    rows = A.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_index"), F.col("text").alias("raw_markdown"))
     # needles of all kinds: found, found once replaced, empty, lacking
     steps = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("phase", "ord", "needle", "replacement"), step))) for step in ((0, 0, "a", "[e]"), (0, 1, "e", "<a>"), (0, 2, "", "^"), (1, 0, "zzzz", "!"), (1, 1, "a", "$x$"))))
     replaced = rows.select("book_id", "page_index", F.inline(steps))
-    return overlay.apply(rows, replaced).select("book_id", F.md5("markdown").alias("markdown_md5"))
+    return overlay.apply(rows, replaced).select("book_id", "page_index", F.md5("markdown").alias("markdown_md5"))
 
 
 @query
@@ -290,6 +300,30 @@ def formula_replacements(spark, sf_dir):
     return out.select("book_id", "phase", "ord", "needle", "replacement")
 
 
+@query
+def formula_rerecognition(spark, sf_dir):
+    # an engine that can't read every fifth box
+    again = lambda changed: changed.select("book_id", "page_index", "det_idx", F.when(F.col("det_idx") % 5 > 0, F.concat(F.lit("n"), F.col("trimmed.x2") - F.col("trimmed.x1"))).alias("new_latex"))
+    out = overlay.replacements(A.detections(spark, sf_dir), A.paragraphs(spark, sf_dir), A.words(spark, sf_dir), again)
+    return out.select("book_id", "phase", "ord", "needle", "replacement")
+
+
+@query
+def run_pages(spark, sf_dir):
+    """Selection, cache, analysis, detection and re-recognition together, with engines that read texts."""
+    _, cache = _cache(spark, sf_dir)
+    rows = A.table(spark, sf_dir, "conversations").where("text is not null")
+    images = rows.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_index"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8).alias("sha8"), F.lit("s").alias("settings"), F.encode("text", "UTF-8").alias("img"))
+    cache = cache.withColumns({"page_index": F.col("page_index").cast("int"), "figures": F.array().cast("array<string>")})
+    out = convert.run_pages(images, fakes.Reader, pages.parse_ranges(_specs(spark, sf_dir)), cache, detector=fakes.Finder, recognizer=fakes.Finder)
+    return out.select("book_id", "page_index", F.md5("raw_markdown").alias("raw_md5"), F.md5("markdown").alias("markdown_md5"))
+
+
+@query
+def markdown_assets(spark, sf_dir):
+    return export.assets_by_name(_asset_pages(spark, sf_dir))
+
+
 # export -----------------------------------------------------------------------------------------------------
 
 
@@ -316,7 +350,7 @@ def page_files(spark, sf_dir):
 
 def _asset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.table(spark, sf_dir, "conversations")
-    return rows.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_index"), F.expr(A.PAGE_IMAGES).alias("markdown"), F.expr("CASE WHEN turn % 3 = 0 THEN array('/x/y/fig' || turn || '.png', '/x/z/all.png') ELSE cast(array() as array<string>) END").alias("assets"))
+    return rows.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_index"), F.expr(A.PAGE_IMAGES).alias("markdown"), F.expr(f"CASE WHEN turn % 3 = 0 THEN array({', '.join(A.PAGE_ASSETS)}) ELSE cast(array() as array<string>) END").alias("assets"))
 
 
 @query

@@ -42,6 +42,25 @@ def write_files(files: DataFrame, folder: str) -> int:
     return total
 
 
+def copy_files(files: DataFrame, folder: str) -> int:
+    """Copy `path` of each row to <folder>/<book_id>/<name>; returns how many.  A file that lacks is an error."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            rows = [*zip(*(batch[c].to_pylist() for c in ("book_id", "name", "path")))]
+            for book, name, path in rows:
+                source, place = pyarrow.fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+                fs.create_dir(f"{base}/{book}", recursive=True)
+                held = f"{base}/{book}/.{uuid.uuid4().hex}"
+                pyarrow.fs.copy_files(place, held, source_filesystem=source, destination_filesystem=fs)
+                fs.move(held, f"{base}/{book}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int64())})
+
+    folder = folder if "://" in folder else f"file://{folder}"
+    return files.select("book_id", "name", "path").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
+
+
 def write_cache(analysis: DataFrame, path: str) -> None:
     """Page analyses as a table by book hash, settings and page."""
     analysis.write.partitionBy("sha8").mode("append").parquet(path)

@@ -26,29 +26,29 @@ def lit_box(*v):
 
 
 def test_shares(spark):
-    a, b = lit_box(0, 0, 100, 100), lit_box(50, 0, 150, 100)
-    row = spark.range(1).select(G.iou(a, b), G.ioa(lit_box(0, 0, 100, 100), lit_box(50, 0, 200, 100)), G.ioa(lit_box(5, 5, 5, 9), a), G.clamp(lit_box(-5, -5, 500, 9), F.lit(100), F.lit(50)), G.clamp(lit_box(200, 0, 300, 9), F.lit(100), F.lit(50))).first()
-    assert (row[0], row[1], row[2], tuple(row[3]), row[4]) == (5000 / 15000, 0.5, 0.0, (0, 0, 100, 9), None)
+    a, b = lit_box(0, 0, 40, 20), lit_box(30, 0, 70, 20)
+    row = spark.range(1).select(G.iou(a, b), G.ioa(lit_box(0, 0, 10, 10), lit_box(6, 0, 30, 10)), G.ioa(lit_box(5, 5, 5, 9), a), G.clamp(lit_box(-5, -5, 500, 9), F.lit(100), F.lit(50)), G.clamp(lit_box(200, 0, 300, 9), F.lit(100), F.lit(50))).first()
+    assert (row[0], row[1], row[2], tuple(row[3]), row[4]) == (200 / 1400, 0.4, 0.0, (0, 0, 100, 9), None)
 
 
 def test_polygon(spark):
-    rows = spark.createDataFrame([([[50, 30], [70, 50], [50, 70], [30, 50]],), ([],)], "p array<array<int>>").select(G.from_points(F.col("p"))).collect()
-    assert tuple(rows[0][0]) == (30, 30, 70, 70) and rows[1][0] is None
+    rows = spark.createDataFrame([([[8, 3], [12, 9], [6, 15], [2, 7]],), ([],)], "p array<array<int>>").select(G.from_points(F.col("p"))).collect()
+    assert tuple(rows[0][0]) == (2, 3, 12, 15) and rows[1][0] is None
 
 
 def test_trim(spark):
-    d = dets(spark, ((0, 0, 200, 100), "embedding", "z"), ((0, 0, 0, 9), "embedding", "z"), ((500, 0, 600, 10), "embedding", "z"))
+    d = dets(spark, ((10, 10, 310, 120), "embedding", "z"), ((0, 0, 0, 9), "embedding", "z"), ((500, 0, 600, 10), "embedding", "z"))
     trimmed = lambda *w: [r.trimmed and tuple(r.trimmed) for r in M.trim_japanese(d, words(spark, *w)).orderBy("det_idx").collect()]
-    assert trimmed(("最大化", (0, 0, 80, 30)), ("z = x_1", (90, 40, 200, 90))) == [(90, 40, 200, 90), None, (500, 0, 600, 10)]
-    assert trimmed(("最大化", (0, 0, 80, 30)), ("制約条件", (0, 40, 80, 70)))[0] is None
-    assert trimmed(("x", (0, 0, 80, 30)))[0] == (0, 0, 200, 100)
-    assert trimmed() == [(0, 0, 200, 100), (0, 0, 0, 9), (500, 0, 600, 10)]
+    assert trimmed(("漢字語", (10, 10, 90, 50)), ("q = r_2", (120, 60, 300, 110))) == [(120, 60, 300, 110), None, (500, 0, 600, 10)]
+    assert trimmed(("漢字語", (10, 10, 90, 50)), ("仮名文", (20, 60, 90, 110)))[0] is None
+    assert trimmed(("x", (10, 10, 90, 50)))[0] == (10, 10, 310, 120)
+    assert trimmed() == [(10, 10, 310, 120), (0, 0, 0, 9), (500, 0, 600, 10)]
 
 
 def test_match_takes_the_last_of_equals(spark):
-    p = paras(spark, ((0, 0, 100, 100), "a"), ((0, 0, 100, 100), None), ((0, 0, 100, 100), "段落D"), ((90, 0, 300, 100), "b"))
+    p = paras(spark, ((0, 0, 100, 100), "a"), ((0, 0, 100, 100), None), ((0, 0, 100, 100), "段の末"), ((90, 0, 300, 100), "b"))
     got = M.match_paragraphs(dets(spark, ((0, 0, 50, 50), "isolated", "x"), ((400, 0, 500, 50), "isolated", "x")), p).collect()
-    assert [(r.det_idx, r.p.contents) for r in got] == [(0, "段落D")]
+    assert [(r.det_idx, r.p.contents) for r in got] == [(0, "段の末")]
 
 
 def test_lines_take_words_by_occurrence(spark):
@@ -70,10 +70,10 @@ def replaced(spark, p, w, d, raw, **more):
 
 
 def test_inline_formulas(spark):
-    p = paras(spark, ((0, 0, 100, 20), "z\nと\nw\nは実数"))
-    w = words(spark, ("z", (0, 0, 10, 10)), ("と", (10, 0, 20, 10)), ("w", (20, 0, 30, 10)), ("は実数", (30, 0, 60, 10)))
-    d = dets(spark, ((20, 0, 30, 10), "embedding", "w"), ((0, 0, 10, 10), "embedding", "z"))
-    assert replaced(spark, p, w, d, "前zとwは実数後") == "前$z$と$w$は実数後"
+    p = paras(spark, ((0, 0, 100, 20), "u\nか\nv\nが整数"))
+    w = words(spark, ("u", (0, 0, 12, 9)), ("か", (12, 0, 25, 9)), ("v", (25, 0, 37, 9)), ("が整数", (37, 0, 70, 9)))
+    d = dets(spark, ((25, 0, 37, 9), "embedding", "v"), ((0, 0, 12, 9), "embedding", "u"))
+    assert replaced(spark, p, w, d, "先uかvが整数末") == "先$u$か$v$が整数末"
     assert replaced(spark, p, w, d, "なし") == "なし"
 
 
@@ -91,14 +91,14 @@ def test_holes_give_no_span(spark):
 
 
 def test_recognised_again(spark):
-    p = paras(spark, ((0, 0, 200, 100), "最大化\nq"))
-    w = words(spark, ("最大化", (0, 0, 80, 100)), ("q", (90, 0, 200, 100)))
+    p = paras(spark, ((0, 0, 200, 100), "漢字語\nq"))
+    w = words(spark, ("漢字語", (0, 0, 80, 100)), ("q", (90, 0, 200, 100)))
     d = dets(spark, ((0, 0, 200, 100), "embedding", "old"))
     again = lambda rows: rows.select("book_id", "page_index", "det_idx", F.lit("new").alias("new_latex"))
     failed = lambda rows: rows.select("book_id", "page_index", "det_idx", F.lit(None).cast("string").alias("new_latex"))
-    assert replaced(spark, p, w, d, "最大化q", recognize=again) == "最大化$new$"
-    assert replaced(spark, p, w, d, "最大化q", recognize=failed) == "$old$"
-    assert replaced(spark, p, w, d, "最大化q") == "$old$"
+    assert replaced(spark, p, w, d, "漢字語q", recognize=again) == "漢字語$new$"
+    assert replaced(spark, p, w, d, "漢字語q", recognize=failed) == "$old$"
+    assert replaced(spark, p, w, d, "漢字語q") == "$old$"
 
 
 def test_overlapping_runs(spark):

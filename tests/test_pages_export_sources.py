@@ -1,10 +1,14 @@
+import io
 import json
 import os
+import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.operators import export, pages
+from docspark.operators import convert, export, pages
+from docspark.plans import fakes
 from docspark.sources import engines, readers, writers
 from docspark.streaming import drop_folder
 
@@ -55,9 +59,65 @@ def test_export(spark):
 
 
 def test_asset_names_clash(spark):
-    rows = spark.createDataFrame([("b", 0, "", ["/p/x.png", "/q/x.png"]), ("b", 1, "", ["/p/x_1.png", "/r/x.png", "/r/noend"])], MD)
-    names = [r.name for r in export.asset_names(rows).collect()]
-    assert len(set(names)) == 5 and {"x.png", "x_1.png", "noend"} <= set(names)
+    rows = spark.createDataFrame([("b", 1, "", ["/p/x_1.png", "/r/x.png", "/r/noend", "/s/x_1.png"]), ("b", 0, "", ["/p/x.png", "/q/x.png", "/q/noend"]), ("c", 0, "", ["/p/x.png"])], MD)
+    names = {(r.book_id, r.path): r.name for r in export.asset_names(rows).collect()}
+    assert names == {("b", "/p/x.png"): "x.png", ("b", "/q/x.png"): "x_1.png", ("b", "/q/noend"): "noend", ("b", "/p/x_1.png"): "x_1_1.png", ("b", "/r/x.png"): "x_2.png", ("b", "/r/noend"): "noend_1", ("b", "/s/x_1.png"): "x_1_2.png", ("c", "/p/x.png"): "x.png"}
+    last = {(r.book_id, r.name): r.path for r in export.assets_by_name(rows).collect()}
+    assert last == {("b", "x.png"): "/r/x.png", ("b", "x_1.png"): "/s/x_1.png", ("b", "noend"): "/r/noend", ("c", "x.png"): "/p/x.png"}
+
+
+def test_images_are_renamed_once_and_links_stay(spark):
+    text = 'see [x](/q/x.png) ![a](/q/x.png)![b](x_1.png) <img alt="c" src="figures/x.png" width="3"> <a src="/q/x.png"> ![d](/elsewhere.png)'
+    rows = spark.createDataFrame([("b", 0, text, ["/p/x.png", "/q/x.png"]), ("b", 1, "![o](/p/x.png) ![p](figures/x.png)", ["/r/x.png"]), ("c", 0, "![o](/p/x.png)", []), ("b", 2, None, [])], MD)
+    got = {(r.book_id, r.page_index): r.markdown for r in export.rewrite_images(rows, export.asset_names(rows)).collect()}
+    # /p/x.png is x.png, /q/x.png x_1.png, /r/x.png x_2.png; figures/x.png is the page's last of the name
+    assert got == {
+        ("b", 0): 'see [x](/q/x.png) ![a](x_1.png)![b](x_1.png) <img alt="c" src="x_1.png" width="3"> <a src="/q/x.png"> ![d](/elsewhere.png)',
+        ("b", 1): "![o](x.png) ![p](x_2.png)",
+        ("b", 2): None,
+        ("c", 0): "![o](/p/x.png)",
+    }
+
+
+def test_epub(spark, tmp_path):
+    for name in ("p", "q"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.png").write_bytes(name.encode())
+    rows = spark.createDataFrame([("b", 1, "two & <three> **four** `f`\n\x01", [f"{tmp_path}/q/x.png"]), ("b", 0, f"# One\ntext ![i]({tmp_path}/p/x.png) <img src=\"figures/x.png\">", [f"{tmp_path}/p/x.png"])], MD)
+    out = export.epub(rows, title="T & U").collect()
+    assert [(r.book_id, r.name) for r in out] == [("b", "book.epub")]
+    z = zipfile.ZipFile(io.BytesIO(out[0].content))
+    assert z.namelist()[0] == "mimetype" and z.read("mimetype") == b"application/epub+zip" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
+    assert (z.read("EPUB/x.png"), z.read("EPUB/x_1.png")) == (b"p", b"q")
+    for name in z.namelist():
+        if name.endswith(("xml", "opf", "xhtml")):
+            ElementTree.fromstring(z.read(name))
+    text = z.read("EPUB/text.xhtml").decode()
+    assert '<h1 id="h0">One</h1>' in text and text.count('src="x.png"') == 2 and "two &amp; &lt;three&gt; <strong>four</strong> <code>f</code>" in text
+    assert export.epub(rows).first().content == export.epub(rows.repartition(3)).first().content and export.epub(rows.limit(0)).count() == 0
+
+
+def test_pages_from_images(spark):
+    images = spark.createDataFrame([("b", i, b"x" * (i + 1), "h", "s") for i in range(5)], "book_id string, page_index int, img binary, sha8 string, settings string")
+    cache = spark.createDataFrame([("h", "s", 2, "{}", "kept", ["/f.png"])], "sha8 string, settings string, page_index int, analysis string, raw_markdown string, figures array<string>")
+    wanted = spark.createDataFrame([("b", 0), ("b", 2)], "book_id string, page_index int")
+    pages_of = lambda **more: {r.page_index: (r.markdown, r.raw_markdown, r.assets) for r in convert.run_pages(images, fakes.Reader, **more).collect()}
+    assert pages_of(wanted=wanted, cache=cache) == {0: ("read sigma x", "read sigma x", []), 2: ("kept", "kept", ["/f.png"])}
+    assert pages_of(wanted=wanted, cache=cache, use_cache=False)[2][0] == "read sigma xxx"
+    assert len(pages_of()) == 5
+    # the box shrinks to its word that isn't Japanese, and is read again where the engine can
+    assert pages_of(wanted=wanted, detector=fakes.Finder)[2][0] == "read \n$$n_3$$\n xxx"
+    both = pages_of(detector=fakes.Finder, recognizer=fakes.Finder)
+    assert (both[0][0], both[1][0]) == ("read \n$$n_1$$\n x", "read \n$$m_2^60$$\n xx")
+
+
+def test_files_of_all_forms(spark):
+    rows = spark.createDataFrame([("b", 0, "# 第1章 海", []), ("b", 1, "波", [])], MD).withColumn("raw_markdown", F.lit(None).cast("string"))
+    names = lambda **more: sorted(r.name for r in convert.files(rows, **more).collect())
+    assert names() == ["book.md"] and names(form="plaintext", combine=False) == ["page_0001.txt", "page_0002.txt"] and names(form="epub") == ["book.epub"] and names(by_chapter=True) == ["00_chapter_海.md"]
+    for bad in ({"form": "pdf"}, {"form": "epub", "by_chapter": True}):
+        with pytest.raises(ValueError):
+            convert.files(rows, **bad)
 
 
 def test_files_and_cache(spark, tmp_path):
@@ -72,6 +132,10 @@ def test_files_and_cache(spark, tmp_path):
     files = spark.createDataFrame([("b", "x.md", "text"), ("c", "y.md", None)], "book_id string, name string, content string")
     assert writers.write_files(files, str(tmp_path / "out")) == 2
     assert (tmp_path / "out/b/x.md").read_text() == "text" and os.listdir(tmp_path / "out/c") == ["y.md"]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.png").write_bytes(b"image")
+    assert writers.copy_files(spark.createDataFrame([("b", "y.png", f"{tmp_path}/a/x.png")], "book_id string, name string, path string"), str(tmp_path / "out")) == 1
+    assert (tmp_path / "out/b/y.png").read_bytes() == b"image"
     with pytest.raises(writers.EmptyExport):
         writers.write_files(files.limit(0), str(tmp_path / "out"))
     (tmp_path / "pdf").mkdir()
