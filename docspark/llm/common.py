@@ -1,40 +1,16 @@
-"""Shared helpers: scratch tables, word expressions, SQL `let`."""
+"""Shared helpers: word expressions, SQL `let`, joins with few ids."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch_dir, scratch_table  # noqa: F401
+
 #: Fixed value: what separates words (space and the ASCII control blanks).
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_scratch: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not _own_scratch:
-        _own_scratch.append("file://" + tempfile.mkdtemp(prefix="docspark-"))
-    return _own_scratch[0]
-
-
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    The folder is left for whoever owns spark.checkpoint.dir to clear, as checkpoints are.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/docspark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def words_sql(text: str) -> str:
     """SQL for the array of words of a text; null and blank texts have none."""
@@ -51,10 +27,10 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def count_bits(n: int, per_bucket: int, base: int, most: int) -> int:
+def count_bits(n: int, per_bucket: int, base: int) -> int:
     """How many base-`base` digits split n rows into buckets of about per_bucket rows."""
     digits, buckets = 1, base
-    while n / buckets > per_bucket and digits < most:
+    while n / buckets > per_bucket:
         digits, buckets = digits + 1, buckets * base
     return digits
 

@@ -1,17 +1,18 @@
 """Mix sources to target weights.
 
-Every document gets a hash-random key.  Within each source the documents are range-split by that key,
-word counts are summed per range, and two prefix sums (over ranges, then inside a range) place each
-document on its source's line of words; the source's exact budget cuts that line, whole epochs first.
+Every document gets a hash-random key.  Within each source the documents are range-split by that key and word counts
+are summed per range; prefix sums, first over wide ranges, then over the narrow ranges of one wide range, then over
+the keys of one narrow range, find the key at which each source's exact budget cuts, whole epochs first.
+What a document gives then follows from its key and its source's cut, so no document moves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import count_bits, n_words, scratch_table
+from .common import BROADCAST_IDS, count_bits, n_words, scratch_table
 
 #: Rows that one range of one source should hold at most, about.
 ROWS_PER_RANGE = 2_000
@@ -39,48 +40,70 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFrame:
     return by.select("source", F.col("source").isNull().alias("no_source"), "source_size", "weight", target.alias("target"), F.floor(target).cast("long").alias("budget"))
 
 
-def _sizes(docs: DataFrame, seed: str, *more) -> DataFrame:
-    """doc_id, source, size, key and `more` columns."""
-    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select("doc_id", "source", n_words("text").alias("size"), key.alias("key"), *more)
+def _size_and_key(seed: str) -> tuple[Column, Column]:
+    """Words of the text, and the key: of id and text, so that only rows that repeat both share one."""
+    return n_words("text"), F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")))))
 
 
-def _take(rows: DataFrame, sized: DataFrame, weights, cap: int, rows_per_range: int) -> DataFrame:
-    """Adds source_size, target and taken to rows of _sizes(); `sized` are the same rows for the sums."""
-    digits = count_bits(sized.count(), rows_per_range, 16, 6)
-    keyed = lambda r: r.withColumns({"name": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull(), "range": F.substring("key", 1, digits)})
+def _cuts(sized: DataFrame, weights, cap: int, rows_per_range: int) -> DataFrame:
+    """Per source of `sized` (source, size, key): name, no_source, source_size, target, epochs, cut (key), share.
+
+    A source gives `epochs` times all its words, and once more those before its cut; each row at the cut gives `share` words.
+    """
+    digits = count_bits(sized.count(), rows_per_range, 16)
+    by = ["name", "no_source"]
+    named = sized.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("no_source"), "size", "key")
     goal = targets(sized, weights, cap).withColumn("name", F.coalesce("source", F.lit(""))).drop("source")
-    ranges = keyed(sized).groupBy("name", "no_source", "range").agg(F.sum("size").alias("words"))
-    earlier = W.partitionBy("name", "no_source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(goal, ["name", "no_source"]).drop("words")
-    within = W.partitionBy("name", "no_source", "range").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = keyed(rows).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ranges, ["name", "no_source", "range"])
-    placed = placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long"))
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("inside")
-    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select(*rows.columns, "source_size", "target", taken.cast("long").alias("taken"))
+    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long"))
+    goal = scratch_table(goal.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")), "goal")
+
+    def reached(rows: DataFrame, part: str) -> DataFrame:
+        """The part of each source (with its rest) in which the rest ends, and the rest from there on."""
+        before = F.coalesce(F.sum("words").over(W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.withColumn("left", F.col("rest") - before)
+        return rows.where("left >= 0 and left < words").drop("rest", "words").withColumnRenamed("left", "rest")
+
+    ranges = named.groupBy(*by, F.substring("key", 1, digits).alias("range")).agg(F.sum("size").alias("words"))
+    ranges = scratch_table(ranges.withColumn("wide", F.substring("range", 1, (digits + 1) // 2)), "ranges")
+    wide = ranges.groupBy(*by, "wide").agg(F.sum("words").alias("words")).join(goal.select(*by, "rest"), by)
+    narrow = ranges.join(reached(wide, "wide"), [*by, "wide"]).drop("wide")
+    at = scratch_table(reached(narrow, "range"), "cut_ranges")
+    of_key = named.withColumn("range", F.substring("key", 1, digits)).join(F.broadcast(at) if at.count() <= BROADCAST_IDS else at, [*by, "range"])
+    of_key = of_key.groupBy(*by, "key", "rest").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+    cut = reached(of_key, "key").select(*by, F.col("key").alias("cut"), F.floor(F.col("rest") / F.col("rows")).cast("long").alias("share"))
+    return scratch_table(goal.join(cut, by, "left").select(*by, "source_size", "target", "epochs", "cut", "share"), "cuts")
+
+
+def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """source_size, target, taken beside the columns of `rows` (source, size, key)."""
+    few = F.broadcast(cuts) if cuts.count() <= BROADCAST_IDS else cuts
+    rows = rows.join(few, (F.coalesce("source", F.lit("")) == F.col("name")) & (F.col("source").isNull() == F.col("no_source")))
+    more = F.when(F.col("key") < F.col("cut"), F.col("size")).when(F.col("key") == F.col("cut"), F.col("share")).otherwise(0)
+    return rows.withColumn("taken", (F.col("epochs") * F.col("size") + more).cast("long")).drop("name", "no_source", "epochs", "cut", "share")
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: str = "mix", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of `docs` (doc_id, text, source).
 
     size: words of the text (null or blank: 0).  taken: words that the mix takes, repeats counted; a source's
-    taken words add up to floor(target).  The document at the cut gives only the words up to the cut.
-    Null doc_id sorts as an empty id; rows equal in doc_id and size share a place by row order, and as they
-    are equal the result as a whole doesn't depend on it.  An empty table gives an empty result.  Other
-    columns of `docs` are ignored.
+    taken words add up to floor(target).  The document at the cut gives only the words up to the cut; rows that
+    repeat id and text have one place, and if the cut falls on them share it evenly, rounded down.  So the result is the same
+    for any order and partitioning of the rows.  A null doc_id counts as an empty one.  An empty table gives an empty result.
+    Other columns of `docs` are ignored.
     """
-    sized = scratch_table(_sizes(docs, seed), "sizes")
-    return _take(sized, sized, weights, cap, rows_per_range).drop("key")
+    size, key = _size_and_key(seed)
+    sized = scratch_table(docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "sizes")
+    return _taken(sized, _cuts(sized, weights, cap, rows_per_range)).drop("key")
 
 
 def apply_mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: str = "mix", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """The mixed documents: each row of `docs` as often as the mix takes it whole, and the one at its source's
-    cut once more with its words up to the cut.  Rows of which nothing is taken go.  Columns stay as they are;
-    n_chars, if there, follows a cut text.
+    cut once more with its words up to the cut.  Rows of which nothing is taken go.  Columns stay as they are, whatever their
+    names; n_chars, if there, follows a cut text.
     """
-    sized = scratch_table(_sizes(docs, seed), "sizes")
-    rows = _take(_sizes(docs, seed, F.struct(*docs.columns).alias("row")), sized, weights, cap, rows_per_range)
+    size, key = _size_and_key(seed)
+    cuts = _cuts(scratch_table(docs.select("source", size.alias("size"), key.alias("key")), "sizes"), weights, cap, rows_per_range)
+    rows = _taken(docs.select(F.struct(*docs.columns).alias("row"), "source", size.alias("size"), key.alias("key")), cuts)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.filter(F.array(part), lambda x: x > 0))

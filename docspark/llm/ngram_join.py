@@ -48,6 +48,8 @@ KEPT_WORDS = 300_000
 SKETCH = 24
 #: Nodes and shingles of a block, about; a unit of no more is compared as a whole.
 BLOCK, BLOCK_SHINGLES = 256, 2**18
+#: Shingles of the small units that one task takes together, about.
+POOL_SHINGLES = 2**16
 
 
 class _Hashes(dict):
@@ -281,7 +283,7 @@ def _dealt(sides: DataFrame, percent: int) -> DataFrame:
     per_unit = sides.groupBy("unit").agg(F.count(F.lit(1)).alias("nodes"), F.sum(width).alias("all"))
     per_unit = scratch_table(per_unit.withColumn("large", (F.col("nodes") > BLOCK) | (F.col("all") > BLOCK_SHINGLES)), "units")
     total = per_unit.where("not large").agg(F.sum("all")).first()[0] or 0
-    pools, zero = int(total // BLOCK_SHINGLES) + 1, F.lit(0).cast("long")
+    pools, zero = int(total // POOL_SHINGLES) + 1, F.lit(0).cast("long")
     small = narrow(sides, per_unit.where("not large").select("unit"), "unit")
     columns = ["unit", "node", "n", "c", "copies", "rel"]
     out = small.select(*columns, zero.alias("a"), F.col("sides").cast("long").alias("b"), F.col("side").cast("int").alias("second"), F.pmod(F.xxhash64("unit"), F.lit(pools)).alias("pool"))

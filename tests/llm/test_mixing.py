@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.llm import mixing as X
 from docspark.llm import oracles
@@ -65,6 +66,22 @@ def test_applied(spark):
     assert dict(words) == {k: v for k, v in taken.items() if v} and X.apply_mix(df).columns == df.columns
 
 
+def test_ties_and_null_ids_are_taken_alike_for_any_partitioning(spark):
+    rows = [(1, f"a{i} b c d e", "s") for i in range(6)] + [(None, f"n{i} o p", "s") for i in range(50)] + [(7, "same words here", "s")] * 40 + [(i + 10, "x y z", "t") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {n: sorted(map(str, X.apply_mix(df.repartition(n), rows_per_range=2).collect())) for n in (1, 3, 7)}
+    assert kept[1] == kept[3] == kept[7]
+    odd = df.withColumns({c: F.lit(1) for c in ("key", "size", "row", "name", "cut", "taken", "range", "words")})
+    out = X.apply_mix(odd)
+    assert out.columns == odd.columns and out.count() == len(kept[1])
+
+
+def test_documents_do_not_move(spark):
+    """Only keys and sums are shuffled: the plan over the documents has no exchange but those of small sides."""
+    plan = X.apply_mix(docs(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
 def test_nothing(spark):
     df = docs(spark, ROWS)
     assert X.mix(df.limit(0)).count() == 0
