@@ -2,15 +2,17 @@
 
 If no piece of the model has a whitespace marker after another character, no merge crosses the place before
 a marker, and a text's ids are those of its marked words ("▁word", with all markers before it) one after the
-other.  Blanks that occur in no longer piece part chunks as well.  Each Python worker keeps a table from
-distinct chunk to ids: a chunk is segmented by the library once, and ids are joined back by position.
+other.  Blanks that occur in no longer piece part chunks as well.  Each Python worker process keeps, over all its tasks, a
+table from distinct chunk to ids: a chunk is segmented by the library once, and ids are joined back by position.
 The table is bounded, so it never grows with the corpus; a chunk that fell out is segmented again.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import sys
+import types
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -77,6 +79,18 @@ class ChunkTable:
         return [np.concatenate([table[c] for c in words]) if words else none for words in chunks]
 
 
+def worker_table(model: str) -> ChunkTable:
+    """The table that this Python process keeps for a model, made on first use.
+
+    It lives outside this module, whose code comes anew with each job.
+    """
+    kept = sys.modules.setdefault("_docspark_worker_tables", types.ModuleType("_docspark_worker_tables")).__dict__
+    key = f"{model}|{os.path.getmtime(model)}|{os.path.getsize(model)}"
+    if key not in kept:
+        kept[key] = ChunkTable(model)
+    return kept[key]
+
+
 def by_chars(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_CHARS, as_bytes: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches of about `most` bytes of text (one row at least), with their texts (or UTF-8 bytes); null is empty."""
     none = b"" if as_bytes else ""
@@ -102,7 +116,7 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", end_id: bool
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model)
+        table = worker_table(model)
         end = np.array([table.lib.eos_id()] * end_id, dtype=np.int32)
         for part, texts in by_chars(batches, text):
             ids = [np.concatenate([x, end]) for x in table.encode(texts)]
@@ -119,7 +133,7 @@ def lengths(docs: DataFrame, model: str, text: str = "text", end_id: bool = Fals
     """doc_id, n_tokens: encoded length of every text (null: empty)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model)
+        table = worker_table(model)
         for part, texts in by_chars(batches, text):
             counts = [len(x) + end_id for x in table.encode(texts)]
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import scratch_table
+
 #: Lengths per block: suffix sums run inside blocks and over blocks.
 BLOCK = 1024
 
@@ -16,10 +18,11 @@ def histogram(lengths: DataFrame) -> DataFrame:
     n_docs, docs_from (documents of this length or more), tokens_from (their tokens), tokens_total,
     truncated_total (tokens if every document were cut to this length), docs_to (documents of this length
     or less), share_to (their share, so the q-quantile is the first length with share_to >= q).
-    Null lengths are left out; an empty table gives no rows.
+    Null lengths are left out; an empty table gives no rows.  The counts, a row per length, are written before they are
+    used, so what makes the lengths runs once.
     """
     counts = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.withColumns({"tokens": F.col("n_docs") * F.col("n_tokens"), "block": F.floor(F.col("n_tokens") / BLOCK)})
+    counts = scratch_table(counts, "lengths").withColumns({"tokens": F.col("n_docs") * F.col("n_tokens"), "block": F.floor(F.col("n_tokens") / BLOCK)})
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     above = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy()

@@ -64,3 +64,11 @@ def test_histogram_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, 0), (3, 0)], "doc_id long, n_tokens long")
     assert [(r.n_docs, r.docs_from, r.truncated_total) for r in token_counts.histogram(df).collect()] == [(2, 2, 0)]
     assert token_counts.histogram(df.limit(0)).count() == 0
+
+
+def test_a_worker_keeps_its_table_over_tasks():
+    model = Q.piece_model()
+    first = X.worker_table(model)
+    first.encode(["some words", "more words"])
+    again = X.worker_table(model)
+    assert again is first and "▁words" in again.table
