@@ -1,9 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a ratio that grows with badness.  A labelled holdout tells, per stratum, rule and cutoff of a
-fixed grid, how many good documents the cutoff would reject.  A cutoff is taken only if the exact
-(Clopper-Pearson) upper bound of that rate stays within the allowed risk at a confidence that is divided
-by the number of strata, rules and cutoffs tried (Bonferroni); a rule without such a cutoff rejects nothing there.
+Each rule is a ratio that grows with badness.  A labelled holdout tells, per stratum, rule and cutoff of a fixed
+grid, how many good and how many bad documents the cutoff would reject.  A cutoff is certified only if the exact
+(Clopper-Pearson) upper bound of its rate of false rejections stays within the allowed risk, at a confidence
+that is divided by the number of strata and rules (Bonferroni).  The cutoffs of a rule are nested, so testing them from lax to strict
+until one fails needs no further division.  Of the certified cutoffs that one is taken which separates bad from good
+best; a rule that certifies none, or that tells bad from good nowhere, rejects nothing there.
+
+Strata with too few good documents to certify anything are one pooled stratum, and the promise is one for it.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, let, scratch_table, without, words_sql
+from .common import BROADCAST_IDS, free_name, let, scratch_table, without, words_sql
 
 #: Rules: SQL over the base columns, cutoffs tried from strict to lax (ratio above cutoff: rejected), part of the risk.
 RULES = {
@@ -97,53 +101,76 @@ def chance_sql(bad: str, n: str, rate: float) -> str:
 
 
 def rejected_counts(labelled: DataFrame, stratum: str, rules=RULES) -> DataFrame:
-    """Per stratum: n good documents and, per rule and cutoff, how many of them lie above it."""
-    counts = [F.sum((F.expr(sql) > c).cast("long")).alias(f"{name}|{i}") for name, (sql, cuts, _) in rules.items() for i, c in enumerate(cuts)]
-    return labelled.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *counts)
+    """Per stratum of rows with good (boolean): numbers of good and bad ones and, per rule and cutoff, how many of each lie above it."""
+    counts = [F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")]
+    for name, (sql, cuts, _) in rules.items():
+        for i, c in enumerate(cuts):
+            above = F.expr(sql) > c
+            counts += [F.count_if(above & F.col("good")).alias(f"good|{name}|{i}"), F.count_if(above & ~F.col("good")).alias(f"bad|{name}|{i}")]
+    return labelled.groupBy(F.col(stratum).alias("_stratum")).agg(*counts)
 
 
-def choose_cutoffs(counts: DataFrame, stratum: str, strata: int, risk: float, delta: float, rules=RULES) -> DataFrame:
-    """_stratum and, per rule, _cut_ and its name: the strictest cutoff that the bounds allow, null if none does.
+def choose_cutoffs(counts: DataFrame, alpha: float, risk: float, rules=RULES) -> DataFrame:
+    """_stratum and, per rule, _cut_ and its name, the cutoff taken, or null.
 
     risk: the most good documents, as a share, that a stratum may lose to all rules together; the rules split
-    it by their part.  delta: the chance that any promise is broken, over all `strata` rows of `counts`.
+    it by their part.  alpha: the chance of a wrong certificate per stratum and rule.  Of equally good cutoffs the laxest is taken.
     """
-    tests = max(1, strata) * sum(len(cuts) for _, cuts, _ in rules.values())
     chosen = []
     for name, (_, cuts, part) in rules.items():
-        fits = [F.when(F.expr(chance_sql(f"`{name}|{i}`", "`n`", risk * part)) <= delta / tests, F.lit(float(c))) for i, c in enumerate(cuts)]
-        chosen.append(F.coalesce(*fits).alias(f"_cut_{name}"))
-    return counts.select(F.col(stratum).alias("_stratum"), *chosen)
+        tried = []
+        for i, c in enumerate(cuts):
+            gain = F.try_divide(F.col(f"bad|{name}|{i}"), F.col("bad")) - F.try_divide(F.col(f"good|{name}|{i}"), F.col("good"))
+            fits = (F.expr(chance_sql(f"`good|{name}|{i}`", "`good`", risk * part)) <= alpha) & (gain > 0)
+            tried.append(F.when(fits, F.struct(gain.alias("gain"), F.lit(i).alias("i"), F.lit(float(c)).alias("cut"))))
+        chosen.append(F.array_max(F.array_compact(F.array(*tried)))["cut"].alias(f"_cut_{name}"))
+    return counts.select("_stratum", *chosen)
 
 
-def verdict(rules=RULES) -> Column:
-    """Column: does a document of base_features pass the cutoffs beside it?"""
+def cutoffs_by_stratum(counts: DataFrame, risk: float, delta: float, rules=RULES) -> tuple[DataFrame, dict[str, float | None]]:
+    """choose_cutoffs() of the strata of rejected_counts() that have enough good documents, and the cutoffs of all others together.
+
+    delta: the chance that any promise is broken.
+    """
+    counts = scratch_table(counts, "strata")
+    alpha = delta / (max(1, counts.count()) * len(rules))
+    enough = F.pow(F.lit(1 - risk * max(part for _, _, part in rules.values())), F.col("good")) <= alpha
+    own = scratch_table(choose_cutoffs(counts.where(enough), alpha, risk, rules), "cutoffs")
+    sums = [F.sum(c).alias(c) for c in counts.columns if c != "_stratum"]
+    pooled = choose_cutoffs(counts.where(~enough).groupBy(F.lit("pooled").alias("_stratum")).agg(*sums), alpha, risk, rules).first()
+    return own, {name: pooled[f"_cut_{name}"] if pooled else None for name in rules}
+
+
+def verdict(pooled: dict[str, float | None], rules=RULES) -> Column:
+    """Column: does a document of base_features pass the cutoffs of its stratum beside it (_own), or else the pooled ones?"""
     passes = F.lit(True)
     for name, (sql, _, _) in rules.items():
-        passes = passes & ~F.coalesce(F.expr(sql) > F.col(f"_cut_{name}"), F.lit(False))
+        cut = F.when(F.col("_own"), F.col(f"_cut_{name}")).otherwise(F.lit(pooled[name]).cast("double"))
+        passes = passes & ~F.coalesce(F.expr(sql) > cut, F.lit(False))
     return passes
 
 
-def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, rules=RULES) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.1, delta: float = 0.05, rules=RULES) -> DataFrame:
     """doc_id, stratum, text_hash and base columns, base_failed, kept for each row of `docs` (doc_id, text, `stratum`).
 
-    labels: doc_id, quality (1 good, 0 bad); rows with null in either, and ids that `docs` lacks, say nothing.
-    Good documents of the holdout that the base rules already reject are left out of it.  Null strata form
-    one stratum; every stratum with labelled rows gets its cutoffs.
+    labels: doc_id, quality (1 good, 0 bad; an id with both is bad); rows with null in either, and ids that `docs`
+    lacks, say nothing.  Documents of the holdout that the base rules already reject are left out of it.  Null strata form
+    one stratum.  Strata with few labels or none fall under the pooled cutoffs.
     Without labels `kept` is `not base_failed`.  Repeated rows give repeated results.
     """
     rows = docs.select("doc_id", stratum, "text", F.xxhash64("text").alias("text_hash"))
     base = scratch_table(base_features(rows, keep=("doc_id", stratum, "text_hash")), "quality")
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    counts = scratch_table(rejected_counts(base.where("not base_failed").join(good, "doc_id", "left_semi"), stratum, rules), "strata")
-    strata = counts.count()
-    cutoffs = scratch_table(choose_cutoffs(counts, stratum, strata, risk, delta, rules), "cutoffs")
-    beside = base.join(F.broadcast(cutoffs) if strata <= BROADCAST_IDS else cutoffs, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    return beside.select(*base.columns, (~F.col("base_failed") & verdict(rules)).alias("kept"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    own, pooled = cutoffs_by_stratum(rejected_counts(base.where("not base_failed").join(known, "doc_id"), stratum, rules), risk, delta, rules)
+    own = own.withColumn("_own", F.lit(True))
+    beside = base.join(F.broadcast(own) if own.count() <= BROADCAST_IDS else own, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    beside = beside.withColumn("_own", F.coalesce("_own", F.lit(False)))
+    return beside.select(*base.columns, (~F.col("base_failed") & verdict(pooled, rules)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """`docs` without the rows that quality() doesn't keep; rows are told apart by doc_id and text."""
+    """`docs` without the rows that quality() doesn't keep; rows are told apart by doc_id and text.  Columns stay as they are, whatever their names."""
     judged = quality(docs, labels, **options)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return without(docs, gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    id_, hash_ = free_name(docs, "id"), free_name(docs, "hash")
+    gone = judged.where("not kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return without(docs, gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)))

@@ -11,6 +11,25 @@ from oracle import same
 
 def test_query_equals_sql(spark):
     assert same(spark, Q.op2_quality_rules, oracles.ORACLES["op2_quality_rules"], "/root/testdata/sf0.01") == 1000
+    # the method rejects documents of every language beyond the base rules, and hardly a good one
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    beyond = Q.op2_quality_rules(spark, sf).where("not kept and not base_failed").join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id", "left")
+    assert {r.lang for r in beyond.select("lang").distinct().collect()} == {"de", "en", "es", "fr"}
+    assert beyond.where("quality = 1").count() == 0 < beyond.where("quality = 0").count()
+
+
+def test_thin_strata_are_pooled_and_strict_cutoffs_need_bad_documents(spark):
+    words = lambda i, j, junk: " ".join(f"w{i}x{k}" + "#" * junk for k in range(25))
+    docs, labels = [], []
+    for i in range(400):  # ten strata of 40 documents each, a quarter of which is junk, and one large one without any
+        docs.append((i, f"thin{i % 10}", words(i, 0, 4 * (i % 4 == 0))))
+        labels.append((i, int(i % 4 != 0)))
+    docs += [(1000 + i, "large", words(i, 1, 4 * (i >= 390))) for i in range(400)]
+    labels += [(1000 + i, 1) for i in range(390)]
+    got = {r.doc_id: r.kept for r in X.quality(spark.createDataFrame(docs, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert all(got[i] == (i % 4 != 0) for i in range(400))
+    assert all(got[1000 + i] for i in range(400))  # nothing there says what is bad
 
 
 def brute_repeats(words):
@@ -66,6 +85,8 @@ def test_thresholds_hold_the_promise_and_catch_junk(spark):
     assert got[2000] and not got[2001] and got[None]
     kept = X.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 902
+    clash = docs.withColumnsRenamed({"kept": "hash"}).withColumns({"id": F.lit(1), "_id": F.lit(1), "_hash": F.lit(2), "good": F.lit(3), "_stratum": F.lit(4)})
+    assert X.keep_good(clash, labels).columns == clash.columns and X.keep_good(clash, labels).count() == 902
     none = X.quality(docs, labels.limit(0)).where("kept <> (not base_failed)")
     assert none.count() == 0 and X.quality(docs.limit(0), labels).count() == 0
     twice = X.quality(docs.union(docs), labels)
