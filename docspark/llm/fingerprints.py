@@ -1,11 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs are its lines; a line of over PIECE_WORDS words counts as several, cut every PIECE_WORDS
-words from its start.  The set of their 64-bit digests goes into cells: each digest is counted and XORed
-into one cell of each of three tables.  Sketches of two versions subtract cell by cell, and peeling recovers
-the digests in which the versions differ: a cell that holds one digest alone gives it away, and taking it
-out of the other tables frees more.  Where peeling gets stuck, larger sketches of both versions are tried.
-Large sketches are many small ones: digests are dealt into blocks by other bits than those of their cells.
+A text's paragraphs are its lines; long lines are several, cut by content: after each word whose hash ends in so
+many zero bits, fewer in short texts, so that short or shifted copies still share some.  The set of their 64-bit
+digests goes into cells: each digest is counted and XORed into one cell of each of three tables.  Sketches of
+two versions subtract cell by cell, and peeling recovers the digests in which the versions differ: a cell that
+holds one digest alone gives it away, and taking it out of the other tables frees more.
+
+Where the fingerprints' own cells are too few, both versions are dealt into blocks by digest bits, and each block's
+sketches are subtracted and peeled; a block that gets stuck is tried again with twice the cells and other hashes, until it comes
+apart.  Work grows in proportion to the digests (and their sorting).
+
+A fingerprint alone tells likeness only of versions that differ in up to about 20 paragraphs; for others the larger sketches
+are made from the digests, which fingerprint() gives beside it.
 
 All of it is SQL over arrays inside a row; nothing is shuffled but the texts that have to meet.
 """
@@ -18,18 +24,26 @@ from pyspark.sql.window import Window as W
 
 from .common import let
 
-PIECE_WORDS = 32
+#: A word ends a paragraph if its hash has so many low bits zero: by the text's words, of fewer than which.
+CUTS = ((64, 2), (128, 3), (256, 4), (None, 5))
 #: The fingerprint: log2 of the cells per table.
 BITS = 3
-#: Retries, larger each time: digests per block when nothing is shared, log2 of the cells per table, lowest bit used.
-RETRIES = ((20, 4, 0), (24, 5, 12), (12, 6, 20), (4, 6, 2))
+#: Digests per block when nothing is shared.
+SHARE = 20
 ROUNDS = 24
+#: The most retries of a block, each with twice the cells; a chance in 10^30 of more, which would raise an error.
+MOST_RETRIES = 12
 
 
 def digests_sql(text: str) -> str:
-    """SQL: the distinct 64-bit digests of a text's paragraphs; null and blank texts have none."""
-    pieces = rf"regexp_extract_all(coalesce({text}, ''), '[^ \\n]++(?: ++[^ \\n]++){{0,{PIECE_WORDS - 1}}}+', 0)"
-    return f"array_distinct(transform({pieces}, p -> xxhash64(p)))"
+    """SQL: the distinct 64-bit digests of a text's paragraphs; null and blank texts have none.  Words end at blanks and line ends."""
+    hashes = "filter(transform(split(t, '\\n', -1), l -> transform(filter(split(l, ' ', -1), w -> w <> ''), w -> xxhash64(w))), h -> size(h) > 0)"
+    bits = "case " + " ".join(f"when n < {most} then {2**bits - 1}L" for most, bits in CUTS[:-1]) + f" else {2 ** CUTS[-1][1] - 1}L end"
+    starts = "filter(sequence(0, size(h) - 1), i -> i = 0 or (h[greatest(i - 1, 0)] & m) = 0)"
+    pieces = let(starts, "at", "transform(at, (i, x) -> xxhash64(slice(h, i + 1, coalesce(try_element_at(at, x + 2), size(h)) - i)))")
+    n = "aggregate(hs, 0, (a, h) -> a + size(h))"
+    each = let(let(n, "n", bits), "m", f"array_distinct(flatten(transform(hs, h -> {pieces})))")
+    return let(f"coalesce({text}, '')", "t", let(hashes, "hs", each))
 
 
 def sketch_sql(keys: str, bits: int = BITS, low: int = 0) -> str:
@@ -58,39 +72,53 @@ def peel_sql(cells: str, bits: int = BITS, low: int = 0) -> str:
     return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, {end})"
 
 
-def _blocks_sql(a: str, b: str, share: int, bits: int, low: int) -> str:
-    """SQL: struct(ok, found) by sketches of (|a| + |b|) / share blocks.
+def _retry_sql(block: str) -> str:
+    """SQL: struct(found, tries) of a block of signed digests (k, c, n), by larger and larger sketches.
 
-    The digests of `b` are taken from a block's cells as those of `a` are put in: the same as subtracting their sketches.
+    The digests of one version are taken from a cell as those of the other are put in: the same as subtracting their sketches.
     """
-    mask = 2**bits - 1
-    signed = f"concat(transform({a}, k -> struct(k as k, xxhash64(k) as c, 1 as n)), transform({b}, k -> struct(k as k, xxhash64(k) as c, -1 as n)))"
-    here = f"(shiftright(x.k, {low} + {bits} * shiftright(i, {bits})) & {mask}) = (i & {mask})"
-    cells = f"transform(sequence(0, {3 * 2**bits - 1}), i -> aggregate(z, struct(0 as n, 0L as k, 0L as c), (t, x) -> if({here}, struct(t.n + x.n as n, t.k ^ x.k as k, t.c ^ x.c as c), t)))"
-    one = let("filter(v, x -> pmod(shiftrightunsigned(x.k, 40), m) = j)", "z", peel_sql(cells, bits, low))
-    each = let(signed, "v", let(f"cast(greatest(1, ceil(size(v) / {share})) as int)", "m", f"transform(sequence(0, m - 1), j -> {one})"))
-    return let(each, "e", "struct(forall(e, x -> x.ok) as ok, flatten(transform(e, x -> x.found)) as found)")
+    size, here = "shiftleft(1, b)", "(shiftrightunsigned({}, b * shiftright(i, b)) & (shiftleft(1, b) - 1)) = (i & (shiftleft(1, b) - 1))"
+    cells = f"transform(sequence(0, 3 * {size} - 1), i -> aggregate(y, struct(0 as n, 0L as k, 0L as c), (t, x) -> if({here.format('x.h')}, struct(t.n + x.n as n, t.k ^ x.k as k, t.c ^ x.c as c), t)))"
+    pure = f"transform(filter(slice(s.cells, (r % 3) * {size} + 1, {size}), x -> abs(x.n) = 1 and x.c = xxhash64(x.k)), x -> struct(x.k as k, x.c as c, x.n as n, xxhash64(x.k, b) as h))"
+    taken = f"transform(s.cells, (x, i) -> aggregate(p, x, (y, q) -> if({here.format('q.h')}, struct(y.n - q.n as n, y.k ^ q.k as k, y.c ^ q.c as c), y)))"
+    step = let(pure, "p", f"if(size(p) = 0, struct(s.idle + 1 as idle, s.cells as cells, s.found as found), struct(0 as idle, {taken} as cells, concat(s.found, transform(p, x -> struct(x.k as k, x.n as n))) as found))")
+    start = f"struct(0 as idle, {cells} as cells, cast(array() as array<struct<k:bigint,n:int>>) as found)"
+    end = "s -> struct(forall(s.cells, x -> x.n = 0 and x.k = 0L and x.c = 0L) as ok, s.found as found)"
+    peeled = let(f"transform({block}, x -> struct(x.k as k, x.c as c, x.n as n, xxhash64(x.k, b) as h))", "y", f"aggregate(sequence(0, {3 * ROUNDS}), {start}, (s, r) -> if(s.idle >= 3, s, {step}), {end})")
+    again = let("3 + e.tries", "b", let(peeled, "d", "struct(d.ok as ok, d.found as found, e.tries + 1 as tries)"))
+    none = "struct(false as ok, cast(array() as array<struct<k:bigint,n:int>>) as found, 1 as tries)"
+    return f"aggregate(sequence(1, {MOST_RETRIES}), {none}, (e, again) -> if(e.ok, e, {again}), e -> struct(if(e.ok, e.found, cast(raise_error('a block of digests does not peel') as array<struct<k:bigint,n:int>>)) as found, e.tries as tries))"
+
+
+def _blocks_sql(a: str, b: str) -> str:
+    """SQL: struct(found, tries) by sketches of (|a| + |b|) / SHARE blocks; equal digests of both are in one block."""
+    of = lambda keys, sign: f"transform({keys}, k -> struct(cast(pmod(shiftrightunsigned(k, 40), m) as int) as j, k as k, xxhash64(k) as c, {sign} as n))"
+    starts = "if(size(v) = 0, cast(array() as array<int>), filter(sequence(0, size(v) - 1), i -> i = 0 or v[i].j <> v[greatest(i - 1, 0)].j))"
+    each = let(starts, "at", f"transform(at, (i, x) -> {_retry_sql('slice(v, i + 1, coalesce(try_element_at(at, x + 2), size(v)) - i)')})")
+    signed = f"if(m = 1, concat({of(a, 1)}, {of(b, -1)}), sort_array(concat({of(a, 1)}, {of(b, -1)})))"
+    body = let(signed, "v", let(each, "e", "struct(flatten(transform(e, x -> x.found)) as found, coalesce(array_max(transform(e, x -> x.tries)), 2) as tries)"))
+    return let(f"cast(greatest(1, ceil((size({a}) + size({b})) / {SHARE})) as int)", "m", body)
 
 
-def _outcome_sql(peeled: str, a: str, b: str, tries: int) -> str:
-    """SQL: struct(fits, only_a, only_b, tries) of struct(ok, found)."""
+def _outcome_sql(peeled: str, ok: str, a: str, b: str, tries: str) -> str:
+    """SQL: struct(fits, only_a, only_b, tries) of a struct with found."""
     of = lambda sign: f"transform(filter(d.found, x -> x.n {sign} 0), x -> x.k)"
-    sides = f"struct(d.ok as ok, {of('>')} as only_a, {of('<')} as only_b)"
-    body = f"struct(o.ok and size({a}) - size(o.only_a) = size({b}) - size(o.only_b) as fits, o.only_a as only_a, o.only_b as only_b, {tries} as tries)"
+    sides = f"struct({ok} as ok, {of('>')} as only_a, {of('<')} as only_b, {tries} as tries)"
+    body = f"struct(o.ok and size({a}) - size(o.only_a) = size({b}) - size(o.only_b) as fits, o.only_a as only_a, o.only_b as only_b, o.tries as tries)"
     return let(let(peeled, "d", sides), "o", body)
 
 
 def with_difference(rows: DataFrame, name: str, a: str, b: str, cells_a: str, cells_b: str) -> DataFrame:
     """Adds `name`, struct(fits, only_a, only_b, tries): digests of column `a` that `b` lacks, and the other way round.
 
-    First the fingerprints' own cells are tried, then RETRIES.  After all have failed (a chance in millions even
-    for the longest texts) the digests are compared as they are; tries is then 0.
+    First the fingerprints' own cells are tried, then larger sketches (tries is the most that a block took).  A difference that is larger
+    than all cells by the numbers of digests alone isn't tried on them.
     """
-    rows = rows.withColumn(name, F.expr(_outcome_sql(peel_sql(minus_sql(cells_a, cells_b)), a, b, 1)))
-    for tries, retry in enumerate(RETRIES, 2):
-        rows = rows.withColumn(name, F.expr(f"if({name}.fits, {name}, {_outcome_sql(_blocks_sql(a, b, *retry), a, b, tries)})"))
-    plain = f"named_struct('fits', true, 'only_a', array_except({a}, {b}), 'only_b', array_except({b}, {a}), 'tries', 0)"
-    return rows.withColumn(name, F.expr(f"if({name}.fits, {name}, {plain})"))
+    cells = 3 * 2**BITS
+    first = _outcome_sql(peel_sql(minus_sql(cells_a, cells_b)), "d.ok", a, b, "1")
+    none = "struct(false as fits, cast(array() as array<bigint>) as only_a, cast(array() as array<bigint>) as only_b, 1 as tries)"
+    rows = rows.withColumn(name, F.expr(f"if(abs(size({a}) - size({b})) > {cells}, {none}, {first})"))
+    return rows.withColumn(name, F.expr(f"if({name}.fits, {name}, {_outcome_sql(_blocks_sql(a, b), 'true', a, b, 'd.tries')})"))
 
 
 def likeness(name: str, a: str):

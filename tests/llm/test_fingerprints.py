@@ -1,17 +1,33 @@
 import hashlib
 import random
-import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from docspark.llm import fingerprints as X
 from docspark.llm import queries as Q
 
-PIECE = re.compile(r"[^ \n]+(?: +[^ \n]+){0,31}")
+
+def word_hash(w):
+    return xxhash.xxh64_intdigest(w.encode(), seed=42)
 
 
 def pieces(t):
-    return set(PIECE.findall(t or ""))
+    """The paragraphs of a text as tuples of words."""
+    lines = [[w for w in line.split(" ") if w] for line in (t or "").split("\n")]
+    n = sum(map(len, lines))
+    zeros = 2 if n < 64 else 3 if n < 128 else 4 if n < 256 else 5
+    out = set()
+    for words in lines:
+        held = []
+        for w in words:
+            held.append(w)
+            if word_hash(w) % 2**zeros == 0:
+                out.add(tuple(held))
+                held = []
+        if held:
+            out.add(tuple(held))
+    return out
 
 
 def like(a, b):
@@ -49,6 +65,24 @@ def test_odd_texts_and_long_ones(spark):
     assert all(r.edited_tries > 0 and r.next_tries > 0 for r in rows)
 
 
+def test_very_long_texts_in_time_that_grows_with_their_digests(spark):
+    a = [f"line {i} of the first" for i in range(100_000)]
+    b = a[:99_000] + [f"line {i} of the second" for i in range(99_000, 130_000)]
+    df = spark.createDataFrame([("\n".join(a), "\n".join(b))], "a string, b string")
+    rows = df.select(F.expr(X.digests_sql("a")).alias("da"), F.expr(X.digests_sql("b")).alias("db"))
+    rows = rows.withColumns({"ca": F.expr(X.sketch_sql("da")), "cb": F.expr(X.sketch_sql("db"))})
+    r = X.with_difference(rows, "d", "da", "db", "ca", "cb").selectExpr("size(da) as a", "size(db) as b", "size(d.only_a) as only_a", "size(d.only_b) as only_b", "d.tries", "size(array_intersect(da, db)) as both").first()
+    assert (r.a - r.only_a, r.b - r.only_b) == (r.both, r.both) and r.tries > 2
+
+
+def test_short_and_shifted_copies_share_paragraphs(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(500)}" for _ in range(n)) for n in (30, 40, 60, 300, 900)]
+    rows = [(t, " ".join(t.split()[: len(t.split()) * 3 // 4]) + " x" * (len(t.split()) // 4)) for t in texts] + [(t, "new " + t) for t in texts]
+    got = spark.createDataFrame(rows, "a string, b string").select(F.expr(f"size(array_intersect({X.digests_sql('a')}, {X.digests_sql('b')}))").alias("n")).collect()
+    assert all(r.n > 0 for r in got)
+
+
 def test_empty_single_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     assert X.edited_likeness(df.limit(0)).count() == 0
