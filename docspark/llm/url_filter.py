@@ -1,7 +1,9 @@
 """URL filters: block and allow rules by host and path, gradient-boosted trees where no rule fits.
 
 The trees learn from labelled URLs (by default those that a rule judges) on lexical features alone: lengths,
-depths, digit ratio, entropy, parameters and what the labels say of the host's suffixes.
+depths, digit ratio, entropy, parameters and what the labels say of the host's suffixes.  A labelled URL never counts in its own
+suffix statistics: they come from the other folds of hosts, and for half of the URLs from other suffixes alone,
+as URLs to be judged often have suffixes that no label names.  Both labels weigh the same in the fit.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ RULES = (
 )
 #: The trees are fitted on about this many labelled rows at most; suffix statistics count all of them.
 MOST_LABELLED = 50_000
+FOLDS = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("url_chars", "host_chars", "path_chars", "host_depth", "path_depth", "digit_ratio", "entropy", "params", "param_chars", "fragment", "marks", "last_rate", "last_seen", "pair_rate", "pair_seen")
@@ -90,21 +93,39 @@ def lexical(split: DataFrame, url: str = "url") -> DataFrame:
     ).drop("_u")
 
 
-def _suffix_stats(labelled: DataFrame) -> dict[str, DataFrame]:
-    """Per suffix, over all of `labelled`: smoothed share of label 1 and count."""
-    counted = suffixes(split_url(labelled)).groupBy("last", "pair").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("seen"))
-    counted = scratch_table(counted, "suffixes")
-    stats = {}
-    for s in ("last", "pair"):
-        of_suffix = counted.groupBy(s).agg(F.sum("ones").alias("ones"), F.sum("seen").cast("double").alias(f"{s}_seen"))
-        stats[s] = scratch_table(of_suffix.select(s, ((F.col("ones") + 0.5) / (F.col(f"{s}_seen") + 1)).alias(f"{s}_rate"), f"{s}_seen"), s)
-    return {s: F.broadcast(table) if table.count() <= BROADCAST_IDS // 10 else table for s, table in stats.items()}
+def _suffix_counts(labelled: DataFrame) -> DataFrame:
+    """last, pair, fold (of the host), ones, seen: all of `labelled` counted."""
+    rows = suffixes(split_url(labelled)).withColumn("fold", _fold())
+    return scratch_table(rows.groupBy("last", "pair", "fold").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).cast("double").alias("seen")), "suffixes")
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("host", F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
-def _with_stats(rows: DataFrame, stats: dict[str, DataFrame]) -> DataFrame:
-    for suffix, table in stats.items():
+def _rates(counts: DataFrame) -> dict[str, DataFrame]:
+    """Per suffix, broadcast if counted to be few: ones and seen."""
+    tables = {s: scratch_table(counts.groupBy(s).agg(F.sum("ones").alias(f"{s}_ones"), F.sum("seen").alias(f"{s}_seen")), s) for s in ("last", "pair")}
+    return {s: F.broadcast(t) if t.count() <= BROADCAST_IDS // 10 else t for s, t in tables.items()}
+
+
+def _with_stats(rows: DataFrame, counts: DataFrame, own: bool) -> DataFrame:
+    """Adds smoothed share of label 1 and count of both suffixes; `own` rows are among the counted ones and are taken out."""
+    for suffix, table in _rates(counts).items():
         rows = rows.join(table, suffix, "left")
-        rows = rows.fillna({f"{suffix}_rate": 0.5, f"{suffix}_seen": 0.0})
+    if own:
+        rows = rows.withColumns({"fold": _fold(), "apart": F.pmod(F.xxhash64("url", F.lit("apart")), F.lit(2)) == 0})
+        for suffix in ("last", "pair"):
+            mine = counts.groupBy(suffix, "fold").agg(F.sum("ones").alias("mine_ones"), F.sum("seen").alias("mine_seen"))
+            rows = rows.join(mine, [suffix, "fold"], "left")
+            for c in ("ones", "seen"):
+                whole = F.when(F.col("apart"), F.col(f"pair_{c}")).otherwise(F.col(f"mine_{c}"))  # what is taken out
+                rows = rows.withColumn(f"{suffix}_{c}_left", F.col(f"{suffix}_{c}") - whole)
+            rows = rows.drop("mine_ones", "mine_seen")
+        rows = rows.withColumns({f"{s}_{c}": F.col(f"{s}_{c}_left") for s in ("last", "pair") for c in ("ones", "seen")})
+    for s in ("last", "pair"):
+        seen = F.coalesce(f"{s}_seen", F.lit(0.0))
+        rows = rows.withColumn(f"{s}_rate", (F.coalesce(f"{s}_ones", F.lit(0.0)) + 0.5) / (seen + 1)).withColumn(f"{s}_seen", seen)
     return rows
 
 
@@ -131,12 +152,17 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, most
     if len(counts) < 2:
         scored = known.withColumn("score", F.lit([*counts, 0.0][0]))
     else:
-        stats = _suffix_stats(labelled)
-        learned = scratch_table(lexical(split_url(_sample(labelled, sum(counts.values()), most, seed))).coalesce(4), "labelled_urls")
+        suffix_counts = _suffix_counts(labelled)
+        # the sample is taken by all tasks; what is written of it is small
+        learned = scratch_table(lexical(split_url(_sample(labelled, sum(counts.values()), most, seed))), "labelled_urls")
+        even = {label: sum(counts.values()) / (2 * n) for label, n in counts.items()}
+        learned = _with_stats(learned, suffix_counts, own=True).withColumn("_weight", F.when(F.col("label") == 1, even[1.0]).otherwise(even[0.0]))
         vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-        model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)
-        model = model.fit(vector.transform(_with_stats(learned, stats)).select("_features", "label"))
-        scored = model.transform(vector.transform(_with_stats(lexical(known), stats)))
+        model = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=trees, maxDepth=depth, seed=seed)
+        # fitting goes over the small table many times
+        fitted = scratch_table(vector.transform(learned).select("_features", "label", "_weight"), "url_features").coalesce(4)
+        model = model.fit(fitted)
+        scored = model.transform(vector.transform(_with_stats(lexical(known), suffix_counts, own=False)))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("_row.*", "host", "path", "rule", "score", verdict.alias("verdict"))

@@ -76,3 +76,48 @@ def test_trees_learn_lexical_labels(spark):
     new = spark.createDataFrame([(bad(i + 7), 1) for i in range(50)] + [(good(i + 3), 0) for i in range(50)], "url string, truth int")
     got = X.judge(new, labelled, rules=(), trees=5)
     assert got.where("(verdict = 'block') <> (truth = 1)").count() == 0
+
+
+def auc(rows):
+    ordered = sorted(rows)
+    ones = sum(y for _, y in ordered)
+    below, wins, i = 0, 0.0, 0
+    while i < len(ordered):
+        j = i
+        while j < len(ordered) and ordered[j][0] == ordered[i][0]:
+            j += 1
+        n1 = sum(y for _, y in ordered[i:j])
+        wins += n1 * (below + (j - i - n1) / 2)
+        below += j - i - n1
+        i = j
+    return wins / (ones * (len(ordered) - ones))
+
+
+def test_held_out_urls(spark):
+    """Labels that depend on lengths and digits, and in part on the host's ending, are found again for URLs that weren't learned from."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").where("url like '%://%'")
+    label = "cast(length(url) + 3 * length(regexp_replace(url, '[^0-9]', '')) + if(url like '%.org/%', 12, 0) > 50 as int)"
+    marked = pages.select("url", F.expr(label).alias("truth"))
+    shares = marked.agg(F.avg("truth")).first()[0]
+    assert 0.05 < shares < 0.95
+    held = "pmod(xxhash64(url, 'held'), 5) = 0"
+    got = X.judge(marked.where(held), marked.where(f"not ({held})").withColumnRenamed("truth", "label"), rules=()).select("score", "truth").collect()
+    assert len(got) > 300 and auc([(r.score, r.truth) for r in got]) > 0.97
+
+
+def test_labels_weigh_the_same(spark):
+    """Most URLs that a rule judges are blocked; that alone doesn't block the others."""
+    shares = {r.verdict: r["count"] for r in Q.op6_url_filters(spark, "/root/testdata/sf0.1").where("rule is null").groupBy("verdict").count().collect()}
+    assert min(shares["allow"], shares["block"]) > 0.1 * sum(shares.values())
+
+
+def test_suffixes_of_other_urls_only(spark):
+    """A labelled URL's statistics leave its own fold out, or its own suffix."""
+    rows = spark.createDataFrame([(f"http://h{i}.org/p{i % 3}/x", float(i % 2)) for i in range(200)], "url string, label double")
+    counts = X._suffix_counts(rows)
+    out = X._with_stats(X.lexical(X.split_url(rows)), counts, own=True).collect()
+    for r in out:
+        others = [o for o in out if (o.pair != r.pair if r.apart else o.fold != r.fold)]
+        assert r.last_seen == len(others)
+        mine = [o for o in others if o.pair == r.pair]
+        assert r.pair_seen == len(mine) and abs(r.pair_rate - (sum(o.label for o in mine) + 0.5) / (len(mine) + 1)) < 1e-9
