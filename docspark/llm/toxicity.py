@@ -23,16 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_table
+from .common import free_name, scratch_table, without
 from .piece_table import by_chars
 
 #: Executors get this module's code with the job, wherever the package lies.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: The fit's sample: about this many confirmed toxic and unlabelled texts at most, chosen by hash of doc_id.
+#: The fit's sample: about this many confirmed toxic texts at most, and the method's sample of unlabelled ones, chosen by hash of doc_id.
 MOST_TOXIC, MOST_UNLABELLED = 5_000, 20_000
-#: Beginnings of words that are features beside the words, the features kept, and how clearly (in standard errors) they must favour P.
-BEGINNINGS, MOST_FEATURES, CLEAR = (4, 5, 6), 4096, 4.0
+#: Beginnings of words that are features beside the words, and how clearly (in standard errors) features must favour P.
+BEGINNINGS, CLEAR = (4, 5, 6), 4.0
 #: Times the rate in U that toxic texts alone would give a feature.
 SPARE = 2.5
 #: Words whose weight a worker keeps.
@@ -113,7 +113,7 @@ def _choose(docs: DataFrame, sample: DataFrame, prior: float) -> list[str]:
     rate_p, rate_u = p / n_p, u / n_u
     z = (rate_p - rate_u) / np.sqrt((p + u) / (n_p + n_u) * (1 / n_p + 1 / n_u))
     fits = np.flatnonzero((z >= CLEAR) & (rate_u <= SPARE * prior * rate_p + 2 / n_u))
-    return [names[i] for i in sorted(fits, key=lambda i: (-z[i], names[i]))[:MOST_FEATURES]]
+    return [names[i] for i in sorted(fits, key=lambda i: (-z[i], names[i]))]
 
 
 def _matrix(sample: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -206,5 +206,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None) ->
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
-    """`docs` without the rows that are predicted toxic."""
-    return score(docs.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "_row"), *fit(docs, labels, prior)).where("predicted = 0").select("_row.*")
+    """`docs` without the rows that are predicted toxic; rows are told apart by doc_id and text.  Only ids and texts go to Python."""
+    id_, hash_ = free_name(docs, "id"), free_name(docs, "hash")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    gone = score(texts, *fit(docs, labels, prior)).where("predicted = 1").select(F.col("doc_id").alias(id_), F.col("h").alias(hash_)).distinct()
+    return without(docs, gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)))

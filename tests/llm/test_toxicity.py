@@ -1,6 +1,9 @@
+import math
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docspark.llm import queries as Q
 from docspark.llm import toxicity as X
@@ -22,6 +25,39 @@ def test_risk_estimator_recovers_a_separable_class():
     assert (w > 0).all() and b < 0 and ((g > 0) == truth).mean() > 0.97
 
 
+def test_weights_are_a_minimum_of_the_risk():
+    """The risk, written out term by term, is no lower near the fitted weights."""
+    rnd = np.random.default_rng(1)
+    n, prior, lasso = 400, 0.3, 2e-4
+    x = (rnd.random((n, 3)) < [0.5, 0.3, 0.4]).astype(float)
+    p = (x[:, 0] + 0.5 * x[:, 1] + rnd.normal(0, 0.3, n) > 0.9) & (rnd.random(n) < 0.6)
+    rows, cols = np.nonzero(x)
+
+    def risk(w, b):
+        g = x @ w + b
+        loss = lambda z: np.log1p(np.exp(-z))
+        return prior * loss(g[p]).mean() + max(0.0, loss(-g).mean() - prior * loss(-g[p]).mean()) + lasso * np.abs(w).sum()
+
+    w, b = X.fit_nnpu(p, np.ones(n, bool), rows, cols, np.ones(len(rows)), 3, prior, steps=3000, lasso=lasso)
+    least = risk(w, b)
+    for _ in range(200):
+        step = rnd.normal(0, 0.05, 4)
+        assert risk(w + step[:3], b + step[3]) > least - 2e-3
+    assert risk(np.zeros(3), 0.0) > least + 0.05
+
+
+def test_scores_are_sums_of_the_weights_of_words(spark):
+    weights, bias = {"vile": 1.5, "vile-": 0.25, "rott-": 0.75, "calm": -2.0}, -1.0
+    texts = ["Vile VILE words", "vilely rotten, calm", "rotten-rotted 4vile4", "", None, "calm " * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in X.score(df, weights, bias).collect():
+        words = {w for w in re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower())}
+        total = bias
+        for w in words:
+            total += weights.get(w, 0) + sum(weights.get(w[:k] + "-", 0) for k in (4, 5, 6) if len(w) > k)
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-12 and r.predicted == (r.score >= 0.5)
+
+
 def test_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -56,6 +92,8 @@ def test_odd_rows(spark):
     assert len(got) == 203 and got[8].predicted == 1 and got[9].predicted == 0 and got[500].predicted == 0 and got[501].predicted == 1 and got[None].held_out
     kept = X.keep_clean(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 203 - 51
+    clash = docs.withColumns({c: F.lit(1) for c in ("id", "hash", "h", "_row", "held_out", "predicted")})
+    assert X.keep_clean(clash, labels).columns == clash.columns and X.keep_clean(clash, labels).count() == 203 - 51
     assert {r.score for r in X.toxicity(docs, labels.limit(0)).collect()} != {None} and X.toxicity(docs.limit(0), labels).count() == 0
 
 
