@@ -54,9 +54,9 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select(*chat_format.TURN_ROWS)
-    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
-    read = chat_format.parse(chat_format.format_turns(chat_format.canonical_rows(rows.unionByName(more))))
+    rows = _table(spark, sf_dir, "conversations")
+    more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :text), (-7L, 1L, 'assistant', :text) AS t(conv_id, turn, role, text)", {"text": CONTROL_TEXT})
+    read = chat_format.parse(chat_format.format_turns(chat_format.canonical_rows(rows.unionByName(more, allowMissingColumns=True))))
     turns = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join(F.transform("parsed", lambda t: t["learned"]), "")  # nulls are left out
     return read.select(

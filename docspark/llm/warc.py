@@ -74,20 +74,17 @@ def record(page_id, url: str | None, html: str | None, digest: str, payload_byte
 def pack(records: list[bytes], dict_bytes: int = DICT_BYTES, level: int = 3) -> bytes:
     """An archive: the skippable frame with the dictionary, then a frame per record.
 
-    Too few or too small records for a dictionary give an archive without one.
+    Where the records are too few or too small to train a dictionary, their beginnings are one.
     """
-    out, trained = io.BytesIO(), None
+    out = io.BytesIO()
     try:
         trained = zstandard.train_dictionary(min(dict_bytes, max(256, sum(map(len, records)) // 10)), records, k=512, d=8, f=18, accel=4)
     except zstandard.ZstdError:
-        pass
-    if trained is None:
-        packer = zstandard.ZstdCompressor(level=level)
-    else:
-        frame = zstandard.ZstdCompressor(level=19).compress(trained.as_bytes())
-        out.write(struct.pack("<II", DICT_MAGIC, len(frame)) + frame)
-        trained.precompute_compress(level=level)
-        packer = zstandard.ZstdCompressor(level=level, dict_data=trained)
+        trained = zstandard.ZstdCompressionDict(b"".join(r[: dict_bytes // len(records) + 8] for r in records)[:dict_bytes], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    frame = zstandard.ZstdCompressor(level=19).compress(trained.as_bytes())
+    out.write(struct.pack("<II", DICT_MAGIC, len(frame)) + frame)
+    trained.precompute_compress(level=level)
+    packer = zstandard.ZstdCompressor(level=level, dict_data=trained)
     for r in records:
         out.write(packer.compress(r))
     return out.getvalue()
