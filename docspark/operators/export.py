@@ -14,6 +14,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..functions import epub as E
 from ..functions import patterns as P
+from ..functions import pdf as D
 from ..functions import text as T
 
 #: Executors get this module's code with the job, wherever the package lies.
@@ -136,6 +137,37 @@ def epub(pages: DataFrame, stem: str = "book", title: str = "Document") -> DataF
     return rows.mapInArrow(run, StructType([rows.schema["book_id"], StructField("name", StringType()), StructField("content", BinaryType())]))
 
 
+def with_source_page(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pages (book_id, page_index) with source_index: their page of the book's `sources` (book_id, page_index), the last where it lacks theirs."""
+    last = sources.groupBy("book_id").agg((F.count_distinct("page_index") - 1).cast("int").alias("last"))
+    return pages.join(last, "book_id").withColumn("source_index", F.least("page_index", "last").cast("int")).drop("last")
+
+
+def searchable_pdf(pages: DataFrame, sources: DataFrame, words: DataFrame, dpi: int = 200, stem: str = "book") -> DataFrame:
+    """book_id, name, content (bytes): a PDF of each book's `pages` (book_id, page_index), its images under invisible words.
+
+    sources: book_id, page_index, width, height (points) and jpeg (null: an empty background); a page that the book lacks shows its
+    last.  words: book_id, page_index, word_idx, content, box (pixels at `dpi`); pages without words show their image alone.
+    A book is one file, so one task makes it.
+    """
+    if dpi < 1:
+        raise ValueError("dpi starts at 1")
+    rows = with_source_page(pages.select("book_id", "page_index").distinct(), sources)
+    shown = sources.select("book_id", F.col("page_index").cast("int").alias("source_index"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), "jpeg")
+    rows = rows.join(shown, ["book_id", "source_index"])
+    scale = POINTS / dpi
+    placed = words.where("content <> '' and box is not null").select("book_id", "page_index", F.struct("word_idx", (F.col("box.x1") * scale).alias("x"), (F.col("box.y2") * scale).alias("down"), F.greatest(F.lit(LEAST_FONT), (F.col("box.y2") - F.col("box.y1")) * scale).alias("font"), "content").alias("w"))
+    rows = rows.join(placed.groupBy("book_id", "page_index").agg(F.array_sort(F.collect_list("w")).alias("words")), ["book_id", "page_index"], "left")
+
+    def run(held: pa.Table) -> pa.Table:
+        held = held.sort_by("page_index")
+        made = [D.Page(r["width"], r["height"], r["jpeg"], [(w["x"], r["height"] - w["down"], w["font"], w["content"]) for w in r["words"] or []]) for r in held.to_pylist()]
+        return pa.table([held["book_id"].slice(0, 1), pa.array([f"{stem}.pdf"]), pa.array([D.document(made)], pa.binary())], names=["book_id", "name", "content"])
+
+    schema = StructType([rows.schema["book_id"], StructField("name", StringType()), StructField("content", BinaryType())])
+    return rows.select("book_id", "page_index", "width", "height", "jpeg", "words").groupBy("book_id").applyInArrow(run, schema)
+
+
 def word_layer(words: DataFrame, page_height: float, dpi: int) -> DataFrame:
     """Words with x, y, font in points: the invisible text of a searchable page; words without content or box go."""
     scale = POINTS / dpi

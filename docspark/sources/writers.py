@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Executors get this module's code with the job, wherever the package lies.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +28,7 @@ def write_files(files: DataFrame, folder: str) -> int:
         for batch in batches:
             n = 0
             for book, name, content in zip(*(batch[c].to_pylist() for c in ("book_id", "name", "content"))):
-                fs.create_dir(f"{base}/{book}", recursive=True)
+                fs.create_dir(f"{base}/{book}/{name}".rpartition("/")[0], recursive=True)
                 held = f"{base}/{book}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(held, compression=None) as f:
                     f.write(content if isinstance(content, bytes) else (content or "").encode())
@@ -61,6 +62,13 @@ def copy_files(files: DataFrame, folder: str) -> int:
     return files.select("book_id", "name", "path").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
 
 
+def cache_files(analysis: DataFrame) -> DataFrame:
+    """Page analyses (sha8, page_index, paragraphs, words, raw_markdown) as the files that readers.page_cache() reads, for write_files(): book_id is sha8."""
+    page = F.concat(F.lit("page_"), F.format_string("%04d", F.col("page_index") + 1), F.lit("/"))
+    both = F.array(F.struct(F.concat(page, F.lit("analysis.json")).alias("name"), F.to_json(F.struct("paragraphs", "words")).alias("content")), F.struct(F.concat(page, F.lit("raw.md")).alias("name"), F.coalesce("raw_markdown", F.lit("")).alias("content")))
+    return analysis.select(F.col("sha8").alias("book_id"), F.inline(both))
+
+
 def write_cache(analysis: DataFrame, path: str) -> None:
     """Page analyses as a table by book hash, settings and page."""
     analysis.write.partitionBy("sha8").mode("append").parquet(path)

@@ -1,15 +1,21 @@
+import http.server
 import io
 import json
 import os
+import re
+import threading
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docspark.functions import pdf
 from docspark.operators import convert, export, pages
 from docspark.plans import fakes
-from docspark.sources import engines, readers, writers
+from docspark.sources import engines, readers, schemas, settings, writers
 from docspark.streaming import drop_folder
 
 MD = "book_id string, page_index int, markdown string, assets array<string>"
@@ -163,6 +169,96 @@ def test_engines(spark):
     assert again(d.withColumn("trimmed", F.col("box").withField("x1", F.lit(0)))).first().new_latex is None
 
 
+def test_formulas_over_http(spark):
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            image = body.split(b"\r\n\r\n", 1)[1].rsplit(b"\r\n--", 1)[0]
+            if image == b"bad":
+                self.send_error(500)
+                return
+            found = {"latex": f" L{len(image)} ", "score": 1} if self.path == "/recognize" else [{"box": [1, 2, 3, 4], "type": "isolated", "latex": " x ", "score": "0.5"}]
+            data = b"no json" if image == b"odd" else json.dumps([{"box": [1]}] if image == b"lacks" else found).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    engine = engines.HttpFormulas(url, cut=lambda image, box: image[: box[2]])
+    assert engine.detect(b"page") == [{"box": (1, 2, 3, 4), "type": "isolated", "latex": "x", "score": 0.5}]
+    assert engine.recognize(b"pages", (0, 0, 3, 9)) == "L3"
+    images = spark.createDataFrame([("b", 0, b"i")], "book_id string, page_index int, img binary")
+    assert engines.detect_formulas(images, lambda: engines.HttpFormulas(url)).first().latex == "x"
+    for image in (b"bad", b"odd", b"lacks"):
+        with pytest.raises(engines.EngineError):
+            engine.detect(image)
+    with pytest.raises(engines.EngineError):
+        engines.HttpFormulas(url).recognize(b"p", (0, 0, 1, 1))
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(engines.EngineError):
+        engine.detect(b"page")
+
+
+def test_text_only_crops_and_png():
+    assert engines.TextOnly(lambda image: None).analyze(b"")["raw_markdown"] == "" and engines.TextOnly(lambda image: "# a").analyze(b"")["words"] == []
+    with pytest.raises(engines.EngineError):
+        engines.TextOnly(lambda image: 1 / 0).analyze(b"")
+    pixels = np.arange(4 * 5 * 3, dtype=np.uint8).reshape(4, 5, 3)
+    part = engines.crop(pixels, (-3, 1, 2, 99))
+    assert part.shape == (3, 2, 3) and (part == pixels[1:, :2]).all()
+    with pytest.raises(engines.EngineError):
+        engines.crop(pixels, (5, 0, 9, 9))
+    data = engines.png(part)
+    assert data.startswith(b"\x89PNG") and data[16:24] == b"\x00\x00\x00\x02\x00\x00\x00\x03"
+    lines = zlib.decompress(data[41 : 41 + int.from_bytes(data[33:37], "big")])
+    assert lines == b"".join(b"\0" + row.tobytes() for row in part)
+
+
+def test_searchable_pdf(spark):
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x07\x00\x09\x01" + b"\0" * 9
+    assert pdf.jpeg_shape(jpeg) == (9, 7, 1)
+    sources = spark.createDataFrame([("b", 0, 100.0, 200.0, None), ("b", 1, 300.0, 400.0, bytearray(jpeg))], "book_id string, page_index int, width double, height double, jpeg binary")
+    wanted = spark.createDataFrame([("b", 5), ("b", 0)], "book_id string, page_index int")
+    words = spark.createDataFrame([("b", 0, 0, (10, 20, 30, 60), "語"), ("b", 0, 1, (0, 0, 5, 1), "x"), ("b", 0, 2, None, "y"), ("b", 0, 3, (0, 0, 1, 1), "")], "book_id string, page_index int, word_idx int, box struct<x1:int,y1:int,x2:int,y2:int>, content string")
+    assert [(r.page_index, r.source_index) for r in export.with_source_page(wanted, sources).orderBy("page_index").collect()] == [(0, 0), (5, 1)]
+    row = export.searchable_pdf(wanted, sources, words, dpi=144).first()
+    data = bytes(row.content)
+    assert row.name == "book.pdf" and data.startswith(b"%PDF-") and b"/Count 2" in data and b"/Width 9 /Height 7 /ColorSpace /DeviceGray" in data
+    for i, place in enumerate(re.findall(rb"(\d{10}) 00000 n", data), 1):
+        assert data[int(place) :].startswith(b"%d 0 obj" % i)
+    drawn = [zlib.decompress(x).decode() for x in re.findall(rb"/FlateDecode >>\nstream\n(.*?)\nendstream", data, re.S)]
+    assert "3 Tr" in drawn[0] and "/F 20.0000 Tf 1 0 0 1 5.0000 170.0000 Tm <8a9e> Tj" in drawn[0] and "/F 4.0000 Tf 1 0 0 1 0.0000 199.5000 Tm <0078> Tj" in drawn[0]
+    assert drawn[1] == "q 300.0000 0 0 400.0000 0 0 cm /I Do Q"
+    with pytest.raises(ValueError):
+        export.searchable_pdf(wanted, sources, words, dpi=0)
+
+
+def test_written_cache_is_read_again(spark, tmp_path):
+    rows = spark.createDataFrame([("0123abcd", 4, [([0, 0, 9, 9], "p", None, None, 1)], [([[1, 2], [3, 4]], "w")], "raw")], f"sha8 string, page_index int, paragraphs array<{schemas.PARAGRAPH}>, words array<{schemas.WORD}>, raw_markdown string")
+    assert writers.write_files(writers.cache_files(rows), str(tmp_path / "cache")) == 2
+    got = readers.parse_analysis(readers.page_cache(spark, str(tmp_path / "cache"))).first()
+    assert (got.sha8, got.page_index, got.raw_markdown, got.words[0].content, got.paragraphs[0].box) == ("0123abcd", 4, "raw", "w", [0, 0, 9, 9])
+
+
+def test_settings(spark, tmp_path, monkeypatch):
+    path = tmp_path / "env"
+    path.write_text("# SERVICE_KEY=no\nexport Service_Key = \"in file\"\n")
+    get = lambda **more: settings.setting("service_key", path=str(path), **more)
+    assert get() == "in file" and settings.setting("other", path=str(path)) is None and settings.setting("other", path=str(tmp_path / "none")) is None
+    monkeypatch.setenv("SERVICE_KEY", "in environment")
+    assert get(spark=spark) == "in environment" and get(given="given") == "given"
+    spark.conf.set("docspark.service_key", "of the session")
+    assert get(spark=spark) == "of the session"
+    spark.conf.unset("docspark.service_key")
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("b", 0, "# t", None, [])], "book_id string, page_index int, markdown string, raw_markdown string, assets array<string>").write.parquet(str(tmp_path / "in"))
     q = drop_folder.plaintext_pages(drop_folder.read_pages(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("pages_out").start()
