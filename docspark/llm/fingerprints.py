@@ -28,11 +28,10 @@ from .common import let
 CUTS = ((64, 2), (128, 3), (256, 4), (None, 5))
 #: The fingerprint: log2 of the cells per table.
 BITS = 3
-#: Digests per block when nothing is shared.
-SHARE = 20
-ROUNDS = 24
+#: Digests per block when nothing is shared, and log2 of the cells per table that a block starts with.
+SHARE, FIRST_BITS = 8, 3
 #: The most retries of a block, each with twice the cells; a chance in 10^30 of more, which would raise an error.
-MOST_RETRIES = 12
+MOST_RETRIES = 16
 
 
 def digests_sql(text: str) -> str:
@@ -46,11 +45,36 @@ def digests_sql(text: str) -> str:
     return let(f"coalesce({text}, '')", "t", let(hashes, "hs", each))
 
 
-def sketch_sql(keys: str, bits: int = BITS, low: int = 0) -> str:
-    """SQL: the cells (n, k, c) of three tables: count, XOR of digests, XOR of their checks."""
-    mask = 2**bits - 1
-    here = f"(shiftright(k, {low} + {bits} * shiftright(i, {bits})) & {mask}) = (i & {mask})"
-    return f"transform(sequence(0, {3 * 2**bits - 1}), i -> aggregate({keys}, struct(0 as n, 0L as k, 0L as c), (a, k) -> if({here}, struct(a.n + 1 as n, a.k ^ k as k, a.c ^ xxhash64(k) as c), a)))"
+def _placed_sql(items: str, h: str, b: str) -> str:
+    """SQL: items (k, c, n) with p0, p1, p2, their cells in the three tables of 2^b, by the bits of the hash `h` of x."""
+    cells = ", ".join(f"cast(shiftrightunsigned({h}, {t} * {b}) & (shiftleft(1, {b}) - 1) as int) as p{t}" for t in range(3))
+    return f"transform({items}, x -> struct(x.k as k, x.c as c, x.n as n, {cells}))"
+
+
+def _tables_sql(placed: str, b: str) -> list[str]:
+    """SQL of the three tables: per cell the count, XOR of digests, XOR of their checks."""
+    one = "aggregate({0}, struct(0 as n, 0L as k, 0L as c), (t, x) -> if(x.p{1} = i, struct(t.n + x.n as n, t.k ^ x.k as k, t.c ^ x.c as c), t))"
+    return [f"transform(sequence(0, shiftleft(1, {b}) - 1), i -> {one.format(placed, t)})" for t in range(3)]
+
+
+def _peel_sql(tables: list[str], h: str, b: str, rounds: str) -> str:
+    """SQL: struct(ok, found) of a difference; found has digest k and n, 1 if only the left has it and -1 if only the right.
+
+    Each round takes the lone digests of one table out of all three; after three idle rounds nothing more comes.
+    """
+    pure = _placed_sql("filter(element_at(array(s.t0, s.t1, s.t2), r % 3 + 1), x -> abs(x.n) = 1 and x.c = xxhash64(x.k))", h, b)
+    left = ", ".join(f"transform(s.t{t}, (x, i) -> aggregate(p, x, (y, q) -> if(q.p{t} = i, struct(y.n - q.n as n, y.k ^ q.k as k, y.c ^ q.c as c), y))) as t{t}" for t in range(3))
+    same = ", ".join(f"s.t{t} as t{t}" for t in range(3))
+    step = let(pure, "p", f"if(size(p) = 0, struct(s.idle + 1 as idle, {same}, s.found as found), struct(0 as idle, {left}, concat(s.found, transform(p, x -> struct(x.k as k, x.n as n))) as found))")
+    start = f"struct(0 as idle, {', '.join(f'{sql} as t{t}' for t, sql in enumerate(tables))}, cast(array() as array<struct<k:bigint,n:int>>) as found)"
+    end = f"s -> struct({' and '.join(f'forall(s.t{t}, x -> x.n = 0 and x.k = 0L and x.c = 0L)' for t in range(3))} as ok, s.found as found)"
+    return f"aggregate(sequence(1, {rounds}), {start}, (s, r) -> if(s.idle >= 3, s, {step}), {end})"
+
+
+def sketch_sql(keys: str) -> str:
+    """SQL: the fingerprint's cells (n, k, c), one table after the other."""
+    placed = _placed_sql(f"transform({keys}, k -> struct(k as k, xxhash64(k) as c, 1 as n))", "x.k", str(BITS))
+    return let(placed, "y", f"concat({', '.join(_tables_sql('y', str(BITS)))})")
 
 
 def minus_sql(left: str, right: str) -> str:
@@ -58,43 +82,31 @@ def minus_sql(left: str, right: str) -> str:
     return f"zip_with({left}, {right}, (x, y) -> struct(x.n - y.n as n, x.k ^ y.k as k, x.c ^ y.c as c))"
 
 
-def peel_sql(cells: str, bits: int = BITS, low: int = 0) -> str:
-    """SQL: struct(ok, found) of a difference; found has digest k and n, 1 if only the left has it and -1 if only the right."""
-    mask, size = 2**bits - 1, 2**bits
-    pure = f"filter(slice(s.cells, (r % 3) * {size} + 1, {size}), x -> abs(x.n) = 1 and x.c = xxhash64(x.k))"
-    here = f"(shiftright(q.k, {low} + {bits} * shiftright(i, {bits})) & {mask}) = (i & {mask})"
-    taken = f"transform(s.cells, (x, i) -> aggregate(p, x, (y, q) -> if({here}, struct(y.n - q.n as n, y.k ^ q.k as k, y.c ^ q.c as c), y)))"
-    step = let(pure, "p", f"if(size(p) = 0, struct(s.idle + 1 as idle, s.cells as cells, s.found as found), struct(0 as idle, {taken} as cells, concat(s.found, transform(p, x -> struct(x.k as k, x.n as n))) as found))")
-    # three tables in turn without a lone digest: nothing more comes
-    step = f"if(s.idle >= 3, s, {step})"
-    start = f"struct(0 as idle, {cells} as cells, cast(array() as array<struct<k:bigint,n:int>>) as found)"
-    end = "s -> struct(forall(s.cells, x -> x.n = 0 and x.k = 0L and x.c = 0L) as ok, s.found as found)"
-    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, {end})"
+def peel_sql(cells: str) -> str:
+    """SQL: struct(ok, found) of the difference of two fingerprints' cells."""
+    size = 2**BITS
+    return let(cells, "d", _peel_sql([f"slice(d, {t * size + 1}, {size})" for t in range(3)], "x.k", str(BITS), str(9 * size)))
 
 
 def _retry_sql(block: str) -> str:
-    """SQL: struct(found, tries) of a block of signed digests (k, c, n), by larger and larger sketches.
+    """SQL: struct(found, tries) of a block of signed digests (k, c, n), by larger and larger sketches with other hashes.
 
     The digests of one version are taken from a cell as those of the other are put in: the same as subtracting their sketches.
     """
-    size, here = "shiftleft(1, b)", "(shiftrightunsigned({}, b * shiftright(i, b)) & (shiftleft(1, b) - 1)) = (i & (shiftleft(1, b) - 1))"
-    cells = f"transform(sequence(0, 3 * {size} - 1), i -> aggregate(y, struct(0 as n, 0L as k, 0L as c), (t, x) -> if({here.format('x.h')}, struct(t.n + x.n as n, t.k ^ x.k as k, t.c ^ x.c as c), t)))"
-    pure = f"transform(filter(slice(s.cells, (r % 3) * {size} + 1, {size}), x -> abs(x.n) = 1 and x.c = xxhash64(x.k)), x -> struct(x.k as k, x.c as c, x.n as n, xxhash64(x.k, b) as h))"
-    taken = f"transform(s.cells, (x, i) -> aggregate(p, x, (y, q) -> if({here.format('q.h')}, struct(y.n - q.n as n, y.k ^ q.k as k, y.c ^ q.c as c), y)))"
-    step = let(pure, "p", f"if(size(p) = 0, struct(s.idle + 1 as idle, s.cells as cells, s.found as found), struct(0 as idle, {taken} as cells, concat(s.found, transform(p, x -> struct(x.k as k, x.n as n))) as found))")
-    start = f"struct(0 as idle, {cells} as cells, cast(array() as array<struct<k:bigint,n:int>>) as found)"
-    end = "s -> struct(forall(s.cells, x -> x.n = 0 and x.k = 0L and x.c = 0L) as ok, s.found as found)"
-    peeled = let(f"transform({block}, x -> struct(x.k as k, x.c as c, x.n as n, xxhash64(x.k, b) as h))", "y", f"aggregate(sequence(0, {3 * ROUNDS}), {start}, (s, r) -> if(s.idle >= 3, s, {step}), {end})")
-    again = let("3 + e.tries", "b", let(peeled, "d", "struct(d.ok as ok, d.found as found, e.tries + 1 as tries)"))
+    h = "xxhash64(x.k, b)"
+    peeled = let(_placed_sql(block, h, "b"), "y", _peel_sql(_tables_sql("y", "b"), h, "b", "3 * size(y) + 3"))
+    again = let(f"{FIRST_BITS - 1} + e.tries", "b", let(peeled, "d", "struct(d.ok as ok, d.found as found, e.tries + 1 as tries)"))
     none = "struct(false as ok, cast(array() as array<struct<k:bigint,n:int>>) as found, 1 as tries)"
-    return f"aggregate(sequence(1, {MOST_RETRIES}), {none}, (e, again) -> if(e.ok, e, {again}), e -> struct(if(e.ok, e.found, cast(raise_error('a block of digests does not peel') as array<struct<k:bigint,n:int>>)) as found, e.tries as tries))"
+    end = "struct(if(e.ok, e.found, cast(raise_error('a block of digests does not peel') as array<struct<k:bigint,n:int>>)) as found, e.tries as tries)"
+    return f"aggregate(sequence(1, {MOST_RETRIES}), {none}, (e, again) -> if(e.ok, e, {again}), e -> {end})"
 
 
 def _blocks_sql(a: str, b: str) -> str:
     """SQL: struct(found, tries) by sketches of (|a| + |b|) / SHARE blocks; equal digests of both are in one block."""
     of = lambda keys, sign: f"transform({keys}, k -> struct(cast(pmod(shiftrightunsigned(k, 40), m) as int) as j, k as k, xxhash64(k) as c, {sign} as n))"
     starts = "if(size(v) = 0, cast(array() as array<int>), filter(sequence(0, size(v) - 1), i -> i = 0 or v[i].j <> v[greatest(i - 1, 0)].j))"
-    each = let(starts, "at", f"transform(at, (i, x) -> {_retry_sql('slice(v, i + 1, coalesce(try_element_at(at, x + 2), size(v)) - i)')})")
+    one = let("slice(v, i + 1, coalesce(try_element_at(at, x + 2), size(v)) - i)", "z", _retry_sql("z"))
+    each = let(starts, "at", f"transform(at, (i, x) -> {one})")
     signed = f"if(m = 1, concat({of(a, 1)}, {of(b, -1)}), sort_array(concat({of(a, 1)}, {of(b, -1)})))"
     body = let(signed, "v", let(each, "e", "struct(flatten(transform(e, x -> x.found)) as found, coalesce(array_max(transform(e, x -> x.tries)), 2) as tries)"))
     return let(f"cast(greatest(1, ceil((size({a}) + size({b})) / {SHARE})) as int)", "m", body)
