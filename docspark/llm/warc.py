@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, scratch_table
+from .common import BROADCAST_IDS, scratch_dir, scratch_table
 
 #: Executors get this module's code with the job, wherever the package lies.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,14 +40,16 @@ def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, digest (hex), payload_bytes, refers_to (null for responses).
 
     Of rows with equal payloads of `min_bytes` or more, the largest page_id is the response (rows that repeat
-    that id too), others refer to it.  Null page_ids are the smallest.  Only payloads that several rows have are
-    joined back, and as counts per payload are made before the shuffle, a payload that many rows share is no hot key there.
+    that id too), others refer to it.  Null page_ids are the smallest.  Only the digests of payloads that several rows
+    have are joined back, broadcast if they are counted to be few, so payloads don't move; as counts per payload
+    are made before the shuffle, a payload that many rows share is no hot key there.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html")).withColumns({"digest": F.sha1(payload), "payload_bytes": F.octet_length("html").cast("long")})
     shared = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes)
     shared = shared.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    joined = rows.join(shared, "digest", "left")
+    shared = scratch_table(shared, "shared")
+    joined = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS // 4 else shared, "digest", "left")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", F.when(revisit, F.lit(None)).otherwise(F.col("html")).alias("html"), "digest", "payload_bytes", F.when(revisit, F.col("keeper")).alias("refers_to"))
 
