@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from ..functions import headings as H
 from ..functions import patterns as P
 from ..functions.text import lines, strip
+from ..sources.shared import scratch_table
 
 COLUMNS = ("book_id", "ord", "kind", "chapter_number", "title", "start_page", "end_page", "source")
 
@@ -71,12 +72,15 @@ def cells_of(html: DataFrame) -> DataFrame:
     return html.select("book_id", F.posexplode(inner).alias("pos", "cell")).withColumn("cell", strip(F.regexp_replace("cell", "(?s)<[^>]*>", "")))
 
 
-def syllabus(cells: DataFrame, pages: DataFrame) -> DataFrame:
-    """Body headings of books with a syllabus; its titles in their place where it has as many chapters."""
+def syllabus(cells: DataFrame, pages: DataFrame, body: DataFrame | None = None) -> DataFrame:
+    """Body headings of books with a syllabus; its titles in their place where it has as many chapters.
+
+    body: body_headings(pages), if it is at hand.
+    """
     titles = syllabus_titles(cells)
     counts = titles.groupBy("book_id").agg(F.count(F.lit(1)).alias("listed"))
     of_kind = W.partitionBy("book_id", "kind").orderBy("ord")
-    body = body_headings(pages).join(counts, "book_id").withColumns({"k": F.row_number().over(of_kind), "in_body": F.sum((F.col("kind") == "chapter").cast("int")).over(W.partitionBy("book_id"))})
+    body = (body_headings(pages) if body is None else body).join(counts, "book_id").withColumns({"k": F.row_number().over(of_kind), "in_body": F.sum((F.col("kind") == "chapter").cast("int")).over(W.partitionBy("book_id"))})
     named = body.join(titles.withColumnRenamed("title", "given"), ["book_id", "k"], "left")
     title = F.when((F.col("kind") == "chapter") & (F.col("in_body") == F.col("listed")), F.col("given")).otherwise(F.col("title"))
     return named.withColumns({"title": title, "source": F.lit("syllabus")}).select(*COLUMNS)
@@ -140,17 +144,21 @@ def printed_entries(pages: DataFrame) -> DataFrame:
     return entries.select(*found.columns).unionByName(found)
 
 
-def printed_contents(pages: DataFrame) -> DataFrame:
-    """From a page headed 目次, or else pages near the start that list chapter headings."""
-    return build(_placed(printed_entries(pages), body_headings(pages)), "ocr_toc")
+def printed_contents(pages: DataFrame, body: DataFrame | None = None) -> DataFrame:
+    """From a page headed 目次, or else pages near the start that list chapter headings.  body: as in syllabus()."""
+    return build(_placed(printed_entries(pages), body_headings(pages) if body is None else body), "ocr_toc")
 
 
 DETECTORS = ("syllabus", "pdf_toc", "ocr_toc", "body_headings")
 
 
 def detect(pages: DataFrame, toc: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """Each book's chapters by the first detector that finds any, in order of DETECTORS."""
-    tries = [syllabus(cells, pages) if cells is not None else None, bookmarks(toc, pages) if toc is not None else None, printed_contents(pages), body_headings(pages)]
+    """Each book's chapters by the first detector that finds any, in order of DETECTORS.
+
+    The headings of the text, which three detectors use, are written to the shared folder once.
+    """
+    body = scratch_table(body_headings(pages), "body_headings")
+    tries = [syllabus(cells, pages, body) if cells is not None else None, bookmarks(toc, pages) if toc is not None else None, printed_contents(pages, body), body]
     found = None
     for rank, one in enumerate(tries):
         if one is not None:

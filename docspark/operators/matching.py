@@ -19,13 +19,26 @@ PAGE = ["book_id", "page_index"]
 THRESHOLD = 0.5
 
 
+def analysis_rows(analysis: DataFrame) -> DataFrame:
+    """book_id, page_index, what (p or w), idx, box, contents, role, direction, ord: paragraphs and words of page analyses, in one pass.
+
+    Null lists are empty, words without points stay without a box.
+    """
+    kind = "array<struct<what:string,idx:int,box:struct<x1:int,y1:int,x2:int,y2:int>,contents:string,role:string,direction:string,ord:int>>"
+    none = F.lit(None).cast("string")
+    row = lambda what, i, box, *rest: F.struct(F.lit(what).alias("what"), i.alias("idx"), box.alias("box"), *rest)
+    paragraphs = F.transform("paragraphs", lambda p, i: row("p", i, G.box(*(p["box"][k] for k in range(4))), p["contents"].alias("contents"), p["role"].alias("role"), p["direction"].alias("direction"), p["order"].alias("ord")))
+    words = F.transform("words", lambda w, i: row("w", i, G.from_points(w["points"]), F.coalesce(w["content"], F.lit("")).alias("contents"), none.alias("role"), none.alias("direction"), F.lit(None).cast("int").alias("ord")))
+    empty = F.array().cast(kind)
+    both = F.concat(F.coalesce(paragraphs.cast(kind), empty), F.coalesce(words.cast(kind), empty))
+    return analysis.select(*PAGE, F.explode(both).alias("r")).select(*PAGE, "r.*")
+
+
 def explode_analysis(analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs, words) of page analyses with nested paragraphs and words; null lists are empty, words without points stay without a box."""
-    paragraphs = analysis.select(*PAGE, F.posexplode("paragraphs").alias("para_idx", "p")).select(
-        *PAGE, "para_idx", G.box(*(F.col("p.box")[i] for i in range(4))).alias("box"), "p.contents", "p.role", "p.direction", F.col("p.order").alias("ord")
-    )
-    words = analysis.select(*PAGE, F.posexplode("words").alias("word_idx", "w")).select(*PAGE, "word_idx", G.from_points(F.col("w.points")).alias("box"), F.coalesce("w.content", F.lit("")).alias("content"))
-    return paragraphs, words
+    """(paragraphs, words) of page analyses, as analysis_rows() has them."""
+    rows = analysis_rows(analysis)
+    paragraphs = rows.where("what = 'p'").select(*PAGE, F.col("idx").alias("para_idx"), "box", "contents", "role", "direction", "ord")
+    return paragraphs, rows.where("what = 'w'").select(*PAGE, F.col("idx").alias("word_idx"), "box", F.col("contents").alias("content"))
 
 
 def _inside(words: DataFrame, boxes: DataFrame, threshold: float, how: str = "inner") -> DataFrame:
@@ -113,6 +126,6 @@ def spans(lined: DataFrame, matched: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def same_paragraph(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs with one_idx: the first index of a paragraph equal in all but its index."""
-    rest = [c for c in paragraphs.columns if c not in ("para_idx",)]
-    return paragraphs.withColumn("one_idx", F.min("para_idx").over(W.partitionBy(*rest)))
+    """Paragraphs with one_idx: the first index of a paragraph of the page equal in all but its index, by a 64-bit hash."""
+    rest = [c for c in paragraphs.columns if c not in ("para_idx", *PAGE)]
+    return paragraphs.withColumn("one_idx", F.min("para_idx").over(W.partitionBy(*PAGE, F.xxhash64(*rest))))

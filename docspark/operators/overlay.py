@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import escape_markdown, replace_first
+from ..sources.shared import scratch_table
 from . import matching as M
 
 #: Type of a detection to its role; other types are inline.
@@ -59,14 +60,14 @@ def replacements(detections: DataFrame, paragraphs: DataFrame, words: DataFrame,
         trimmed = trimmed.join(again, [*M.PAGE, "det_idx"], "left")
         new = changed & F.col("new_latex").isNotNull()
         trimmed = trimmed.withColumns({"box": F.when(new, F.col("trimmed")).otherwise(F.col("box")), "latex": F.when(new, F.col("new_latex")).otherwise(F.col("latex"))}).drop("new_latex")
-    alike = M.same_paragraph(paragraphs)
     matched = M.match_paragraphs(trimmed.drop("trimmed"), paragraphs)
-    one = alike.select(*M.PAGE, F.col("para_idx").alias("_para"), "one_idx")
+    one = M.same_paragraph(paragraphs).select(*M.PAGE, F.col("para_idx").alias("_para"), "one_idx")
     matched = matched.withColumn("_para", F.col("p.para_idx")).join(one, [*M.PAGE, "_para"]).withColumn("p", F.col("p").withField("para_idx", F.col("one_idx"))).drop("_para", "one_idx")
+    matched = scratch_table(matched, "matched")  # of use for both kinds of formulas
     is_display = role(F.col("type")) == "display_formula"
     display = first_display(matched.where(is_display)).where("latex <> ''")
     display = display.select(*M.PAGE, F.lit(0).alias("phase"), F.col("det_idx").alias("ord"), escape_markdown(F.col("p.contents")).alias("needle"), rendered(F.col("latex"), F.lit("display_formula")).alias("replacement"))
-    lined = M.lines_to_words(paragraphs, words)
+    lined = scratch_table(M.lines_to_words(paragraphs, words), "lined")
     runs = inline_spans(M.spans(lined, matched.where(~is_display)))
     parts = lined.groupBy(*M.PAGE, "para_idx").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("c"))
     parts = parts.withColumn("parts", F.transform("c", lambda x: escape_markdown(x["content"])))

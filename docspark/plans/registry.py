@@ -76,10 +76,7 @@ def existing_assets(spark, sf_dir):
 @query
 def analysis_json(spark, sf_dir):
     rows = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("page_index"), F.expr(f"""CASE WHEN l_linenumber = 3 THEN '{{}}' WHEN l_linenumber = 4 THEN 'no json' ELSE '{{"paragraphs":[{{"box":[' || {A.BOX[0]} || ',' || {A.BOX[1]} || ',' || {A.BOX[2]} || ',' || {A.BOX[3]} || '],"contents":"c' || l_linenumber || '","role":null}},{{"box":[1,2,3,4],"contents":null}}],"words":[{{"points":[[5,9],[7,1],[2,3],[4,8]],"content":"w"}},{{"points":[],"content":"v"}}]}}' END""").alias("analysis"))
-    parsed = readers.parse_analysis(rows)
-    paragraphs, words = matching.explode_analysis(parsed)
-    left = _flat(paragraphs.select("book_id", "page_index", F.lit("p").alias("what"), F.col("para_idx").alias("idx"), "box", "contents"), "box")
-    return left.unionByName(_flat(words.select("book_id", "page_index", F.lit("w").alias("what"), F.col("word_idx").alias("idx"), "box", F.col("content").alias("contents")), "box"))
+    return _flat(matching.analysis_rows(readers.parse_analysis(rows)).select("book_id", "page_index", "what", "idx", "box", "contents"), "box")
 
 
 # text -------------------------------------------------------------------------------------------------------
