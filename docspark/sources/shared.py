@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -19,9 +20,10 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="docspark-")
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="docspark-"))
+            atexit.register(shutil.rmtree, _own[0].removeprefix("file://"), ignore_errors=True)
+        base = _own[0]
     return base.rstrip("/")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docspark.functions import pdf
 from docspark.operators import convert, export, pages
 from docspark.plans import fakes
-from docspark.sources import engines, readers, schemas, settings, writers
+from docspark.sources import engines, readers, schemas, settings, shared, writers
 from docspark.streaming import drop_folder
 
 MD = "book_id string, page_index int, markdown string, assets array<string>"
@@ -265,3 +265,30 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.text for r in spark.table("pages_out").collect()] == ["t"]
+
+
+def test_shared_folder(spark):
+    assert shared.scratch_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+    table = shared.scratch_table(spark.range(3), "three")
+    assert table.count() == 3
+    shared.drop_scratch(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        table.count()
+
+    class Session:  # one whose configuration names no folder
+        conf, master = {}, "local[2]"
+
+        @property
+        def sparkContext(self):
+            return self
+
+        def getConf(self):
+            return {}
+
+    session = Session()
+    own = shared.scratch_dir(session)
+    assert own == shared.scratch_dir(session) and os.path.isdir(own.removeprefix("file://"))
+    for cluster in ("local-cluster[3,2,1000]", "spark://host:7077", "yarn", "k8s://host"):
+        session.master = cluster
+        with pytest.raises(ValueError):
+            shared.scratch_dir(session)
