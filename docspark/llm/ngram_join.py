@@ -43,7 +43,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE_WORDS = 5
 #: Words whose hash a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 #: Shingles of the sketch by which a set finds its leader.
 SKETCH = 24
 #: Nodes and shingles of a block, about; a unit of no more is compared as a whole.

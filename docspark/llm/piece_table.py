@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Distinct chunks that a worker keeps, and the longest chunk that it keeps.
-TABLE_ROWS, CHUNK_CHARS = 300_000, 48
+TABLE_ROWS, CHUNK_CHARS = 100_000, 48
 #: Characters of text that are worked on at a time.
 BATCH_CHARS = 2_000_000
 
@@ -48,17 +48,17 @@ class ChunkTable:
         self.alone = next((c for c in alone if self.lib.encode(c)[:1] == self.lib.encode("")[:1] or len(self.lib.encode(c)) == 2), "")
         apart = "".join(map(re.escape, alone)) if self.alone else ""
         self.cut = re.compile(f"[{apart}]|{MARK}*[^{MARK}{apart}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.table: dict[str, np.ndarray] = {}
+        self.table: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.rows = rows
 
-    def _segment(self, chunks: list[str]) -> list[np.ndarray]:
+    def _segment(self, chunks: list[str]) -> list[bytes]:
         # a chunk with a marker is the library's own view of the text after it; others follow a character that stands alone
         marked = [c[0] == MARK for c in chunks]
         texts = [(c[1:] if m else self.alone + c).replace(MARK, " ") for c, m in zip(chunks, marked)]
         mark = [self.lib.piece_to_id(MARK)]
         found = self.lib.encode(texts, num_threads=1)
         # the library leaves an empty text without its marker
-        return [np.array((mark if m and not t else ids) if m else ids[2:], dtype=np.int32) for ids, m, t in zip(found, marked, texts)]
+        return [np.array((mark if m and not t else ids) if m else ids[2:], dtype=np.int32).tobytes() for ids, m, t in zip(found, marked, texts)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.splits:
@@ -73,10 +73,11 @@ class ChunkTable:
             table.update(kept)
         once = {c: v for c, v in ids.items() if len(c) > CHUNK_CHARS}
         table.update((c, v) for c, v in ids.items() if len(c) <= CHUNK_CHARS)
-        none = np.empty(0, dtype=np.int32)
         if once:
-            return [np.concatenate([table[c] if c in table else once[c] for c in words]) if words else none for words in chunks]
-        return [np.concatenate([table[c] for c in words]) if words else none for words in chunks]
+            joined = (b"".join([table[c] if c in table else once[c] for c in words]) for words in chunks)
+        else:
+            joined = (b"".join([table[c] for c in words]) for words in chunks)
+        return [np.frombuffer(x, dtype=np.int32) for x in joined]
 
 
 def worker_table(model: str) -> ChunkTable:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from .common import scratch_table
 
 #: Lengths per block: suffix sums run inside blocks and over blocks.
-BLOCK = 1024
+BLOCK = 128
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

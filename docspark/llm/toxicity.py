@@ -36,7 +36,7 @@ BEGINNINGS, CLEAR = (4, 5, 6), 4.0
 #: Times the rate in U that toxic texts alone would give a feature.
 SPARE = 2.5
 #: Words whose weight a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 FOLDS = 5
 
 _LETTERS = re.compile(r"[^\W\d_]+")

@@ -151,6 +151,15 @@ def test_odd_ids_and_one_per_component(spark):
     assert X.join(df.limit(0)).documents.count() == 0 and X.keep_one(df.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(60_000)]
+    edited = [w if i % 150 else "new" for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(base[:44_000])), (4, " ".join(base[10_000:59_000])), (5, "one " * 70_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in X.join(df).documents.collect()), key=str) == brute(rows)
+
+
 def test_many_rows_without_id_and_with_one_id(spark):
     """Each text is read for its node alone, however many rows have its id."""
     passage = " ".join(f"p{i}" for i in range(60))
