@@ -105,6 +105,9 @@ def by_chars(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_C
             texts = part[column].cast(pa.binary()) if as_bytes else part[column]
             yield part, [t or none for t in texts.to_pylist()]
             start = stop
+        del batch
+    # the worker waits for its next task with little in hand
+    pa.default_memory_pool().release_unused()
 
 
 def encode_decode(docs: DataFrame, model: str, text: str = "text", end_id: bool = True) -> DataFrame:
