@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import scratch_dir, scratch_table  # noqa: F401
@@ -12,6 +12,17 @@ BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch that goes to a Python worker at most, as texts may be long; a smaller setting of the session stays.
+ARROW_ROWS = 2_500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send texts to Python in batches of ARROW_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def words_sql(text: str) -> str:
     """SQL for the array of words of a text; null and blank texts have none."""
     return rf"array_remove(split(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), '')"

@@ -35,8 +35,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, narrow, scratch_table
-from .piece_table import by_chars
+from .common import free_name, narrow, scratch_table, small_batches
+from .piece_table import by_chars, tidied
 
 #: Executors get this module's code with the job, wherever the package lies.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,7 +98,7 @@ def shingle_sets(docs: DataFrame, keep: str, k: int = SHINGLE_WORDS) -> DataFram
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part[keep].cast(pa.int64()), pa.array(node), toks], names=[keep, "node", "toks"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} long, node long, toks array<long>")
+    return docs.select(keep, "text").mapInArrow(tidied(run), f"{keep} long, node long, toks array<long>")
 
 
 def prefix_size(n):
@@ -164,8 +164,8 @@ def _entries(docs: DataFrame, k: int) -> DataFrame:
 
     names = ["tok", "node", "own"]
     own = "own struct<doc_id: bigint, n: bigint, h: bigint>"
-    exploded = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(explode, f"tok long, node long, {own}")
-    return exploded.repartition("tok").sortWithinPartitions("tok", "node").mapInArrow(shared, f"node long, c long, {own}")
+    exploded = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(tidied(explode), f"tok long, node long, {own}")
+    return exploded.repartition("tok").sortWithinPartitions("tok", "node").mapInArrow(tidied(shared), f"node long, c long, {own}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -399,6 +399,7 @@ def join(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WORDS) -> Join:
     if percent < 75:
         raise ValueError("lists are made for 75 percent or more")
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     table = scratch_table(_entries(docs, k), "entries")
     own = table.where("own is not null").select("own.*", "node")
     others = table.where("own is null").groupBy("node").agg(F.sum("c").alias("others"))

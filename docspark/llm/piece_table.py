@@ -9,11 +9,14 @@ The table is bounded, so it never grows with the corpus; a chunk that fell out i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import sys
 import types
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Executors get this module's code with the job, wherever the package lies.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -105,9 +110,20 @@ def by_chars(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_C
             texts = part[column].cast(pa.binary()) if as_bytes else part[column]
             yield part, [t or none for t in texts.to_pylist()]
             start = stop
-        del batch
-    # the worker waits for its next task with little in hand
-    pa.default_memory_pool().release_unused()
+
+
+def tidied(run: Callable) -> Callable:
+    """`run`, a function for mapInArrow, after which the worker gives back the memory that it doesn't use while it waits for its next task."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            with contextlib.suppress(OSError, AttributeError):  # of other C libraries
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def encode_decode(docs: DataFrame, model: str, text: str = "text", end_id: bool = True) -> DataFrame:
@@ -130,7 +146,8 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", end_id: bool
             column = pa.ListArray.from_arrays(offsets, np.concatenate(ids), type=pa.list_(pa.field("element", pa.int32(), False)))
             yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), column, pa.array(decoded, pa.string())], names=[*keep, "ids", "decoded"])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*keep, text).mapInArrow(tidied(run), schema)
 
 
 def lengths(docs: DataFrame, model: str, text: str = "text", end_id: bool = False) -> DataFrame:
@@ -142,7 +159,8 @@ def lengths(docs: DataFrame, model: str, text: str = "text", end_id: bool = Fals
             counts = [len(x) + end_id for x in table.encode(texts)]
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", text).mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType())]))
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", text).mapInArrow(tidied(run), T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType())]))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, scratch_table, without
-from .piece_table import by_chars
+from .common import free_name, scratch_table, small_batches, without
+from .piece_table import by_chars, tidied
 
 #: Executors get this module's code with the job, wherever the package lies.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -84,7 +84,7 @@ def _choose(docs: DataFrame, sample: DataFrame, prior: float) -> list[str]:
             yield pa.RecordBatch.from_pydict({"feature": pa.array([*p], pa.string()), "p": pa.array([*p.values()], pa.int64())})
 
     toxic = sample.where("p")
-    found = toxic.select("text").mapInArrow(of_toxic, "feature string, p long").groupBy("feature").agg(F.sum("p").alias("p")).where("p >= 2").toArrow()
+    found = toxic.select("text").mapInArrow(tidied(of_toxic), "feature string, p long").groupBy("feature").agg(F.sum("p").alias("p")).where("p >= 2").toArrow()
     names = found["feature"].to_pylist()
     p, n_p = found["p"].to_numpy().astype(np.float64), toxic.count()
     place = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
@@ -106,7 +106,7 @@ def _choose(docs: DataFrame, sample: DataFrame, prior: float) -> list[str]:
         some = np.flatnonzero(u)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(u[some], n), pa.int64())], names=["i", "u"])
 
-    counted = docs.where(fold() != 0).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(of_all, "i long, u long").groupBy("i").agg(F.sum("u").alias("u")).toArrow()
+    counted = docs.where(fold() != 0).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidied(of_all), "i long, u long").groupBy("i").agg(F.sum("u").alias("u")).toArrow()
     seen = dict(zip(counted["i"].to_pylist(), counted["u"].to_pylist()))
     n_u = max(seen.get(-1, 0), 1)
     u = np.array([seen.get(i, 0) for i in range(len(names))], dtype=np.float64)
@@ -126,7 +126,7 @@ def _matrix(sample: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndar
                 has = [[(place[f], n) for f, n in text_features(t).items() if f in place] for t in texts]
                 yield pa.RecordBatch.from_pydict({"p": part["p"], "u": part["u"], "cols": pa.array([[c for c, _ in h] for h in has], pa.list_(pa.int32())), "values": pa.array([[n for _, n in h] for h in has], pa.list_(pa.int32()))})
 
-    got = sample.mapInArrow(run, "p boolean, u boolean, cols array<int>, values array<int>").toArrow()
+    got = sample.mapInArrow(tidied(run), "p boolean, u boolean, cols array<int>, values array<int>").toArrow()
     sizes = np.array([len(x) for x in got["cols"].to_pylist()], dtype=np.int64)
     flat = lambda c: got[c].combine_chunks().flatten().to_numpy() if len(got) else np.empty(0, np.int32)
     return got["p"].to_numpy(), got["u"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes), flat("cols"), flat("values").astype(np.float64)
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tuple
     prior: the share of toxic texts; by default that of the labelled training rows.  Without toxic labels
     there are no weights and the score is 0 throughout.
     """
+    small_batches(docs.sparkSession)
     sampled = _sample(docs, labels)
     if sampled is None:
         return {}, -50.0
@@ -196,8 +197,9 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, keep_text: bo
             s = 1 / (1 + np.exp(-np.clip(np.array(sums), -500, 500)))
             yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), part["held_out"], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     schema = rows.select(*keep, "held_out").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
