@@ -62,16 +62,6 @@ def texts(seed):
     return out + ["", None, " \n", "A b", "a B", "a b c d e", "É x", "é x"]
 
 
-@pytest.mark.parametrize("seed, block", [(1, 256), (2, 8)])
-def test_components_against_all_pairs(spark, monkeypatch, seed, block):
-    monkeypatch.setattr(X, "BLOCK", block)
-    rows = list(enumerate(texts(seed)))
-    random.Random(seed).shuffle(rows)
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int").repartition(3)
-    j = X.join(df)
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.documents.collect()), key=str) == brute(rows)
-
-
 def test_lists_leave_no_linked_set_alone(spark):
     """lone() for all sizes that can link, with the least that the lists of a linked pair must share."""
     worst = []
@@ -112,17 +102,19 @@ def brute_links(rows):
 
 
 @pytest.mark.parametrize("seed, block", [(1, 256), (3, 8)])
-def test_links_against_all_pairs(spark, monkeypatch, seed, block):
+def test_links_and_components_against_all_pairs(spark, monkeypatch, seed, block):
     monkeypatch.setattr(X, "BLOCK", block)
     some = texts(seed)
     rows = list(enumerate(some + random.Random(seed).sample(some, 60)))
+    random.Random(seed).shuffle(rows)
     number, pairs = brute_links(rows)
-    j = X.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    j = X.join(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int").repartition(3))
     got = {r.doc_id: r for r in j.documents.collect()}
     assert [got[i].n_links for i, _ in rows] == number
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.values()), key=str) == brute(rows)
     links = [(r.x, r.y) for r in j.links.collect()]
     assert len(links) == len(set(links)) and all(x < y for x, y in links)
-    assert set(links) == {tuple(sorted((got[i].node, got[k].node))) for i, k in pairs}
+    assert set(links) == {tuple(sorted((got[rows[i][0]].node, got[rows[k][0]].node))) for i, k in pairs}
 
 
 def test_three_texts_that_all_link_have_three_links(spark):
@@ -147,8 +139,9 @@ def test_odd_ids_and_one_per_component(spark):
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) + (r.text or "-")[:4] for r in kept.collect()) == ["3K0 K", "7solo", "8-", "9-", "9othe"]
     clash = df.withColumnsRenamed({"component_id": "h"}).withColumns({"id": F.lit(1), "node": F.lit(2), "want": F.lit(3), "row": F.lit(4), "first": F.lit(5)})
-    assert X.keep_one(clash).columns == clash.columns and X.keep_one(clash).count() == 5
-    assert X.join(df.limit(0)).documents.count() == 0 and X.keep_one(df.limit(0)).count() == 0
+    kept = X.keep_one(clash)
+    assert kept.columns == clash.columns and kept.count() == 5
+    assert X.keep_one(df.limit(0)).count() == 0
 
 
 def test_very_long_texts(spark):
