@@ -20,8 +20,8 @@ from .common import BROADCAST_IDS, scratch_table
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
 #: The trees are fitted on about this many labelled rows at most; suffix statistics count all of them.
