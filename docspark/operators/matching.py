@@ -8,6 +8,9 @@ page's boxes meet another's.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -104,8 +107,7 @@ def lines_to_words(paragraphs: DataFrame, words: DataFrame, threshold: float = T
     The n-th line of a content takes the n-th of the paragraph's words with that content; others have no box.
     """
     per = [*PAGE, "para_idx"]
-    split = F.filter(F.split("contents", "\n", -1), lambda x: x != "")
-    each = paragraphs.where("contents is not null").select(*per, F.posexplode(split).alias("line", "content"))
+    each = paragraphs.where("contents is not null").select(*per, F.posexplode(text_lines(F.col("contents"))).alias("line", "content"))
     each = each.withColumn("nth", F.row_number().over(W.partitionBy(*per, "content").orderBy("line")))
     inside = words_in_paragraphs(words, paragraphs.select(*per, "box"), threshold).drop("box")
     inside = inside.withColumn("nth", F.row_number().over(W.partitionBy(*per, "content").orderBy("word_idx")))
@@ -129,3 +131,87 @@ def same_paragraph(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs with one_idx: the first index of a paragraph of the page equal in all but its index, by a 64-bit hash."""
     rest = [c for c in paragraphs.columns if c not in ("para_idx", *PAGE)]
     return paragraphs.withColumn("one_idx", F.min("para_idx").over(W.partitionBy(*PAGE, F.xxhash64(*rest))))
+
+
+def _let(rows: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """`rows` (of them `keep`, if named) with `value` computed once; a plain column would be copied into each expression that uses it."""
+    return rows.select(*(keep or ["*"]), F.explode(F.array(value)).alias(name))
+
+
+def pages_of(**tables: DataFrame) -> DataFrame:
+    """A row per page: book_id, page_index and a list per table of its rows, without the page's columns; one shuffle for all."""
+    rows = {n: F.struct(*(c for c in t.columns if c not in PAGE)) for n, t in tables.items()}
+    kinds = {n: t.select(rows[n].alias("r")).schema["r"].dataType for n, t in tables.items()}
+    one = lambda n: tables[n].select(*PAGE, *((rows[n] if o == n else F.lit(None).cast(kinds[o])).alias(o) for o in tables))
+    both = reduce(DataFrame.union, map(one, tables)).where("book_id is not null and page_index is not null")
+    # dealt out before they are grouped: pages lie apart, so that grouping first would sort rows for nothing
+    return both.repartition(*PAGE).groupBy(*PAGE).agg(*(F.collect_list(n).alias(n) for n in tables))
+
+
+def _best(box: Column, threshold: float) -> Column:
+    """As match_paragraphs(), of the list p."""
+    part = lambda p: G.ioa(box, p["box"])
+    fit = F.filter("p", lambda p: part(p) >= threshold)
+    return F.array_max(F.transform(fit, lambda p: F.struct(part(p).alias("part"), *(p[c].alias(c) for c in ("para_idx", "box", "contents", "same")))))
+
+
+def _run(box: Column, lines: Column, inside: Column, threshold: float) -> Column:
+    """As lines_to_words() and spans(): first and last of the run of `lines` in the box, or null."""
+    nth = lambda x, i: F.size(F.filter(F.slice(lines, 1, i), lambda y: y == x))
+    of = lambda x, i: F.get(F.filter(inside, lambda w: w["content"] == x), nth(x, i))["box"]
+    at = F.transform(lines, lambda x, i: F.struct(i.alias("line"), of(x, i).alias("box")))
+    hit = F.filter(at, lambda a: (G.area(a["box"]) > 0) & (G.ioa(a["box"], box) >= threshold))
+    first, last = F.get(hit, F.lit(0))["line"], F.element_at(F.when(F.size(hit) > 0, hit), -1)["line"] + 1
+    return F.when(last - first == F.size(hit), F.struct(first.alias("first"), last.alias("last")))
+
+
+def text_lines(contents: Column) -> Column:
+    return F.filter(F.split(contents, "\n", -1), lambda x: x != "")
+
+
+def place(detections: DataFrame, paragraphs: DataFrame, words: DataFrame, inline: Callable[[Column], Column], both: bool, threshold: float = THRESHOLD) -> DataFrame:
+    """book_id, page_index, d, trimmed, changed, old, new: detections with the paragraph of their box and (if `both`) that of their trimmed box.
+
+    d: the detection's other columns; old, new: para_idx (of the first such paragraph, as same_paragraph() has it), contents and, of
+    types that are `inline`, run.  All that trim_japanese(), match_paragraphs(), lines_to_words() and spans() say, inside the pages' rows:
+    a page is dealt out once.  Detections without both, and boxes that trim to nothing, go.
+    """
+    rest = [c for c in paragraphs.columns if c not in ("para_idx", *PAGE)]
+    # what has no area or contents takes part in nothing
+    d = detections.where(G.area(F.col("box")) > 0)
+    p = paragraphs.where("contents is not null").select(*PAGE, "para_idx", "box", "contents", F.xxhash64(*rest).alias("same"))
+    w = words.where(G.area(F.col("box")) > 0).select(*PAGE, "word_idx", "box", "content", is_japanese(F.col("content")).alias("ja"))
+    rows = pages_of(d=d, p=p, w=w).where("size(d) > 0 and size(p) > 0").select(*PAGE, "p", "w", F.explode("d").alias("d"))
+    box = F.col("d.box")
+    in_box = lambda b: F.filter("w", lambda w: G.ioa(w["box"], b) >= threshold)
+    # few boxes have a paragraph, and few hold Japanese words: what only these need comes after
+    old = F.filter(F.array(_best(box, threshold)), lambda m: m.isNotNull())
+    rows = rows.select("*", (F.explode_outer if both else F.explode)(old).alias("old"))
+    ja = F.exists("w", lambda w: w["ja"] & (G.ioa(w["box"], box) >= threshold))
+    rows = _let(rows, "ja", F.coalesce(ja, F.lit(False)))
+    other = F.when(F.col("ja"), F.filter("w", lambda w: ~w["ja"] & (G.ioa(w["box"], box) >= threshold)))
+    rows = _let(rows, "other", other)
+    side = lambda f, s: f(F.transform("other", lambda w: w["box"][s]))
+    cut = G.box(F.greatest(side(F.array_min, "x1"), box["x1"]), F.greatest(side(F.array_min, "y1"), box["y1"]), F.least(side(F.array_max, "x2"), box["x2"]), F.least(side(F.array_max, "y2"), box["y2"]))
+    rows = _let(rows, "cut", F.when(F.size("other") > 0, cut), *PAGE, "p", "w", "d", "old", "ja")
+    left = (F.col("cut.x2") > F.col("cut.x1")) & (F.col("cut.y2") > F.col("cut.y1"))
+    trimmed = F.filter(F.array(F.when(~F.col("ja"), box).when(left, F.col("cut"))), lambda b: b.isNotNull())
+    rows = rows.select(*PAGE, "p", "w", "d", "old", F.explode(trimmed).alias("trimmed"))
+    changed = ~F.col("trimmed").eqNullSafe(box)
+    if both:
+        found = F.struct("old", F.when(changed, _best(F.col("trimmed"), threshold)).alias("new"))
+        rows = rows.select(*PAGE, "p", "w", "d", "trimmed", F.explode(F.filter(F.array(found), lambda m: m["old"].isNotNull() | m["new"].isNotNull())).alias("m"))
+    else:
+        rows = rows.select(*PAGE, "p", "w", "d", "trimmed", F.struct("old").alias("m"))
+    rows = rows.withColumn("changed", changed)
+    boxes = {"old": box, "new": F.col("trimmed")} if both else {"old": box}
+    is_inline = inline(F.col("d.type"))
+    near = lambda m: F.when(is_inline & m.isNotNull(), F.struct(text_lines(m["contents"]).alias("lines"), F.array_sort(in_box(m["box"])).alias("inside")))
+    rows = _let(rows, "near", F.struct(*(near(F.col(f"m.{k}")).alias(k) for k in boxes)))
+
+    def placed(k: str) -> Column:
+        m, at = F.col(f"m.{k}"), F.col(f"near.{k}")
+        first = F.array_min(F.transform(F.filter("p", lambda q: q["same"] == m["same"]), lambda q: q["para_idx"]))
+        return F.when(m.isNotNull(), F.struct(first.alias("para_idx"), m["contents"].alias("contents"), F.when(at.isNotNull(), _run(boxes[k], at["lines"], at["inside"], threshold)).alias("run"))).alias(k)
+
+    return rows.select(*PAGE, "d", "trimmed", "changed", *map(placed, boxes))

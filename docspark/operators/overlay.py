@@ -53,27 +53,29 @@ def replacements(detections: DataFrame, paragraphs: DataFrame, words: DataFrame,
     recognize: optional function from detections with another trimmed box to (book_id, page_index, det_idx, new_latex);
     null or lacking results keep the old box and formula.  Without it every changed box counts as failed.
     """
-    trimmed = M.trim_japanese(detections, words).where("trimmed is not null")
-    changed = ~F.col("trimmed").eqNullSafe(F.col("box"))
-    if recognize is not None:
-        again = recognize(trimmed.where(changed)).select(*M.PAGE, "det_idx", "new_latex")
-        trimmed = trimmed.join(again, [*M.PAGE, "det_idx"], "left")
-        new = changed & F.col("new_latex").isNotNull()
-        trimmed = trimmed.withColumns({"box": F.when(new, F.col("trimmed")).otherwise(F.col("box")), "latex": F.when(new, F.col("new_latex")).otherwise(F.col("latex"))}).drop("new_latex")
-    matched = M.match_paragraphs(trimmed.drop("trimmed"), paragraphs)
-    one = M.same_paragraph(paragraphs).select(*M.PAGE, F.col("para_idx").alias("_para"), "one_idx")
-    matched = matched.withColumn("_para", F.col("p.para_idx")).join(one, [*M.PAGE, "_para"]).withColumn("p", F.col("p").withField("para_idx", F.col("one_idx"))).drop("_para", "one_idx")
-    matched = scratch_table(matched, "matched")  # of use for both kinds of formulas
+    placed = M.place(detections, paragraphs, words, lambda kind: role(kind) == "inline_formula", both=recognize is not None)
+    if recognize is None:
+        rows = placed.select(*M.PAGE, "d.det_idx", "d.type", "d.latex", F.col("old").alias("p"))
+    else:
+        placed = scratch_table(placed, "placed")  # for the engine, and to be joined with what it reads
+        own = [F.col(c) if c in M.PAGE else F.col(f"d.{c}") for c in detections.columns]
+        again = recognize(placed.where("changed").select(*own, "trimmed")).select(*M.PAGE, "det_idx", "new_latex")
+        rows = placed.withColumn("det_idx", F.col("d.det_idx")).join(again, [*M.PAGE, "det_idx"], "left")
+        new = F.col("changed") & F.col("new_latex").isNotNull()
+        rows = rows.select(*M.PAGE, "det_idx", "d.type", F.when(new, F.col("new_latex")).otherwise(F.col("d.latex")).alias("latex"), F.when(new, F.col("new")).otherwise(F.col("old")).alias("p")).where("p is not null")
     is_display = role(F.col("type")) == "display_formula"
-    display = first_display(matched.where(is_display)).where("latex <> ''")
-    display = display.select(*M.PAGE, F.lit(0).alias("phase"), F.col("det_idx").alias("ord"), escape_markdown(F.col("p.contents")).alias("needle"), rendered(F.col("latex"), F.lit("display_formula")).alias("replacement"))
-    lined = scratch_table(M.lines_to_words(paragraphs, words), "lined")
-    runs = inline_spans(M.spans(lined, matched.where(~is_display)))
-    parts = lined.groupBy(*M.PAGE, "para_idx").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("c"))
-    parts = parts.withColumn("parts", F.transform("c", lambda x: escape_markdown(x["content"])))
-    inline = runs.join(parts, [*M.PAGE, "para_idx"])
-    inline = inline.select(*M.PAGE, F.lit(1).alias("phase"), F.col("para_idx").alias("ord"), F.array_join("parts", "").alias("needle"), rebuild(F.col("parts"), F.col("runs")).alias("replacement"))
-    return display.unionByName(inline)
+    run = F.struct("p.run.first", "det_idx", "p.run.last", "latex")
+    per = rows.groupBy(*M.PAGE, F.col("p.para_idx").alias("para_idx")).agg(
+        F.first("p.contents").alias("contents"),
+        F.min(F.when(is_display, F.struct("det_idx", "latex"))).alias("shown"),
+        F.array_sort(F.collect_list(F.when(~is_display & F.col("p.run").isNotNull(), run))).alias("runs"),
+    )
+    parts = F.transform(M.text_lines(F.col("contents")), escape_markdown)
+    row = lambda phase, ord, needle, by: F.struct(F.lit(phase).alias("phase"), ord.cast("long").alias("ord"), needle.alias("needle"), by.alias("replacement"))
+    display = F.when(F.col("shown.latex") != "", row(0, F.col("shown.det_idx"), escape_markdown(F.col("contents")), rendered(F.col("shown.latex"), F.lit("display_formula"))))
+    inline = F.when(F.size("runs") > 0, row(1, F.col("para_idx"), F.array_join("parts", ""), rebuild(F.col("parts"), F.col("runs"))))
+    both = F.filter(F.array(display, inline), lambda r: r.isNotNull())
+    return per.withColumn("parts", parts).select(*M.PAGE, F.inline(both))
 
 
 def apply(pages: DataFrame, replaced: DataFrame) -> DataFrame:

@@ -105,3 +105,23 @@ def test_overlapping_runs(spark):
     runs = F.array(F.struct(F.lit(0).alias("first"), F.lit(1).alias("d"), F.lit(2).alias("last"), F.lit("p").alias("latex")), F.struct(F.lit(1).alias("first"), F.lit(2).alias("d"), F.lit(3).alias("last"), F.lit("q").alias("latex")))
     got = spark.range(1).select(O.rebuild(F.array(*map(F.lit, "abcd")), runs)).first()[0]
     assert got == "$p$$q$d"
+
+
+def test_a_page_is_dealt_out_once(spark):
+    """The pages' rows are shuffled once, not once for each step."""
+    from docspark.plans import registry
+
+    plan = registry.QUERIES["formula_replacements"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    spark_plan = spark._jsparkSession.sessionState().executePlan(plan, spark._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()).executedPlan().toString()
+    assert 1 <= spark_plan.count("Exchange ") <= 3
+    assert spark_plan.count("FileScan") <= 3
+
+
+def test_changed_boxes_of_any_paragraph_are_read_again(spark):
+    """A box that lies in no paragraph may trim to one that does; columns of its own come to the engine."""
+    p = paras(spark, ((100, 0, 200, 100), "q"))
+    w = words(spark, ("漢字語", (0, 0, 90, 100)), ("q", (120, 0, 200, 100)))
+    d = dets(spark, ((-90, 0, 200, 100), "embedding", "old")).withColumn("score", F.lit(0.5))
+    again = lambda rows: rows.select("book_id", "page_index", "det_idx", F.concat(F.lit("n"), F.col("score"), F.col("trimmed.x1")).alias("new_latex"))
+    assert replaced(spark, p, w, d, "q", recognize=again) == "$n0.5120$"
+    assert replaced(spark, p, w, d, "q") == "q"
