@@ -9,7 +9,6 @@ page's boxes meet another's.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,36 +132,27 @@ def same_paragraph(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.withColumn("one_idx", F.min("para_idx").over(W.partitionBy(*PAGE, F.xxhash64(*rest))))
 
 
-def _let(rows: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
-    """`rows` (of them `keep`, if named) with `value` computed once; a plain column would be copied into each expression that uses it."""
-    return rows.select(*(keep or ["*"]), F.explode(F.array(value)).alias(name))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with `value` computed once; a plain expression would be computed wherever f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def pages_of(**tables: DataFrame) -> DataFrame:
-    """A row per page: book_id, page_index and a list per table of its rows, without the page's columns; one shuffle for all."""
-    rows = {n: F.struct(*(c for c in t.columns if c not in PAGE)) for n, t in tables.items()}
-    kinds = {n: t.select(rows[n].alias("r")).schema["r"].dataType for n, t in tables.items()}
-    one = lambda n: tables[n].select(*PAGE, *((rows[n] if o == n else F.lit(None).cast(kinds[o])).alias(o) for o in tables))
-    both = reduce(DataFrame.union, map(one, tables)).where("book_id is not null and page_index is not null")
-    # dealt out before they are grouped: pages lie apart, so that grouping first would sort rows for nothing
-    return both.repartition(*PAGE).groupBy(*PAGE).agg(*(F.collect_list(n).alias(n) for n in tables))
-
-
-def _best(box: Column, threshold: float) -> Column:
-    """As match_paragraphs(), of the list p."""
-    part = lambda p: G.ioa(box, p["box"])
-    fit = F.filter("p", lambda p: part(p) >= threshold)
-    return F.array_max(F.transform(fit, lambda p: F.struct(part(p).alias("part"), *(p[c].alias(c) for c in ("para_idx", "box", "contents", "same")))))
+def _best(fits: Column) -> Column:
+    """As match_paragraphs(): of `fits` (structs that begin with part, para_idx) the best; `first` is its para_idx as same_paragraph() has it."""
+    first = lambda m: F.array_min(F.transform(F.filter(fits, lambda q: q["same"] == m["same"]), lambda q: q["para_idx"]))
+    best = lambda m, i: F.struct(m["para_idx"].alias("para_idx"), m["box"].alias("box"), m["contents"].alias("contents"), i.alias("first"))
+    only = F.get(fits, F.lit(0))
+    return F.when(F.size(fits) == 1, best(only, only["para_idx"])).when(F.size(fits) > 1, _let(F.array_max(fits), lambda m: best(m, first(m))))
 
 
 def _run(box: Column, lines: Column, inside: Column, threshold: float) -> Column:
-    """As lines_to_words() and spans(): first and last of the run of `lines` in the box, or null."""
-    nth = lambda x, i: F.size(F.filter(F.slice(lines, 1, i), lambda y: y == x))
-    of = lambda x, i: F.get(F.filter(inside, lambda w: w["content"] == x), nth(x, i))["box"]
-    at = F.transform(lines, lambda x, i: F.struct(i.alias("line"), of(x, i).alias("box")))
-    hit = F.filter(at, lambda a: (G.area(a["box"]) > 0) & (G.ioa(a["box"], box) >= threshold))
-    first, last = F.get(hit, F.lit(0))["line"], F.element_at(F.when(F.size(hit) > 0, hit), -1)["line"] + 1
-    return F.when(last - first == F.size(hit), F.struct(first.alias("first"), last.alias("last")))
+    """As lines_to_words() and spans(): first and last of the run of `lines` whose words (`inside` has them in order) lie in the box, or null."""
+    # from the words in the box, of which there are few, to their lines
+    nth = lambda x, i: F.size(F.filter(F.slice(inside, 1, i), lambda y: y["content"] == x))
+    at = lambda x, i: F.get(F.filter(F.transform(lines, lambda y, k: F.when(y == x, k)), lambda k: k.isNotNull()), nth(x, i))
+    hit = F.filter(F.transform(inside, lambda w, i: F.when(G.ioa(w["box"], box) >= threshold, at(w["content"], i))), lambda k: k.isNotNull())
+    ends = lambda h: F.struct(F.array_min(h).alias("first"), (F.array_max(h) + 1).alias("last"), F.size(h).alias("n"))
+    return _let(hit, lambda h: _let(ends(h), lambda e: F.when(e["last"] - e["first"] == e["n"], F.struct(e["first"].alias("first"), e["last"].alias("last")))))
 
 
 def text_lines(contents: Column) -> Column:
@@ -173,45 +163,62 @@ def place(detections: DataFrame, paragraphs: DataFrame, words: DataFrame, inline
     """book_id, page_index, d, trimmed, changed, old, new: detections with the paragraph of their box and (if `both`) that of their trimmed box.
 
     d: the detection's other columns; old, new: para_idx (of the first such paragraph, as same_paragraph() has it), contents and, of
-    types that are `inline`, run.  All that trim_japanese(), match_paragraphs(), lines_to_words() and spans() say, inside the pages' rows:
-    a page is dealt out once.  Detections without both, and boxes that trim to nothing, go.
+    types that are `inline`, run.  All that trim_japanese(), match_paragraphs(), lines_to_words() and spans() say: each table is dealt
+    out by page once, and boxes meet in joins, whose compiled conditions leave little to go on.  Detections without both, and boxes
+    that trim to nothing, go.
     """
     rest = [c for c in paragraphs.columns if c not in ("para_idx", *PAGE)]
     # what has no area or contents takes part in nothing
-    d = detections.where(G.area(F.col("box")) > 0)
-    p = paragraphs.where("contents is not null").select(*PAGE, "para_idx", "box", "contents", F.xxhash64(*rest).alias("same"))
-    w = words.where(G.area(F.col("box")) > 0).select(*PAGE, "word_idx", "box", "content", is_japanese(F.col("content")).alias("ja"))
-    rows = pages_of(d=d, p=p, w=w).where("size(d) > 0 and size(p) > 0").select(*PAGE, "p", "w", F.explode("d").alias("d"))
-    box = F.col("d.box")
-    in_box = lambda b: F.filter("w", lambda w: G.ioa(w["box"], b) >= threshold)
-    # few boxes have a paragraph, and few hold Japanese words: what only these need comes after
-    old = F.filter(F.array(_best(box, threshold)), lambda m: m.isNotNull())
-    rows = rows.select("*", (F.explode_outer if both else F.explode)(old).alias("old"))
-    ja = F.exists("w", lambda w: w["ja"] & (G.ioa(w["box"], box) >= threshold))
-    rows = _let(rows, "ja", F.coalesce(ja, F.lit(False)))
-    other = F.when(F.col("ja"), F.filter("w", lambda w: ~w["ja"] & (G.ioa(w["box"], box) >= threshold)))
-    rows = _let(rows, "other", other)
-    side = lambda f, s: f(F.transform("other", lambda w: w["box"][s]))
-    cut = G.box(F.greatest(side(F.array_min, "x1"), box["x1"]), F.greatest(side(F.array_min, "y1"), box["y1"]), F.least(side(F.array_max, "x2"), box["x2"]), F.least(side(F.array_max, "y2"), box["y2"]))
-    rows = _let(rows, "cut", F.when(F.size("other") > 0, cut), *PAGE, "p", "w", "d", "old", "ja")
-    left = (F.col("cut.x2") > F.col("cut.x1")) & (F.col("cut.y2") > F.col("cut.y1"))
-    trimmed = F.filter(F.array(F.when(~F.col("ja"), box).when(left, F.col("cut"))), lambda b: b.isNotNull())
-    rows = rows.select(*PAGE, "p", "w", "d", "old", F.explode(trimmed).alias("trimmed"))
-    changed = ~F.col("trimmed").eqNullSafe(box)
-    if both:
-        found = F.struct("old", F.when(changed, _best(F.col("trimmed"), threshold)).alias("new"))
-        rows = rows.select(*PAGE, "p", "w", "d", "trimmed", F.explode(F.filter(F.array(found), lambda m: m["old"].isNotNull() | m["new"].isNotNull())).alias("m"))
-    else:
-        rows = rows.select(*PAGE, "p", "w", "d", "trimmed", F.struct("old").alias("m"))
-    rows = rows.withColumn("changed", changed)
-    boxes = {"old": box, "new": F.col("trimmed")} if both else {"old": box}
+    d = detections.where(G.area(F.col("box")) > 0).select(*PAGE, F.struct(*(c for c in detections.columns if c not in PAGE)).alias("d"), G.area(F.col("box")).alias("d_area"), F.monotonically_increasing_id().alias("id"))  # id tells equal rows apart
+    p = paragraphs.where("contents is not null").select(*PAGE, F.struct("para_idx", "box", "contents", F.xxhash64(*rest).alias("same")).alias("p"))
+    w = words.where(G.area(F.col("box")) > 0).select(*PAGE, F.struct("word_idx", "box", "content").alias("w"), G.area(F.col("box")).alias("w_area"), is_japanese(F.col("content")).alias("is_ja"))
+    box, per = F.col("d.box"), [*PAGE, "id"]
+
+    def meet(a: DataFrame, b: DataFrame, fits: Column, how: str) -> DataFrame:
+        # merged: a page's rows needn't fit into memory, and broadcasts would have the others dealt out again
+        on = (F.col("a.book_id") == F.col("b.book_id")) & (F.col("a.page_index") == F.col("b.page_index")) & fits
+        return a.alias("a").join(b.hint("merge").alias("b"), on, how).drop(*(F.col(f"b.{c}") for c in PAGE))
+
+    # areas come with the rows, so that the conditions are small enough to be compiled
+    part = G.intersection(box, F.col("p.box")) / F.col("d_area")
+    # a trimmed box is a part of the box: its paragraphs share area with the box
+    shares = (part >= threshold) | (G.intersection(box, F.col("p.box")) > 0) if both else part >= threshold
+    found = F.struct(part.alias("part"), *(F.col(f"p.{c}").alias(c) for c in ("para_idx", "box", "contents", "same")))
+    # what lists are made of is computed before they are: only there it is compiled
+    rows = meet(d, p, shares, "inner").select(*per, "d", found.alias("p")).groupBy(*per).agg(F.first("d").alias("d"), F.collect_list("p").alias("p"))
+    if not both:
+        rows = rows.select(*per, "d", _best(F.col("p")).alias("old"))
     is_inline = inline(F.col("d.type"))
-    near = lambda m: F.when(is_inline & m.isNotNull(), F.struct(text_lines(m["contents"]).alias("lines"), F.array_sort(in_box(m["box"])).alias("inside")))
-    rows = _let(rows, "near", F.struct(*(near(F.col(f"m.{k}")).alias(k) for k in boxes)))
+    holds = lambda b: G.intersection(F.col("w.box"), b) / F.col("w_area") >= threshold
+    in_box = holds(box)
+    in_paragraph = is_inline & (F.exists("p", lambda p: holds(p["box"])) if both else holds(F.col("old.box")))
+    side = lambda s: F.when(in_box & ~F.col("is_ja"), F.col(f"w.box.{s}")).alias(s)
+    own = [c for c in rows.columns if c not in per]
+    rows = meet(rows, w, in_box | in_paragraph, "left").select(*per, *own, (in_box & F.col("is_ja")).alias("ja"), *map(side, G.SIDES), F.when(in_paragraph, F.col("w")).alias("w"))
+    rows = rows.groupBy(*per).agg(
+        *(F.first(c).alias(c) for c in own),
+        F.coalesce(F.bool_or("ja"), F.lit(False)).alias("ja"),
+        *(f(s).alias(s) for f, s in zip((F.min, F.min, F.max, F.max), G.SIDES)),
+        F.collect_list("w").alias("near"),
+    )
+    cut = G.box(F.greatest("x1", box["x1"]), F.greatest("y1", box["y1"]), F.least("x2", box["x2"]), F.least("y2", box["y2"]))
+    left = F.col("x1").isNotNull() & (cut["x2"] > cut["x1"]) & (cut["y2"] > cut["y1"])
+    trimmed = F.when(~F.col("ja"), box).when(left, cut)
+    rows = rows.select(*PAGE, *own, F.sort_array("near").alias("near"), trimmed.alias("trimmed")).where("trimmed is not null")
+    rows = rows.withColumn("changed", ~F.col("trimmed").eqNullSafe(box))
+    boxes = {"old": box}
+    if both:
+        boxes["new"] = F.col("trimmed")
+        again = lambda q: F.struct(G.ioa(F.col("trimmed"), q["box"]).alias("part"), *(q[c].alias(c) for c in ("para_idx", "box", "contents", "same")))
+        fit = lambda ps: _let(F.filter(ps, lambda q: q["part"] >= threshold), _best)
+        fitting = F.struct(fit(F.col("p")).alias("old"), F.when(F.col("changed"), fit(F.transform("p", again))).alias("new"))
+        some = F.filter(F.array(fitting), lambda m: m["old"].isNotNull() | m["new"].isNotNull())
+        rows = rows.select(*PAGE, "d", "trimmed", "changed", "near", F.explode(some).alias("m")).select("*", "m.old", "m.new")
 
     def placed(k: str) -> Column:
-        m, at = F.col(f"m.{k}"), F.col(f"near.{k}")
-        first = F.array_min(F.transform(F.filter("p", lambda q: q["same"] == m["same"]), lambda q: q["para_idx"]))
-        return F.when(m.isNotNull(), F.struct(first.alias("para_idx"), m["contents"].alias("contents"), F.when(at.isNotNull(), _run(boxes[k], at["lines"], at["inside"], threshold)).alias("run"))).alias(k)
+        m = F.col(k)
+        inside = F.filter("near", lambda w: G.ioa(w["box"], m["box"]) >= threshold) if both else F.col("near")
+        run = _let(F.struct(text_lines(m["contents"]).alias("lines"), inside.alias("inside")), lambda at: _run(boxes[k], at["lines"], at["inside"], threshold))
+        return F.when(m.isNotNull(), F.struct(m["first"].alias("para_idx"), m["contents"].alias("contents"), F.when(is_inline, run).alias("run"))).alias(k)
 
     return rows.select(*PAGE, "d", "trimmed", "changed", *map(placed, boxes))

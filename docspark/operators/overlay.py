@@ -65,11 +65,9 @@ def replacements(detections: DataFrame, paragraphs: DataFrame, words: DataFrame,
         rows = rows.select(*M.PAGE, "det_idx", "d.type", F.when(new, F.col("new_latex")).otherwise(F.col("d.latex")).alias("latex"), F.when(new, F.col("new")).otherwise(F.col("old")).alias("p")).where("p is not null")
     is_display = role(F.col("type")) == "display_formula"
     run = F.struct("p.run.first", "det_idx", "p.run.last", "latex")
-    per = rows.groupBy(*M.PAGE, F.col("p.para_idx").alias("para_idx")).agg(
-        F.first("p.contents").alias("contents"),
-        F.min(F.when(is_display, F.struct("det_idx", "latex"))).alias("shown"),
-        F.array_sort(F.collect_list(F.when(~is_display & F.col("p.run").isNotNull(), run))).alias("runs"),
-    )
+    shown = F.when(is_display, F.struct("det_idx", "latex"))
+    rows = rows.select(*M.PAGE, "p.para_idx", "p.contents", shown.alias("shown"), F.when(~is_display & F.col("p.run").isNotNull(), run).alias("run"))
+    per = rows.groupBy(*M.PAGE, "para_idx").agg(F.first("contents").alias("contents"), F.min("shown").alias("shown"), F.sort_array(F.collect_list("run")).alias("runs"))
     parts = F.transform(M.text_lines(F.col("contents")), escape_markdown)
     row = lambda phase, ord, needle, by: F.struct(F.lit(phase).alias("phase"), ord.cast("long").alias("ord"), needle.alias("needle"), by.alias("replacement"))
     display = F.when(F.col("shown.latex") != "", row(0, F.col("shown.det_idx"), escape_markdown(F.col("contents")), rendered(F.col("shown.latex"), F.lit("display_formula"))))

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from docspark.functions import geometry as G
@@ -117,6 +119,31 @@ def test_a_page_is_dealt_out_once(spark):
     assert spark_plan.count("FileScan") <= 3
 
 
+def test_boxes_meet_in_compiled_joins(spark):
+    """Boxes are compared in joins, not by functions over lists, in methods that the JVM compiles (up to 8,000 bytes)."""
+    from docspark.plans import registry
+
+    plan = registry.QUERIES["formula_replacements"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("Join ") == 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        executed = registry.QUERIES["formula_replacements"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(executed)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert len(sizes) > 2 and max(sizes) <= 8000
+
+
+def test_equal_detections_and_paragraphs(spark):
+    """Equal detections all count; of equal paragraphs the first is named."""
+    p = paras(spark, ((0, 0, 100, 20), "u\nv"), ((0, 0, 100, 20), "u\nv"))
+    w = words(spark, ("u", (0, 0, 12, 9)), ("v", (25, 0, 37, 9)))
+    d = dets(spark, ((25, 0, 37, 9), "embedding", "x"))
+    got = O.replacements(d.union(d), p, w).collect()
+    assert [(r.phase, r.ord, r.needle, r.replacement) for r in got] == [(1, 0, "uv", "u$x$$x$")]
+
+
 def test_changed_boxes_of_any_paragraph_are_read_again(spark):
     """A box that lies in no paragraph may trim to one that does; columns of its own come to the engine."""
     p = paras(spark, ((100, 0, 200, 100), "q"))
